@@ -87,3 +87,5 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_records, op3_decontamination, op4_ngram_jaccard_join, op5_quality_rules, op6_sharding, op7_quality_classifier, op8_toxicity, op9_sentencepiece, op10_url_filter)}
+
+ORACLES: dict[str, str] = {}

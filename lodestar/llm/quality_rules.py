@@ -51,7 +51,7 @@ RULES: tuple[Rule, ...] = (
 #: The rules of the base; the rest is the method's verdict.
 BASE = ("words", "repeated_windows")
 
-_SPACE = r"' \t\n\u000B\f\r'"
+_SPACE = "' \t\n\v\f\r'"
 
 
 def figures(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
@@ -77,7 +77,7 @@ def figures(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFram
     stops = ", ".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(stop_words))
     out = {
         "word_chars": "cast(length(array_join(_w, '')) as bigint)",
-        "n_symbols": f"cast(length({t}) - length(translate({t}, '#*$%&|<>', '')) as bigint)",
+        "n_symbols": f"cast(length({t}) - length(regexp_replace({t}, '[#*$%&|<>]+', '')) as bigint)",
         "n_dup_lines": "cast(size(_l) - size(array_distinct(_l)) as bigint)",
         "n_repeat_words": "CASE WHEN size(_p) = 0 THEN 0L ELSE aggregate(transform(_p, (p, i) -> least(3L, coalesce(get(_p, i + 1) - p, 3L))), 0L, (s, x) -> s + x) END",
         "n_lines": "cast(size(_l) as bigint)",
