@@ -1,4 +1,6 @@
 """Queries over the test tables, one for each operator, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import frames, models, strategies
+
+QUERIES = {**frames.QUERIES, **strategies.QUERIES, **models.QUERIES}
+ORACLES = {**frames.ORACLES, **strategies.ORACLES, **models.ORACLES}
