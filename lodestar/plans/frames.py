@@ -71,10 +71,10 @@ for _name, _f, _sql in (
 
 @query("""SELECT series, ts, R(coalesce(value, CASE WHEN v1 IS NULL THEN v0 WHEN v0 IS NOT NULL THEN v0 + (v1 - v0) * (rn - r0) / (r1 - r0) END)) AS x FROM (
 SELECT *, last_value(value IGNORE NULLS) OVER b AS v0, first_value(value IGNORE NULLS) OVER f AS v1, last_value(pl IGNORE NULLS) OVER b AS r0, first_value(pl IGNORE NULLS) OVER f AS r1 FROM (
-SELECT *, CASE WHEN value IS NOT NULL THEN rn END AS pl FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) AS rn FROM gappy))
-WINDOW b AS (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""", 2)
+SELECT *, CASE WHEN value IS NOT NULL THEN rn END AS pl FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) AS rn FROM (SELECT series, ts, value / 1e6 AS value FROM gappy)))
+WINDOW b AS (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""", 3)
 def gap_fill_linear(spark, d):
-    return _x(panels.gappy(spark, d), interpolate(V, by("series")))
+    return _x(panels.gappy(spark, d).withColumn("value", V / 1e6), interpolate(V, by("series")))
 
 
 @query("SELECT series, ts, coalesce(R(value), 0) AS x FROM gappy", 2)
