@@ -51,6 +51,9 @@ RULES: tuple[Rule, ...] = (
 #: The rules of the base; the rest is the method's verdict.
 BASE = ("words", "repeated_windows")
 
+#: The columns that ``figures`` makes.
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_exclamations", "n_upper", "n_bars")
+
 _SPACE = "' \t\n\v\f\r'"
 
 
@@ -99,4 +102,9 @@ def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[str] =
     failed = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in fails.items()]), lambda x: x.isNotNull())
     own = [c for n, c in fails.items() if n in base]
     out = out.withColumn("base_failed", own[0] if len(own) == 1 else F.greatest(*own)) if own else out.withColumn("base_failed", F.lit(False))
-    return out.withColumn("failed", failed).withColumn("kept", F.size("failed") == 0)
+    out = out.withColumn("failed", failed).withColumn("kept", F.size("failed") == 0)
+    # One generated row each: a filter on a verdict stays above it.  Pushed below the figures, it would
+    # spell each of them out again within the next, down to the split of the text within every lambda.
+    made = [*FIGURES, "base_failed", "failed", "kept"]
+    rest = [c for c in out.columns if c not in made]
+    return out.select(*rest, F.inline(F.array(F.struct(*made))))
