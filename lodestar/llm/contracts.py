@@ -88,4 +88,28 @@ def op10_url_filter(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_records, op3_decontamination, op4_ngram_jaccard_join, op5_quality_rules, op6_sharding, op7_quality_classifier, op8_toxicity, op9_sentencepiece, op10_url_filter)}
 
-ORACLES: dict[str, str] = {}
+
+def _op5_sql() -> str:
+    fails = {r.name: r.fails() for r in quality_rules.RULES}
+    base = " OR ".join(f"({fails[n]})" for n in quality_rules.BASE)
+    rest = " OR ".join(f"({f})" for n, f in fails.items() if n not in quality_rules.BASE)
+    stops = ", ".join(f"'{w}'" for w in dict.fromkeys(quality_rules.STOP_WORDS))
+    word = r"[^\x20\x09-\x0D]"
+    return f"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{word}')) AS ls FROM documents),
+    tri AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM (SELECT doc_id, p, ws[p] AS a, ws[p + 1] AS b, ws[p + 2] AS c FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM w))),
+    rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM tri WHERE k > 1) GROUP BY 1),
+    f AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+      len(ls) AS n_lines, len(list_intersect(list_distinct(ws), [{stops}])) AS n_stop_words, len(regexp_extract_all(t, '!')) AS n_exclamations, len(regexp_extract_all(t, '\\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '\\|')) AS n_bars FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id)
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, ({base}) AS base_failed, NOT ({base}) AND NOT (n_words > 0 AND ({rest})) AS kept FROM f"""
+
+
+def _op10_sql() -> str:
+    rules = ", ".join(str(r) for r in URL_RULES)
+    return f"""WITH u AS (SELECT page_id, url, coalesce(strpos(url, '://'), 0) AS k FROM pages),
+    h AS (SELECT page_id, CASE WHEN k = 0 THEN '' ELSE translate(regexp_extract(substr(url, k + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host, CASE WHEN k = 0 THEN '' ELSE regexp_extract(substr(url, k + 3), '^[^/?#]*([^?#]*)', 1) END AS path FROM u),
+    m AS (SELECT page_id, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h LEFT JOIN (VALUES {rules}) r(rh, rp, v) ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1, 2, 3)
+    SELECT page_id, host, path, rule, CASE WHEN v IS NOT NULL THEN v WHEN regexp_matches(regexp_replace(host, '^(www|m|blog)[.]', '') || regexp_replace(path, '(/|[.]html?)$', ''), '^(spam-farm|cheap-pills)[.]example[.](com|net|org)/(en|de|fr|es)/(0|[1-9][0-9]?[0-9]?)$') THEN 'block' ELSE 'allow' END AS verdict FROM m"""
+
+
+#: Scores, drawn segmentations, files and spans have no SQL; their queries are tested against brute force.
+ORACLES = {"op5_quality_rules": _op5_sql(), "op10_url_filter": _op10_sql()}
