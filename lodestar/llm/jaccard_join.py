@@ -13,7 +13,7 @@ pair that agrees in such words only then meets there all the same.  So no
 pair is lost.
 
 Candidates that meet in a word are first each bucket's members with its
-smallest and largest member; after their components are known, only the
+smallest member; after their components are known, only the
 members of a bucket that lie in different components are paired, under the
 Hamming bound inside the join.  All that pass are verified on the n-grams of
 their whole texts.  That gives the exact components of the link graph
@@ -196,16 +196,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
     live = made.where("band is not null and doc_id is not null")
     classes = stored(live.groupBy("cid").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
 
-    # classes that meet in a word of a sketch
-    met = live.select("cid", "n", "band", F.explode("keys").alias("key"))
-    ends = stored(met.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first < last"), "jaccard-ends")
-    met = stored(met.join(ends, "key").select("key", "cid", "band", "first", "last").distinct(), "jaccard-met")
-    pairs = met.select("band", "cid", F.explode(F.array("first", "last")).alias("other")).where("cid != other")
-    pairs = pairs.select("band", F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+    # one row for each class and band, with what its smallest document has
+    short = live.join(classes.select(F.col("rep").alias("doc_id"), "cid"), ["doc_id", "cid"], "left_semi").groupBy("cid", "band").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    short = stored(short, "jaccard-short")
+
+    # classes that meet in a word of a sketch, each with the smallest that it meets there
+    met = short.select("cid", "band", F.explode("keys").alias("key"))
+    ends = stored(met.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first < last").select("key", "first"), "jaccard-ends")
+    met = stored(met.join(ends, "key").select("key", "cid", "band", "first"), "jaccard-met")
+    pairs = met.where("cid != first").select("band", F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
 
     # of a document's candidates among them, the nearest by sketch
-    short = live.join(classes.select(F.col("rep").alias("doc_id"), "cid"), ["doc_id", "cid"], "left_semi").groupBy("cid", "band").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    short = stored(short, "jaccard-short")
+    short = short.drop("keys")
     side = lambda name: short.select(F.col("cid").alias(name), "band", F.struct("n", "sketch").alias("s" + name))
     near = pairs.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"]).where(_near(percent, "sa", "sb"))
     near = near.select("a", "b", F.expr("aggregate(zip_with(sa.sketch, sb.sketch, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) / (sa.n + sb.n)").alias("far"))
@@ -217,7 +219,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
 
     # what meets across components, by all pairs that the sketches let pass
     named = met.select("key", "cid", "band").join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left")
-    named = stored(named.withColumn("component", F.coalesce("component", "cid")), "jaccard-named")
+    named = named.withColumn("component", F.coalesce("component", "cid"))
     mixed_keys = stored(named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"), "jaccard-mixed")
     open_ = stored(named.join(mixed_keys, "key").join(short, ["cid", "band"]).select("key", "cid", "component", "n", "sketch"), "jaccard-open")
     x, y = open_.alias("x"), open_.alias("y")
