@@ -8,6 +8,6 @@ from pyspark.sql import functions as F
 
 def windowed(events: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "2 hours") -> DataFrame:
     """(start, event_type, n, total) by event time; the same plan runs on a table and, with its watermark, on a stream."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
     return rows.groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
