@@ -13,7 +13,6 @@ from . import panels
 from .panels import SPLIT, Registry, W
 
 query = Registry()
-V, R = F.col("value"), F.col("ret")
 
 
 def _over(sql: str, table: str = "panel", name: str = "x") -> str:
@@ -63,7 +62,7 @@ for _name, _f, _sql in (
 ):
 
     def _fill(spark, d, f=_f):
-        return _x(panels.gappy(spark, d), f(V, by("series")))
+        return _x(panels.gappy(spark, d), f(F.col("value"), by("series")))
 
     _fill.__name__ = _name
     query(_over(_sql, "gappy"), 2)(_fill)
@@ -74,12 +73,12 @@ SELECT *, last_value(value IGNORE NULLS) OVER b AS v0, first_value(value IGNORE
 SELECT *, CASE WHEN value IS NOT NULL THEN rn END AS pl FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) AS rn FROM (SELECT series, ts, value / 1e6 AS value FROM gappy)))
 WINDOW b AS (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING), f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""", 3)
 def gap_fill_linear(spark, d):
-    return _x(panels.gappy(spark, d).withColumn("value", V / 1e6), interpolate(V, by("series")))
+    return _x(panels.gappy(spark, d).withColumn("value", F.col("value") / 1e6), interpolate(F.col("value"), by("series")))
 
 
 @query("SELECT series, ts, coalesce(R(value), 0) AS x FROM gappy", 2)
 def fill_zero(spark, d):
-    return _x(panels.gappy(spark, d), F.coalesce(V, F.lit(0.0)))
+    return _x(panels.gappy(spark, d), F.coalesce(F.col("value"), F.lit(0.0)))
 
 
 @query(f"SELECT series, ts, R(100 * (value / lag(value, 3) OVER {W} - 1)) AS g3, R(100 * (value / lag(value, 6) OVER {W} - 1)) AS g6, R(100 * (value / lag(value, 12) OVER {W} - 1)) AS g12, R(100 * (value / lag(value, 3) OVER {W} - 1) - 100 * (value / lag(value, 12) OVER {W} - 1)) AS accel FROM panel")
@@ -89,18 +88,18 @@ def growth_acceleration(spark, d):
 
 @query(_over(f"value - lag(value, 12) OVER {W}"), 2)
 def diff_12(spark, d):
-    return _x(panels.panel(spark, d), diff(V, by("series"), 12))
+    return _x(panels.panel(spark, d), diff(F.col("value"), by("series"), 12))
 
 
 @query(_over(f"lead(value, 3) OVER {W} / value - 1"))
 def forward_return_3(spark, d):
-    return _x(panels.panel(spark, d), forward_return(V, by("series"), 3))
+    return _x(panels.panel(spark, d), forward_return(F.col("value"), by("series"), 3))
 
 
 @query(f"SELECT series, ts, R(value) AS value, R(y) AS y FROM (SELECT *, lead(ret) OVER {W} AS y FROM ret) WHERE y IS NOT NULL", 4)
 def lead1_align(spark, d):
     """Features of a month with the return of the next; the last has none."""
-    return panels.returns(spark, d).withColumn("y", F.lead(R).over(by("series"))).where("y is not null").select("series", "ts", "value", "y")
+    return panels.returns(spark, d).withColumn("y", F.lead(F.col("ret")).over(by("series"))).where("y is not null").select("series", "ts", "value", "y")
 
 
 @query("SELECT series, ts, R(value) AS value, R(y) AS y FROM tgt", 4)
@@ -138,7 +137,7 @@ def vintage_asof(spark, d):
 for _name, _n, _agg, _sql in (("rolling_std_12", 12, F.stddev_samp, "stddev_samp(ret)"), ("rolling_sum_12", 12, F.sum, "sum(ret)"), ("rolling_mean_20", 20, F.avg, "avg(ret)"), ("rolling_max_12", 12, F.max, "max(ret)")):
 
     def _roll(spark, d, n=_n, agg=_agg):
-        return _x(panels.returns(spark, d), rolling(R, agg, by("series"), n))
+        return _x(panels.returns(spark, d), rolling(F.col("ret"), agg, by("series"), n))
 
     _roll.__name__ = _name
     query(_over(_min(_sql, _n), "ret"))(_roll)
@@ -147,13 +146,13 @@ for _name, _n, _agg, _sql in (("rolling_std_12", 12, F.stddev_samp, "stddev_samp
 @query(_over(_min("stddev_samp(ret)", 12, least=6) + " * sqrt(12) * 100", "ret"))
 def rolling_vol_proxy(spark, d):
     """Yearly volatility in per cent, from 6 values on."""
-    return _x(panels.returns(spark, d), rolling(R, F.stddev_samp, by("series"), 12, 6) * F.sqrt(F.lit(12.0)) * 100)
+    return _x(panels.returns(spark, d), rolling(F.col("ret"), F.stddev_samp, by("series"), 12, 6) * F.sqrt(F.lit(12.0)) * 100)
 
 
 @query(_over(f"({_min('avg(ret)', 24)}) / ({_min('stddev_samp(ret)', 24)}) * sqrt(12)", "ret"), 5)
 def rolling_sharpe_24(spark, d):
     w = by("series")
-    return _x(panels.returns(spark, d), F.try_divide(rolling(R, F.avg, w, 24), rolling(R, F.stddev_samp, w, 24)) * F.sqrt(F.lit(12.0)))
+    return _x(panels.returns(spark, d), F.try_divide(rolling(F.col("ret"), F.avg, w, 24), rolling(F.col("ret"), F.stddev_samp, w, 24)) * F.sqrt(F.lit(12.0)))
 
 
 @query(_over("CASE WHEN count(*) OVER f >= 12 THEN avg(CAST(sign(actual) = sign(pred) AS DOUBLE)) OVER f END", "sig") + " WINDOW f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)")
@@ -166,23 +165,23 @@ def rolling_hit_rate_12(spark, d):
 def rolling_corr_24(spark, d):
     r = panels.returns(spark, d).withColumn("m", F.avg("ret").over(Window.partitionBy("ts")))
     f = by("series").rowsBetween(-23, 0)
-    return _x(r, F.when(F.count("ret").over(f) >= 24, correlation(R, F.col("m"), f)))
+    return _x(r, F.when(F.count("ret").over(f) >= 24, correlation(F.col("ret"), F.col("m"), f)))
 
 
 @query(_over("max(abs(ret)) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING)", "ret"))
 def expanding_max(spark, d):
-    return _x(panels.returns(spark, d), expanding(F.abs(R), F.max, by("series")))
+    return _x(panels.returns(spark, d), expanding(F.abs(F.col("ret")), F.max, by("series")))
 
 
 @query(_over("CASE WHEN count(ret) OVER f >= 2 THEN stddev_samp(ret) OVER f END", "ret") + " WINDOW f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def expanding_std_lagged(spark, d):
-    return _x(panels.returns(spark, d), expanding(R, F.stddev_samp, by("series"), 2, 1))
+    return _x(panels.returns(spark, d), expanding(F.col("ret"), F.stddev_samp, by("series"), 2, 1))
 
 
 @query("SELECT series, ts, R(CASE WHEN count(value) OVER f >= 24 THEN quantile_cont(value, 0.75) OVER f END) AS high, R(CASE WHEN count(value) OVER f >= 24 THEN quantile_cont(value, 0.25) OVER f END) AS low FROM panel WINDOW f AS (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING)", 4)
 def expanding_quantile(spark, d):
     w = by("series")
-    q = lambda p: expanding(V, lambda c: F.percentile(c, F.lit(p)), w, 24)
+    q = lambda p: expanding(F.col("value"), lambda c: F.percentile(c, F.lit(p)), w, 24)
     return panels.panel(spark, d).select("series", "ts", q(0.75).alias("high"), q(0.25).alias("low"))
 
 
@@ -193,12 +192,12 @@ def equity_drawdown(spark, d):
 
 @query(_over("value / first_value(value) OVER (PARTITION BY series ORDER BY ts) - 1"))
 def rebase_first(spark, d):
-    return _x(panels.panel(spark, d), V / F.first("value").over(by("series")) - 1)
+    return _x(panels.panel(spark, d), F.col("value") / F.first("value").over(by("series")) - 1)
 
 
 @query(_over("sum(ret) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING)", "ret"))
 def cumulative_sum(spark, d):
-    return _x(panels.returns(spark, d), expanding(R, F.sum, by("series")))
+    return _x(panels.returns(spark, d), expanding(F.col("ret"), F.sum, by("series")))
 
 
 @query(f"SELECT series, ts, R(value) AS value FROM (SELECT *, row_number() OVER {W} AS rn FROM panel) WHERE (rn - 1) % 3 = 0", 2)
@@ -213,7 +212,7 @@ def cross_section(spark, d):
 
     p = Window.partitionBy("ts")
     m = F.avg("value").over(p)
-    return panels.panel(spark, d).select("series", "ts", zscore(V, "ts").alias("z"), rank_average(V, "ts").alias("rk"), (F.stddev_samp("value").over(p) / m).alias("dispersion"), ((F.max("value").over(p) - F.min("value").over(p)) / m).alias("spread"))
+    return panels.panel(spark, d).select("series", "ts", zscore(F.col("value"), "ts").alias("z"), rank_average(F.col("value"), "ts").alias("rk"), (F.stddev_samp("value").over(p) / m).alias("dispersion"), ((F.max("value").over(p) - F.min("value").over(p)) / m).alias("spread"))
 
 
 @query("""SELECT series, ts, R(CASE WHEN dn = 0 AND up > 0 THEN 100 WHEN dn > 0 THEN 100 - 100 / (1 + up / dn) END) AS rsi FROM (
@@ -248,7 +247,7 @@ def winsorize(spark, d):
 
 @query("SELECT series, ts, CAST(coalesce(ret > 0.02, false) AS BIGINT) AS high, CAST(coalesce(ret < -0.02, false) AS BIGINT) AS low, R(CAST(sign(ret) AS DOUBLE)) AS side FROM ret")
 def threshold_flags(spark, d):
-    return panels.returns(spark, d).select("series", "ts", F.coalesce((R > 0.02).cast("int"), F.lit(0)).alias("high"), F.coalesce((R < -0.02).cast("int"), F.lit(0)).alias("low"), F.signum("ret").alias("side"))
+    return panels.returns(spark, d).select("series", "ts", F.coalesce((F.col("ret") > 0.02).cast("int"), F.lit(0)).alias("high"), F.coalesce((F.col("ret") < -0.02).cast("int"), F.lit(0)).alias("low"), F.signum("ret").alias("side"))
 
 
 @query("SELECT ts, count(value) AS n FROM gappy GROUP BY 1 HAVING count(value) >= 0.8 * count(*)")
@@ -268,7 +267,7 @@ def series_statistics(spark, d):
     from ..functions import kurtosis, skewness
 
     r = panels.returns(spark, d).where("ret is not null")
-    return r.groupBy("series").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd1"), F.stddev_pop("ret").alias("sd0"), F.median("ret").alias("med"), F.percentile("ret", F.lit(0.05)).alias("q05"), skewness(R).alias("skew"), kurtosis(R).alias("kurt"), (F.product(1 + R) - 1).alias("total"), F.min_by("ts", "ret").alias("worst"), F.max_by("ts", "ret").alias("best"))
+    return r.groupBy("series").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd1"), F.stddev_pop("ret").alias("sd0"), F.median("ret").alias("med"), F.percentile("ret", F.lit(0.05)).alias("q05"), skewness(F.col("ret")).alias("skew"), kurtosis(F.col("ret")).alias("kurt"), (F.product(1 + F.col("ret")) - 1).alias("total"), F.min_by("ts", "ret").alias("worst"), F.max_by("ts", "ret").alias("best"))
 
 
 @query("SELECT a.series AS a, b.series AS b, R(corr(a.ret, b.ret)) AS r FROM ret a JOIN ret b USING (ts) WHERE a.series < b.series GROUP BY 1, 2", 5)
@@ -294,7 +293,7 @@ def cache_keys(spark, d):
 def top1_per_group(spark, d):
     from ..functions import latest
 
-    return latest(panels.panel(spark, d), ["grp", "ts"], [V.desc(), F.col("series")]).select("series", "grp", "ts", "value")
+    return latest(panels.panel(spark, d), ["grp", "ts"], [F.col("value").desc(), F.col("series")]).select("series", "grp", "ts", "value")
 
 
 QUERIES, ORACLES = query.queries, query.oracles
