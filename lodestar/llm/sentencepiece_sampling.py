@@ -27,9 +27,36 @@ MARK = "▁"
 LONGEST = 48
 #: Edges of remembered lattices in a Python worker.
 MEMORY = 4_000_000
+#: Characters whose lattices are made at once.
+AT_ONCE = 1 << 17
 _U = np.uint64
 
 
+def _points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _longer(h: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Hashes of strings that have one character more."""
+    return mixed(h * _U(0x9E3779B97F4A7C15) + points.astype(_U) + _U(1))
+
+
+class Grown:
+    """An array that grows at its end, in amortised constant time for each value."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(1 << 12, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(self.n + 2 * len(values), self.data.dtype)])
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def array(self) -> np.ndarray:
+        return self.data[: self.n]
+
+
 class Lattices:
     """The lattices of all units seen, as arrays: nodes with their edges, edges with start, piece and cumulated share."""
 
@@ -43,61 +70,103 @@ class Lattices:
         # A BPE model scores by the order of merges; the weight of a piece falls with its rank (Zipf).
         ranks = {i: k for k, i in enumerate(sorted(plain, key=lambda i: (-sp.get_score(i), i)))}
         self.spread = 50.0  # a factor for each character: the same for all paths, it keeps sums in range
-        self.pieces = {self.names[i]: (i, (ranks[i] + 10.0) ** -theta * self.spread ** len(self.names[i])) for i in plain}
+        weight = np.array([(ranks[i] + 10.0) ** -theta * self.spread ** len(self.names[i]) for i in plain])
         self.rare = (2.0 * len(self.names)) ** -theta * self.spread
-        self.most = max(map(len, self.pieces))
+        self.pieces = {self.names[i]: (i, w) for i, w in zip(plain, weight.tolist())}
+        self.known = self._prefixes(plain, weight)
         self.clear()
 
+    def _prefixes(self, plain: list[int], weight: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length, of all prefixes of pieces: sorted hashes, the piece that a prefix is or -1, and its weight."""
+        sizes = np.array([len(self.names[i]) for i in plain])
+        points = _points([self.names[i] for i in plain])
+        begins = np.cumsum(sizes) - sizes
+        at, h, out = np.arange(len(plain)), np.zeros(len(plain), _U), []
+        for length in range(1, int(sizes.max(initial=0)) + 1):
+            on = sizes[at] >= length
+            at = at[on]
+            h = _longer(h[on], points[begins[at] + length - 1])
+            hashes, which = np.unique(h, return_inverse=True)
+            piece, w = np.full(len(hashes), -1, np.int32), np.zeros(len(hashes))
+            whole = sizes[at] == length
+            piece[which[whole]], w[which[whole]] = np.array(plain, np.int32)[at[whole]], weight[at[whole]]
+            out.append((hashes, piece, w))
+        return out
+
     def clear(self) -> None:
         self.units: dict[str, int] = {}
-        self.last: list[int] = []  # the end node of each unit
-        self.edge_at: list[int] = []  # the first edge of each node but a unit's start; its nodes are consecutive
-        self.start: list[int] = []
-        self.code: list[int] = []
-        self.share: list[float] = []
         self.spelled: dict[str, int] = {}  # characters without a piece
-        self.arrays = None
+        # the end node of each unit; the first edge of each node but a unit's start, its nodes are consecutive; each edge's start, code and share
+        self.arrays = [Grown(t) for t in (np.int32, np.int32, np.uint8, np.int32, np.float64)]
 
-    def add(self, unit: str) -> int:
+    def add(self, units: list[str]) -> None:
+        """The lattices of distinct new units, all at once: edges by length, then sums by place."""
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        raw = _points(units)
         # units hold a space as such; a mark that the text itself holds is no space and is spelled in bytes
-        seen = unit.replace(MARK, "\0").replace(" ", MARK)
-        pieces, most, start, code, share, edge_at = self.pieces, self.most, self.start, self.code, self.share, self.edge_at
-        sums = [1.0]
-        for e in range(1, len(seen) + 1):
-            first, total = len(code), 0.0
-            edge_at.append(first)
-            for s in range(max(0, e - most), e):
-                found = pieces.get(seen[s:e])
-                if found is not None:
-                    total += sums[s] * found[1]
-                    start.append(s)
-                    code.append(found[0])
-                    share.append(total)
-            if not code[first:] or start[-1] != e - 1:  # no piece for the character alone
-                c = unit[e - 1]
-                total += sums[e - 1] * self.rare
-                start.append(e - 1)
-                code.append(-1 - self.spelled.setdefault(c, len(self.spelled)))
-                share.append(total)
-            for k in range(first, len(share)):
-                share[k] /= total
-            share[-1] = 1.0
-            sums.append(total)
-        self.last.append(len(edge_at) - 1)
-        self.units[unit] = len(self.last) - 1
-        self.arrays = None
-        return len(self.last) - 1
+        seen = np.where(raw == ord(" "), np.uint32(ord(MARK)), np.where(raw == ord(MARK), np.uint32(0), raw))
+        place = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
+        left = np.repeat(size, size) - place
+        at, h, found = np.arange(len(raw)), np.zeros(len(raw), _U), []
+        alone = np.zeros(len(raw), bool)
+        for length, (hashes, piece, weight) in enumerate(self.known, 1):
+            on = left[at] >= length
+            at = at[on]
+            h = _longer(h[on], seen[at + length - 1])
+            k = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            on = hashes[k] == h
+            at, h, k = at[on], h[on], k[on]
+            whole = piece[k] >= 0
+            if length == 1:
+                alone[at[whole]] = True
+            found.append((at[whole], np.full(int(whole.sum()), length), piece[k[whole]], weight[k[whole]]))
+        bare = np.flatnonzero(~alone)  # no piece for the character alone
+        points, which = np.unique(raw[bare], return_inverse=True)
+        spelled = np.array([-1 - self.spelled.setdefault(chr(c), len(self.spelled)) for c in points.tolist()], np.int32)
+        found.append((bare, np.ones(len(bare), np.int64), spelled[which], np.full(len(bare), self.rare)))
+        begin, length, code, weight = (np.concatenate(x) for x in zip(*found))
+        node = begin + length - 1
+        order = np.argsort(node * 64 - length)
+        begin, node, code, weight = begin[order], node[order], code[order], weight[order]
+        count = np.bincount(node, minlength=len(raw))
+        first = np.cumsum(count) - count
+        # the weight of all paths to each node, place after place
+        sums, paths = np.ones(len(raw)), np.zeros(len(node))
+        by_place = np.argsort(place[node].astype(np.uint8), kind="stable")
+        ends = np.cumsum(np.bincount(place[node], minlength=1))
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            e = by_place[a:b]
+            if len(e):
+                paths[e] = weight[e] * np.where(place[begin[e]] == 0, 1.0, sums[begin[e] - 1])
+                new = np.flatnonzero(np.diff(node[e], prepend=-1))
+                sums[node[e[new]]] = np.add.reduceat(paths[e], new)
+        for j in range(1, int(count.max(initial=0))):
+            e = first[count > j] + j
+            paths[e] += paths[e - 1]
+        share = paths / paths[first + count - 1][node]
+        nodes, edges = self.arrays[1].n, self.arrays[3].n
+        for known, new in zip(self.arrays, (nodes + np.cumsum(size) - 1, edges + first, place[begin], code, share)):
+            known.extend(new)
+        for u in units:
+            self.units[u] = len(self.units)
 
     def numbers(self, units: list[str]) -> np.ndarray:
-        if len(self.code) > MEMORY:
+        if self.arrays[3].n > MEMORY:
             self.clear()
-        get, add = self.units.get, self.add
-        return np.fromiter((n if (n := get(u)) is not None else add(u) for u in units), np.int64, len(units))
-
-    def flat(self):
-        if self.arrays is None:
-            self.arrays = tuple(np.array(x, t) for x, t in ((self.last, np.int32), (self.edge_at, np.int32), (self.start, np.uint8), (self.code, np.int32), (self.share, np.float64)))
-        return self.arrays
+        fresh, n = [], 0
+        for u in dict.fromkeys(units):
+            if u not in self.units:
+                fresh.append(u)
+                n += len(u)
+                if n > AT_ONCE:
+                    self.add(fresh)
+                    fresh, n = [], 0
+        if fresh:
+            self.add(fresh)
+        return np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+
+    def flat(self) -> list[np.ndarray]:
+        return [known.array() for known in self.arrays]
 
     def ids_of(self) -> tuple[np.ndarray, np.ndarray]:
         """The ids of each code, as starts and values: pieces first, then spelled characters from the end."""
