@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -46,7 +47,22 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def released(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes tables that ``stored`` wrote and that no later job reads.
+
+    The collection afterwards lets Spark's cleaner see that the shuffles of
+    the finished jobs are out of use, so that their files go as well.
+    """
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def slices(batches, column: str = "text", most: int | None = None) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import released, stored
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,15 +15,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     very many links is split by adaptive execution instead of meeting in one
     task, and nothing is collected but the round's count of changes.  Links
     with a null end and links of a node with itself are left out; no links
-    give an empty result.
+    give an empty result.  A round's tables are deleted at its end.
     """
     both = lambda e: e.select(F.col("u"), F.col("v")).union(e.select(F.col("v"), F.col("u")))
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     edges = stored(edges, "cc")
     while True:
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours
-        low = stored(both(edges).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-low")
-        large = both(edges).join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        high = stored(both(edges).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-high")
+        large = both(edges).join(high, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where("u != v").distinct(), "cc-large")
         # small star: u and its smaller neighbours go to the smallest of them
         low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
@@ -31,6 +31,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = stored(small.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "cc")
         same = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         was = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        released(edges.sparkSession, edges, high, low, large)
         edges = small
         if same == was:
             break

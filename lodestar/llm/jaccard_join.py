@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, hashed, mixed, slices, stored, text_rows, translated, words_of
+from .common import LOWER, hashed, mixed, released, slices, stored, text_rows, translated, words_of
 from .components import components
 
 _U = np.uint64
@@ -65,14 +65,18 @@ class Bands:
         return list(range(k, self.of(most) + 1))
 
     def shape(self, k: int) -> tuple[int, int, int]:
-        """Of band k: words P, words s that may be empty, and words of the short sketch for the Hamming bound."""
+        """Of band k: words P, words s that may be empty, and words of the short sketch for the Hamming bound.
+
+        A short sketch has 4 bits for each member that may differ: unlike
+        sets differ there in about twice as many bits as the bound allows.
+        """
         high = self.low(k + 1) - 1
         d = self.most_apart(2 * high)
         least = self.low(k) * self.percent / 100
         s = 0
         for _ in range(4):
             s = int(1.5 * (d + 1 + s) * math.exp(-least / (d + 1 + s)))
-        return d + 1 + s, s, min(256, max(2, math.ceil(d / 6)))
+        return d + 1 + s, s, min(256, max(2, math.ceil(d / 16)))
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -154,7 +158,7 @@ def _near(percent: int, a: str, b: str):
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of classes, the links: (a, b, both, n_a, n_b), the sizes of intersection and sets.
+    """Of the pairs (a, b) of classes, the links, as a stored table: (a, b, both, n_a, n_b), the sizes of intersection and sets.
 
     Each class is read as the text of its smallest document.  A document id
     that several rows share can bring another text; its class tells it apart.
@@ -175,10 +179,13 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, perc
     texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).where("rep is not null")
     for side in ("a", "b"):
         pairs = pairs.join(rep.select(F.col("cid").alias(side), F.col("rep").alias(f"rep_{side}")), side)
-    pairs = stored(pairs.select("a", "b", "rep_a", "rep_b"), "jaccard-pairs")
+    pairs = known = stored(pairs.select("a", "b", "rep_a", "rep_b"), "jaccard-pairs")
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("rep").alias(f"rep_{side}"), F.col("text").alias(f"text_{side}")), f"rep_{side}")
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, n_a long, n_b long").distinct()
+    links = pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, n_a long, n_b long").distinct()
+    links = stored(links, "jaccard-links")
+    released(docs.sparkSession, known)
+    return links
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: float = 1.5) -> DataFrame:
@@ -193,20 +200,25 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
     columns are ignored.
     """
     made = stored(sketches(docs, n, percent, ratio), "jaccard-sketches")
-    live = made.where("band is not null and doc_id is not null")
-    classes = stored(live.groupBy("cid").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    own = stored(made.where(f"band is null or {_own(percent, ratio)}").select("doc_id", "cid", "n"), "jaccard-own")
+    classes = stored(own.where("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
 
     # one row for each class and band, with what its smallest document has
-    short = live.join(classes.select(F.col("rep").alias("doc_id"), "cid"), ["doc_id", "cid"], "left_semi").groupBy("cid", "band").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    short = stored(short, "jaccard-short")
+    # (rows are alike in all columns if they are in these three; grouped as they were joined, so they are dealt once)
+    short = made.where("band is not null and doc_id is not null").join(classes.select(F.col("rep").alias("doc_id"), "cid"), ["doc_id", "cid"], "left_semi")
+    short = stored(short.dropDuplicates(["doc_id", "cid", "band"]).drop("doc_id"), "jaccard-short")
+    released(docs.sparkSession, made)
 
     # classes that meet in a word of a sketch, each with the smallest that it meets there
     met = short.select("cid", "band", F.explode("keys").alias("key"))
     ends = stored(met.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first < last").select("key", "first"), "jaccard-ends")
+    released(docs.sparkSession)
     met = stored(met.join(ends, "key").select("key", "cid", "band", "first"), "jaccard-met")
+    released(docs.sparkSession, ends)
     pairs = met.where("cid != first").select("band", F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
 
     # of a document's candidates among them, the nearest by sketch
+    short_of = short
     short = short.drop("keys")
     side = lambda name: short.select(F.col("cid").alias(name), "band", F.struct("n", "sketch").alias("s" + name))
     near = pairs.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"]).where(_near(percent, "sa", "sb"))
@@ -214,7 +226,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
     near = stored(near, "jaccard-near")
     best = lambda of, to: near.groupBy(of).agg(F.min_by(to, F.struct("far", to)).alias(to)).select("a", "b")
     first = stored(best("a", "b").union(best("b", "a")).distinct(), "jaccard-first")
-    links = stored(verified(docs, first, classes, n, percent), "jaccard-links")
+    released(docs.sparkSession, near)
+    links = verified(docs, first, classes, n, percent)
     parts = stored(components(links), "jaccard-parts")
 
     # what meets across components, by all pairs that the sketches let pass
@@ -222,20 +235,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
     named = named.withColumn("component", F.coalesce("component", "cid"))
     mixed_keys = stored(named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"), "jaccard-mixed")
     open_ = stored(named.join(mixed_keys, "key").join(short, ["cid", "band"]).select("key", "cid", "component", "n", "sketch"), "jaccard-open")
+    released(docs.sparkSession, met, mixed_keys, parts)
     x, y = open_.alias("x"), open_.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _near(percent, "x", "y"))
     rest = rest.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     rest = stored(rest.join(first, ["a", "b"], "left_anti"), "jaccard-rest")
-    if rest.head(1):
-        links = stored(links.union(verified(docs, rest, classes, n, percent)), "jaccard-links")
-        parts = stored(components(links), "jaccard-parts")
+    released(docs.sparkSession, open_, first)
+    more = verified(docs, rest, classes, n, percent)
+    parts = stored(components(links.union(more)), "jaccard-parts")
 
     named = classes.join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left").select("cid", "rep", F.coalesce("component", "cid").alias("component"))
     named = stored(named, "jaccard-components")
-    least = stored(named.groupBy("component").agg(F.min("rep").alias("component_id")), "jaccard-least")
-    named = stored(named.join(least, "component").select("cid", "component_id"), "jaccard-named")
-    own = made.where("band is null").select("doc_id", "cid", "n").union(made.where(f"band is not null and {_own(percent, ratio)}").select("doc_id", "cid", "n"))
-    found = own.join(named.withColumnRenamed("cid", "c"), (F.col("cid") == F.col("c")) & (F.col("n") > 0), "left")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    ids = stored(named.join(least, "component").select(F.col("cid").alias("c"), "component_id"), "jaccard-ids")
+    released(docs.sparkSession, short_of, classes, rest, links, more, parts, named)
+    found = own.join(ids, (F.col("cid") == F.col("c")) & (F.col("n") > 0), "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
