@@ -56,11 +56,14 @@ def released(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables that ``stored`` wrote and that no later job reads.
 
     The collection afterwards lets Spark's cleaner see that the shuffles of
-    the finished jobs are out of use, so that their files go as well.
+    the finished jobs are out of use, so that their files go as well.  The
+    listeners hold on to the last query that ended; a small one takes its
+    place first.
     """
     for t in tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(t._stored_at)
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    spark.range(1).count()
     gc.collect()
     spark._jvm.System.gc()
 

@@ -206,7 +206,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
     # one row for each class and band, with what its smallest document has
     # (rows are alike in all columns if they are in these three; grouped as they were joined, so they are dealt once)
     short = made.where("band is not null and doc_id is not null").join(classes.select(F.col("rep").alias("doc_id"), "cid"), ["doc_id", "cid"], "left_semi")
-    short = stored(short.dropDuplicates(["doc_id", "cid", "band"]).drop("doc_id"), "jaccard-short")
+    short = stored(short.dropDuplicates(["doc_id", "cid", "band"]).drop("doc_id"), "jaccard-keyed")
     released(docs.sparkSession, made)
 
     # classes that meet in a word of a sketch, each with the smallest that it meets there
@@ -214,12 +214,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
     ends = stored(met.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first < last").select("key", "first"), "jaccard-ends")
     released(docs.sparkSession)
     met = stored(met.join(ends, "key").select("key", "cid", "band", "first"), "jaccard-met")
-    released(docs.sparkSession, ends)
+    keyed, short = short, stored(short.drop("keys"), "jaccard-short")
+    released(docs.sparkSession, ends, keyed)
     pairs = met.where("cid != first").select("band", F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
 
     # of a document's candidates among them, the nearest by sketch
-    short_of = short
-    short = short.drop("keys")
     side = lambda name: short.select(F.col("cid").alias(name), "band", F.struct("n", "sketch").alias("s" + name))
     near = pairs.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"]).where(_near(percent, "sa", "sb"))
     near = near.select("a", "b", F.expr("aggregate(zip_with(sa.sketch, sb.sketch, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) / (sa.n + sb.n)").alias("far"))
@@ -235,7 +234,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
     named = named.withColumn("component", F.coalesce("component", "cid"))
     mixed_keys = stored(named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"), "jaccard-mixed")
     open_ = stored(named.join(mixed_keys, "key").join(short, ["cid", "band"]).select("key", "cid", "component", "n", "sketch"), "jaccard-open")
-    released(docs.sparkSession, met, mixed_keys, parts)
+    released(docs.sparkSession, met, short, mixed_keys, parts)
     x, y = open_.alias("x"), open_.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _near(percent, "x", "y"))
     rest = rest.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
@@ -248,7 +247,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
     named = stored(named, "jaccard-components")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     ids = stored(named.join(least, "component").select(F.col("cid").alias("c"), "component_id"), "jaccard-ids")
-    released(docs.sparkSession, short_of, classes, rest, links, more, parts, named)
+    released(docs.sparkSession, classes, rest, links, more, parts, named)
     found = own.join(ids, (F.col("cid") == F.col("c")) & (F.col("n") > 0), "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
