@@ -12,8 +12,8 @@ a bit say little and are left out, unless a set has more than s of them: a
 pair that agrees in such words only then meets there all the same.  So no
 pair is lost.
 
-Candidates that meet in a word are first each bucket's members with its
-smallest member; after their components are known, only the
+Candidates are first each bucket's members with its smallest member, if they
+meet in an eighth of the words; after their components are known, only the
 members of a bucket that lie in different components are paired, under the
 Hamming bound inside the join.  All that pass are verified on the n-grams of
 their whole texts.  That gives the exact components of the link graph
@@ -216,7 +216,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
     met = stored(met.join(ends, "key").select("key", "cid", "band", "first"), "jaccard-met")
     keyed, short = short, stored(short.drop("keys"), "jaccard-short")
     released(docs.sparkSession, ends, keyed)
-    pairs = met.where("cid != first").select("band", F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
+    # (a linked pair mostly agrees in a third of its words; those that agree in less than an eighth are left to the last step)
+    pairs = met.where("cid != first").groupBy("band", F.col("first").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("words"))
+    pairs = pairs.where(f"words >= {_eighth(percent, ratio)}").drop("words")
 
     # of a document's candidates among them, the nearest by sketch
     side = lambda name: short.select(F.col("cid").alias(name), "band", F.struct("n", "sketch").alias("s" + name))
@@ -256,3 +258,9 @@ def _own(percent: int, ratio: float) -> str:
     """That a row's band is its set's own, not one above it."""
     bands = Bands(percent, ratio)
     return "n >= element_at(array({}), band + 1)".format(", ".join(str(bands.low(k)) + "L" for k in range(64)))
+
+
+def _eighth(percent: int, ratio: float) -> str:
+    """An eighth of the words of a row's band, 1 at least."""
+    bands = Bands(percent, ratio)
+    return "element_at(array({}), band + 1)".format(", ".join(f"{max(1, bands.shape(k)[0] // 8)}L" for k in range(64)))
