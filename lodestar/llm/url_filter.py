@@ -1,7 +1,8 @@
 """URL filters: a blocked Bloom filter before an exact hash join.
 
-Each URL asks for a few keys: its canonical form, and each suffix of its
-host with each path prefix that some rule has the length of.  A key is
+Each URL asks for a few keys: its canonical form with and without the path,
+and each suffix of its host with each path prefix that some rule has the
+length of.  A key is
 looked up in one block of the filter, eight 64-bit words of which it sets
 one bit each, held as an array in the projection.  Only keys that may be
 listed go on to the exact join, which removes the false positives.
@@ -43,7 +44,7 @@ def canonical(host: str, path: str) -> str:
 
 
 def listed(spark: SparkSession, rules: Iterable[tuple[str, str, str]], urls: DataFrame | None = None) -> DataFrame:
-    """The list of a filter: rules (host, path prefix, verdict), and blocked canonical URLs (the first column of urls)."""
+    """The list of a filter: rules (host, path prefix, verdict), and blocked canonical URLs (the first column of urls); one without a path stands for all pages of its host."""
     rows = [(f"r\t{h}\t{p}", h + p, v, len(h + p)) for h, p, v in rules]
     out = spark.createDataFrame(rows, LIST)
     if urls is not None:
@@ -72,7 +73,7 @@ def filtered(pages: DataFrame, rules: DataFrame, default: str = "allow", url: st
     """(key, host, path, rule, verdict, listed) of each page.
 
     rule is the longest one that fits (by length, then by text) and decides
-    the verdict; else a listed canonical URL is blocked, and the rest gets
+    the verdict; else a listed canonical URL or host is blocked, and the rest gets
     ``default``.  A null URL or one without :// has empty host and path and
     fits nothing.  Rows may repeat or have a null key: each gives its row.
     """
@@ -85,7 +86,7 @@ def filtered(pages: DataFrame, rules: DataFrame, default: str = "allow", url: st
     base = base.withColumn("_parts", F.split("host", "[.]"))
     suffixes = "transform(sequence(1, size(_parts)), i -> array_join(slice(_parts, i, size(_parts)), '.'))"
     prefixes = f"filter(array({', '.join(map(str, lengths)) or '-1'}), n -> n between 0 and length(path))"
-    asked = f"concat(flatten(transform({suffixes}, h -> transform({prefixes}, n -> concat('r\t', h, '\t', left(path, n))))), array(concat('u\t', {canonical('host', 'path')})))"
+    asked = f"concat(flatten(transform({suffixes}, h -> transform({prefixes}, n -> concat('r\t', h, '\t', left(path, n))))), array(concat('u\t', {canonical('host', 'path')}), concat('u\t', {canonical('host', "''")})))"
     base = base.withColumn("_keys", F.expr(f"CASE WHEN host = '' THEN array() ELSE {asked} END")).drop("_parts")
     filter_words = F.expr(f"cast(split('{','.join(map(str, words))}', ',') as array<bigint>)")  # folded to one literal
     block, h = _bits("k", blocks)

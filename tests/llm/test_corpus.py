@@ -262,6 +262,18 @@ def test_urls(spark):
     assert url_filter.filtered(df, rules.where("false")).where("verdict = 'allow'").count() == len(rows)
 
 
+def test_listed_hosts_have_no_id_range(spark):
+    rows = [(k, f"https://{h}.example.com/{lang}/{k}.html") for k in (0, 999, 1000, 9992, 123456789) for h in ("spam-farm", "www.cheap-pills") for lang in ("en", "fr")]
+    rows += [(1, "http://m.spam-farm.example.net"), (2, "http://cheap-pills.example.org/?q")]
+    free = [(3, "http://x.spam-farm.example.net/fr/1"), (4, "http://spam-farm.example.nets/fr/1"), (5, "http://a.test/spam-farm.example.net")]
+    pages = spark.createDataFrame(rows + free, "page_id long, url string")
+    out = url_filter.filtered(pages, url_filter.listed(spark, (), contracts.spam_urls(spark)))
+    assert Counter((r.page_id, r.verdict) for r in out.collect()) == Counter([(i, "block") for i, _ in rows] + [(i, "allow") for i, _ in free])
+    exact = url_filter.listed(spark, (), spark.createDataFrame([("a.test/x",)], "url string"))
+    pages = spark.createDataFrame([(1, "http://a.test/x/"), (2, "http://a.test/y"), (3, "http://a.test")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in url_filter.filtered(pages, exact).collect()} == {1: "block", 2: "allow", 3: "allow"}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
