@@ -1,12 +1,12 @@
 """Toxicity by subword bags.
 
 A word is the bag of its character n-grams, boundaries included; each hash
-bucket of n-grams has an embedding.  The embeddings of a word are averaged,
-those of a run of RUN words are averaged again, and a linear softmax over two
-classes reads the result; a document is as toxic as its most toxic run, so a
-single insult in a long text is not thinned out.  Runs of one word found 85 of
-97 held-out toxic documents of 10,000, runs of six 56.  Embeddings and softmax are
-trained together.  A misspelling that was never seen shares most n-grams
+bucket of n-grams has an embedding.  The embeddings of a word are averaged and
+a linear softmax over two classes reads the result; a document is as toxic as
+its most toxic word, so a single insult in a long text is not thinned out.
+Means of runs of six words found 56 held-out toxic documents where single words
+found 85.  Embeddings and softmax are trained together, on the distinct words
+of each text and how often it has them, which is all that this reads of a text.  A misspelling that was never seen shares most n-grams
 with the word it comes from.
 """
 
@@ -23,9 +23,9 @@ from .quality_classifier import labelled
 
 BUCKETS, DIM = 1 << 17, 8
 SIZES = (3, 4, 5, 6)
-RUN = 1
-#: Labelled rows that are learnt from, at most, and the bytes of their texts that reach the driver at most.
-SAMPLE, SAMPLE_BYTES = 5000, 10_000_000
+#: Labelled rows that are learnt from, at most, and the bytes of their bags of words that reach the driver at most.
+SAMPLE, SAMPLE_BYTES = 5000, 32_000_000
+BAG = "h long, doc_id long, t long, y int, n long, words array<string>, times array<int>"
 _U = np.uint64
 
 
@@ -56,51 +56,54 @@ def _means(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(sizes) - sizes) / sizes if len(sizes) else values
 
 
-def _runs(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of RUN words, the last of a text shorter: words of each run, and runs of each text."""
-    per = -(-counts // RUN)
-    sizes = np.full(per.sum(), RUN, np.int64)
-    ends = np.cumsum(per)[per > 0] - 1
-    sizes[ends] = counts[per > 0] - (per[per > 0] - 1) * RUN
-    return sizes, per
+def bags(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The distinct words of each text: how many it has, all of them, and how often each occurs."""
+    counts, words = words_of(translated(text, LOWER_ALNUM))
+    most = max(1, len(words.dictionary))
+    pairs, times = np.unique(np.repeat(np.arange(len(counts)), counts) * most + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    return np.bincount(pairs // most, minlength=len(counts)), words.dictionary.take(pa.array(pairs % most)), times
 
 
 class Model:
     """Embeddings, the softmax's difference of class weights, and a bias; a bucket's part of the logit is their product."""
 
     def __init__(self, texts: list[str], y: np.ndarray, steps: int = 80, seed: int = 3):
+        self._fit(*bags(pa.array(texts, pa.large_string())), y, steps, seed)
+
+    @classmethod
+    def of_bags(cls, counts: np.ndarray, words: pa.Array, times: np.ndarray, y: np.ndarray, steps: int = 80, seed: int = 3) -> Model:
+        """The model of texts that are given as bags() has them."""
+        model = cls.__new__(cls)
+        model._fit(counts, words, times, y, steps, seed)
+        return model
+
+    def _fit(self, counts, words, times, y, steps, seed):
         rng = np.random.default_rng(seed)
         self.table = (rng.normal(0, 0.1, (BUCKETS, DIM))).astype(np.float32)
         self.weight, self.bias = rng.normal(0, 1, DIM).astype(np.float32), 0.0
         self.flat = self.table @ self.weight
-        counts, words = words_of(translated(pa.array(texts, pa.large_string()), LOWER_ALNUM)) if texts else (np.zeros(0, np.int64), None)
         has = counts > 0
         if len(set(y[has].tolist())) < 2:
             self.flat[:] = 0
             self.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
             return
-        counts, y = counts[has], y[has]
+        counts, y, words = counts[has], y[has], words.dictionary_encode()
         code = words.indices.to_numpy(zero_copy_only=False)
         ids, sizes = grams(words.dictionary.to_pylist())
-        run_sizes, per = _runs(counts)
-        run_at, doc_at = np.cumsum(run_sizes) - run_sizes, np.cumsum(per) - per
-        doc_of_run = np.repeat(np.arange(len(per)), per)
+        doc_at, doc = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
         of_gram = np.repeat(np.arange(len(sizes)), sizes)
         m = [np.zeros_like(self.table), np.zeros_like(self.weight), 0.0]
         v = [np.zeros_like(self.table), np.zeros_like(self.weight), 0.0]
         for t in range(1, steps + 1):
             flat = self.table @ self.weight
-            word = _means(flat[ids], sizes)
-            run = np.add.reduceat(word[code], run_at) / run_sizes
-            # a soft maximum that hardens, so that every run is learnt from at first
+            word = _means(flat[ids], sizes)[code]
+            # a soft maximum that hardens, so that every word is learnt from at first
             hard = min(1 + t / 10, 12)
-            top = np.maximum.reduceat(run, doc_at)
-            e = np.exp(hard * (run - top[doc_of_run]))
-            share = e / np.add.reduceat(e, doc_at)[doc_of_run]
-            z = np.add.reduceat(share * run, doc_at) + self.bias
+            e = times * np.exp(hard * (word - np.maximum.reduceat(word, doc_at)[doc]))
+            share = e / np.add.reduceat(e, doc_at)[doc]
+            z = np.add.reduceat(share * word, doc_at) + self.bias
             error = (1 / (1 + np.exp(-z)) - y) / len(y)
-            back = np.repeat(share * error[doc_of_run] / run_sizes, run_sizes)
-            g_word = np.bincount(code, weights=back, minlength=len(sizes)) / sizes
+            g_word = np.bincount(code, weights=share * error[doc], minlength=len(sizes)) / sizes
             g_flat = np.bincount(ids, weights=g_word[of_gram], minlength=BUCKETS).astype(np.float32)
             grads = [np.outer(g_flat, self.weight), self.table.T @ g_flat, error.sum()]
             out = [self.table, self.weight, self.bias]
@@ -118,26 +121,45 @@ class Model:
         if len(words):
             ids, sizes = grams(words.dictionary.to_pylist())
             word = _means(self.flat[ids], sizes)
-            run_sizes, per = _runs(counts)
-            run = np.add.reduceat(word[words.indices.to_numpy(zero_copy_only=False)], np.cumsum(run_sizes) - run_sizes) / run_sizes
-            has = per > 0
-            top[has] = np.maximum.reduceat(run, (np.cumsum(per) - per)[has])
+            has = counts > 0
+            top[has] = np.maximum.reduceat(word[words.indices.to_numpy(zero_copy_only=False)], (np.cumsum(counts) - counts)[has])
         return 1 / (1 + np.exp(-np.clip(top + self.bias, -30, 30)))
 
 
+def _bagged(batches):
+    for rows, text in slices(batches):
+        counts, words, times = bags(text)
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False) + 8)])
+        at = pa.array(ends.astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, words.cast(pa.string())), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int32)))]
+        yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("h", "doc_id", "t", "y")], pa.array(np.diff(size[ends])), *lists], names=["h", "doc_id", "t", "y", "n", "words", "times"])
+
+
 def fitted(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", most: int = SAMPLE) -> Model:
-    """A model of a bounded sample of labelled rows; texts are taken whole, in the order of the sample, up to SAMPLE_BYTES."""
+    """A model of a bounded sample of labelled rows, of which the driver gets the bags of words.
+
+    The bags are taken whole, in the order of the sample; one that does not
+    fit in what is left of SAMPLE_BYTES is passed over and the rest goes on.
+    """
     sample = stored(labelled(labels, label, train, most), "toxic-sample")
-    rows = text_rows(docs).join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), "y")
-    sizes = sorted((r[0], r[1], r[2]) for r in rows.select("h", "doc_id", F.octet_length("text")).collect())
-    total, upto = 0, None
-    for h, _, n in sizes:
-        total += n
-        if total > SAMPLE_BYTES:
-            break
-        upto = h
-    got = sorted(tuple(r) for r in rows.where(F.col("h") <= F.lit(upto)).collect()) if upto is not None else []
-    return Model([r[2] for r in got], np.array([r[3] for r in got], np.float64))
+    text = F.coalesce("text", F.lit(""))
+    rows = text_rows(docs).join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("long"), F.xxhash64("doc_id", text).alias("t"), "y", text.alias("text"))
+    rows = stored(rows.mapInArrow(_bagged, BAG), "toxic-bags")
+    total, over = 0, set()
+    for _, _, t, n in sorted(tuple(r) for r in rows.select("h", "doc_id", "t", "n").collect()):
+        if total + n > SAMPLE_BYTES:
+            over.add(t)
+        else:
+            total += n
+    got = rows.where(~F.col("t").isin(over)).toArrow().sort_by([(c, "ascending") for c in ("h", "doc_id", "t")]).combine_chunks()
+    counts = pc.list_value_length(got["words"]).to_numpy().astype(np.int64)
+    words = pc.list_flatten(got["words"]).combine_chunks()
+    # in the order of the words, so that the sums do not depend on who made the bags
+    code = pc.rank(words, tiebreaker="min").to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.lexsort((code, np.repeat(np.arange(len(counts)), counts)))
+    times = pc.list_flatten(got["times"]).to_numpy()[order]
+    return Model.of_bags(counts, words.take(pa.array(order)), times, got["y"].to_numpy().astype(np.float64))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

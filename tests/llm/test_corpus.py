@@ -215,6 +215,18 @@ def test_misspelling():
     assert s[0] > 0.5 and s[1] > 0.5 and s[2] < 0.5
 
 
+def test_a_long_text_leaves_the_toxicity_sample_whole(spark, monkeypatch):
+    rows = [(k, f"a {('warm', 'worthless')[k % 2]} day {k}", k % 2) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    first = df.orderBy(F.xxhash64("doc_id")).first().doc_id
+    long = df.withColumn("text", F.when(F.col("doc_id") == first, F.concat("text", F.expr("repeat(' plain words', 1000000)"))).otherwise(F.col("text")))
+    wide = df.withColumn("text", F.when(F.col("doc_id") == first, F.concat("text", F.expr("array_join(transform(sequence(1, 5000), x -> concat(' w', x)), '')"))).otherwise(F.col("text")))
+    for some, most in ((long, 32_000_000), (wide, 10_000)):
+        monkeypatch.setattr(toxicity, "SAMPLE_BYTES", most)
+        out = toxicity.scored(df, toxicity.fitted(some, df, F.lit(True))).collect()
+        assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in out)
+
+
 def test_sentencepiece(spark, odd, none, docs, texts):
     path = contracts.vocabulary("piece_bpe_32k.model")
     for df, rows in ((docs, list(texts.items())), (odd, [(i, t) for i, t, _ in ODD])):
