@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import by, ffill, pct_change
 from ..sources import on_calendar, read_table
 
-#: The last month of the tables has one day; it is left out.
+#: The last month of orders has one day; the SQL leaves it out, and with it the rows that lineitem has from then to 2001-11-04.
 END = "2001-08-01"
 SPLIT = "1998-12-31"
 #: Columns of results are rounded to this many places.
