@@ -129,15 +129,15 @@ def boosting(trees: int = 100, depth: int = 3, rate: float = 0.05, rows: float =
     return fit
 
 
-def network(hidden: tuple[int, int] = (16, 8), alpha: float = 1.0, epochs: int = 200, seed: int = 42) -> Fit:
-    """Two tanh layers by Adam; a tenth of the rows stops training when it no longer gains."""
+def network(hidden: tuple[int, int] = (16, 8), alpha: float = 1.0, epochs: int = 1000, seed: int = 42, held: float = 0.15, patience: int = 20) -> Fit:
+    """Two tanh layers by Adam; the last rows, a share of ``held``, stop training when they no longer gain."""
 
     def fit(x, y):
         rng = np.random.default_rng(seed)
         m, s = x.mean(0), x.std(0) + 1e-9
         z, sizes = (x - m) / s, [x.shape[1], *hidden, 1]
         w = [rng.normal(0, sizes[k] ** -0.5, (sizes[k] + 1, sizes[k + 1])) for k in range(3)]
-        cut = max(1, len(z) // 10)
+        cut = max(1, int(np.ceil(held * len(z))))
         a, b = [np.zeros_like(v) for v in w], [np.zeros_like(v) for v in w]
         best, kept, wait = np.inf, w, 0
         for t in range(1, epochs + 1):
@@ -151,7 +151,7 @@ def network(hidden: tuple[int, int] = (16, 8), alpha: float = 1.0, epochs: int =
                 w[k] = w[k] - 0.01 * (a[k] / (1 - 0.9**t)) / (np.sqrt(b[k] / (1 - 0.999**t)) + 1e-8)
             error = ((_forward(z[-cut:], w)[-1][:, 0] - y[-cut:]) ** 2).mean()
             best, kept, wait = (error, [v.copy() for v in w], 0) if error < best - 1e-9 else (best, kept, wait + 1)
-            if wait > 10:
+            if wait > patience:
                 break
         return lambda q: _forward((q - m) / s, kept)[-1][:, 0]
 
@@ -206,10 +206,10 @@ MODELS: dict[str, Fit] = {
     "ridge": ridge(),
     "elastic_net": elastic_net(),
     "elastic_net_cv": elastic_net_cv(),
-    "forest": forest(20),
-    "boosting": boosting(40),
+    "forest": forest(),
+    "boosting": boosting(),
     "network": network(),
-    "ensemble": ensemble(ols, boosting(20, 2)),
+    "ensemble": ensemble(ols, boosting(50, 2)),
     "factor_linear": factor_model(),
 }
 

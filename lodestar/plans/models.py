@@ -31,8 +31,8 @@ def walk_forward_rolling(spark, d):
 
 @query()
 def walk_forward_nonlinear(spark, d):
-    """Trees, network and mixture, every sixth month."""
-    return walkforward.walk_forward(_wide(spark, d), ["forest", "boosting", "network", "ensemble", "elastic_net_cv"], 48, step=6)
+    """Trees, network and mixture, every month."""
+    return walkforward.walk_forward(_wide(spark, d), ["forest", "boosting", "network", "ensemble", "elastic_net_cv"], 48)
 
 
 @query()
@@ -64,12 +64,12 @@ def hmm_states(spark, d):
 
 @query()
 def bootstrap_sharpe(spark, d):
-    return metrics.bootstrap(panels.returns(spark, d), ["series"], "ret", 500)
+    return metrics.bootstrap(panels.returns(spark, d), ["series"], "ret", 1000)
 
 
 @query()
 def permutation_sharpe(spark, d):
-    return metrics.permutation(panels.signals(spark, d), ["series"], 300)
+    return metrics.permutation(panels.signals(spark, d), ["series"], 1000)
 
 
 QUERIES, ORACLES = query.queries, query.oracles

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lodestar.operators import metrics, portfolio, regimes, walkforward
+from lodestar.plans import models, panels
 from lodestar.streaming import windowed
 
 
@@ -43,6 +44,34 @@ def test_models_fit_a_line():
         assert np.corrcoef(fit(x[:100], y[:100])(x[100:]), y[100:])[0, 1] > 0.5, name
 
 
+def test_models_have_the_reference_sizes(monkeypatch):
+    rng = np.random.default_rng(5)
+    x, grown = rng.normal(size=(60, 2)), []
+    monkeypatch.setattr(walkforward, "_tree", lambda *a: grown.append(1) or 0.0)
+    for name, trees in (("forest", 100), ("boosting", 100), ("ensemble", 50)):
+        grown.clear()
+        walkforward.MODELS[name](x, x[:, 0])
+        assert len(grown) == trees, name
+    steps = []
+    monkeypatch.setattr(walkforward, "_forward", lambda q, w: steps.append(len(q)) or [q, np.zeros((len(q), 16)), np.zeros((len(q), 8)), np.full((len(q), 1), 1 / (1 + len(steps)))])
+    walkforward.MODELS["network"](x, np.zeros(60))
+    assert steps == [51, 9] * 1000
+    steps.clear()
+    monkeypatch.setattr(walkforward, "_forward", lambda q, w: steps.append(len(q)) or [q, np.zeros((len(q), 16)), np.zeros((len(q), 8)), np.ones((len(q), 1))])
+    walkforward.MODELS["network"](x, np.zeros(60))
+    assert steps == [51, 9] * 22
+
+
+def test_registered_jobs_are_whole(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(walkforward, "MODELS", dict.fromkeys(walkforward.MODELS, walkforward.ols))
+    months = models._wide(spark, d).dropna().count()
+    out = models.QUERIES["walk_forward_nonlinear"](spark, d).groupBy("model").count().collect()
+    assert months > 54 and len(out) == 5 and {r["count"] for r in out} == {months - 48}
+    for name, whole in (("bootstrap_sharpe", metrics.bootstrap(panels.returns(spark, d), ["series"], "ret")), ("permutation_sharpe", metrics.permutation(panels.signals(spark, d), ["series"]))):
+        assert sorted(models.QUERIES[name](spark, d).collect()) == sorted(panels.rounded(whole).collect()), name
+
+
 def test_hidden_states_separate(spark):
     rng = np.random.default_rng(4)
     values = [float(v) for v in np.concatenate([rng.normal(1, 0.1, 40), rng.normal(-1, 0.1, 40)])]
