@@ -23,8 +23,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.5 or more; the network learns from this stage's labelled documents."""
-    model = quality_classifier.fitted(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    """Documents whose quality score is 0.5 or more; the network learns from the labelled documents of the folder, since the rules leave those of one label only."""
+    model = quality_classifier.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
     return quality_classifier.kept(docs.select(*COLUMNS), *model, least=0.5)
 
 

@@ -286,6 +286,18 @@ def test_listed_hosts_have_no_id_range(spark):
     assert {r.page_id: r.verdict for r in url_filter.filtered(pages, exact).collect()} == {1: "block", 2: "allow", 3: "allow"}
 
 
+def test_pipeline_classifier_rejects(spark):
+    import corpus_pipeline as p
+
+    data = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    good, bad = ([k for k, y in labels.items() if y == want and zlib.crc32(str(k).encode()) % 3 == 1] for want in (1, 0))
+    ones = docs.where(F.col("doc_id").isin([k for k, y in labels.items() if y == 1]) | F.col("doc_id").isin(bad))
+    left = {r.doc_id for r in p.classifier(spark, ones, data).select("doc_id").collect()}
+    assert len(set(bad) & left) < len(bad) / 2 and len(set(good) & left) > 0.9 * len(good)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
