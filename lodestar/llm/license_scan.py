@@ -13,6 +13,7 @@ slices first, and only they are streamed.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Mapping
 
 import numpy as np
@@ -130,19 +131,26 @@ class Automaton:
 
 
 def chained(runs: list[tuple[int, int, int]]) -> tuple[int, int, int]:
-    """The most template words that runs (place in the text, place in the template, words) cover in order in both; and the chain's span in the text."""
-    runs = sorted(runs)
-    best: list[tuple[int, int, int]] = []
-    for i, (d, t, n) in enumerate(runs):
-        value = (n, d, d + n)
-        for j in range(max(0, i - 200), i):  # runs are maximal, so few lie between two of a chain
-            dj, tj, nj = runs[j]
-            if dj + nj <= d and tj < t:
-                gain = n - max(0, tj + nj - t)
-                if gain > 0 and best[j][0] + gain > value[0]:
-                    value = (best[j][0] + gain, best[j][1], d + n)
-        best.append(value)
-    return max(best)
+    """The most template words that runs (place in the text, place in the template, words) cover in order in both; and the chain's span in the text.
+
+    Runs come in the order of the text, and of those that ended the best chain
+    is kept for each (begin, end) in the template, of which there are few.
+    """
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    waiting: list[tuple[int, int, int, int, int]] = []  # by the end in the text: chains that a later run may go on from
+    top = (0, 0, 0)
+    for d, t, n in sorted(runs):
+        while waiting and waiting[0][0] <= d:
+            _, tj, ej, had, begin = heapq.heappop(waiting)
+            best[tj, ej] = max(best.get((tj, ej), (0, 0)), (had, begin))
+        value = (n, d)
+        for (tj, ej), (had, begin) in best.items():
+            gain = n - max(0, ej - t)
+            if tj < t and gain > 0 and had + gain > value[0]:
+                value = (had + gain, begin)
+        heapq.heappush(waiting, (d + n, t, t + n, *value))
+        top = max(top, (*value, d + n))
+    return top
 
 
 def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, least: int = 4, share: float = 0.5) -> DataFrame:

@@ -62,6 +62,26 @@ def test_license(spark, odd, none, docs, texts):
     assert r.labels == "mit" and r.score > 0.9 and r.spans[0].first == 1
 
 
+def test_license_chain_has_no_look_back():
+    def brute(runs):
+        runs, best = sorted(runs), []
+        for d, t, n in runs:
+            value = n
+            for (dj, tj, nj), had in zip(runs, best):
+                gain = n - max(0, tj + nj - t)
+                if dj + nj <= d and tj < t and gain > 0:
+                    value = max(value, had + gain)
+            best.append(value)
+        return max(best)
+
+    long = [(0, 0, 30), *((40 + 6 * k, 5, 4) for k in range(300)), (2000, 30, 30)]
+    assert license_scan.chained(long) == (60, 0, 2030)
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        runs = [(int(d), int(t), int(n)) for d, t, n in zip(rng.integers(0, 60, 25), rng.integers(0, 30, 25), rng.integers(1, 9, 25))]
+        assert license_scan.chained(runs)[0] == brute(runs)
+
+
 def test_tokens(spark, odd, none, docs, texts):
     from tokenizers import Tokenizer
 
