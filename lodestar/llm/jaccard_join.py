@@ -7,17 +7,19 @@ symmetric difference.
 
 Within a size band, sets that may link differ in at most d members.  The
 sketch is dealt by hash into P = d + 1 + s words; a linked pair agrees in
-1 + s words at least, and joins on one of them (pigeonhole).  Words without
-a bit say little and are left out, unless a set has more than s of them: a
-pair that agrees in such words only then meets there all the same.  So no
-pair is lost.
-
-Candidates are first each bucket's members with its smallest member, if they
-meet in an eighth of the words; after their components are known, only the
-members of a bucket that lie in different components are paired, under the
-Hamming bound inside the join.  All that pass are verified on the n-grams of
-their whole texts.  That gives the exact components of the link graph
-without all pairs of a group.
+1 + s words at least (pigeonhole).  Words with few members say little, so each
+set leaves out its s weakest, ordered by members and then by hash, and joins on
+the other d + 1.  Of the words in which a pair agrees, the strongest has s
+weaker ones beside it in either set and is left out by neither: no pair is
+lost.
+
+First a few words of each set find most links: each bucket's members meet
+its most popular member, and those that a sharp sketch lets pass are
+verified.  Then all words are asked, but only of members that still lie in
+different components: a small sketch within the bucket's join and the sharp
+one after it leave few of the unlinked pairs, and what passes is verified on
+the n-grams of the whole texts.  That gives the exact components of the link
+graph without all pairs of a group of linked texts.
 """
 
 from __future__ import annotations
@@ -64,19 +66,18 @@ class Bands:
         most = 100 * n // self.percent
         return list(range(k, self.of(most) + 1))
 
-    def shape(self, k: int) -> tuple[int, int, int]:
-        """Of band k: words P, words s that may be empty, and words of the short sketch for the Hamming bound.
+    def shape(self, k: int) -> tuple[int, int, int, int]:
+        """Of band k: words P, words s that are left out, and words of the small and of the sharp sketch.
 
-        A short sketch has 4 bits for each member that may differ: unlike
-        sets differ there in about twice as many bits as the bound allows.
+        The small sketch has 4 bits for each member that may differ, up to
+        256 words: unlike sets differ there in about twice as many bits as the
+        bound allows.  The sharp one has 16 and tells sets apart that differ in
+        a tenth more members than linked ones may; folded, it is the small one.
         """
-        high = self.low(k + 1) - 1
-        d = self.most_apart(2 * high)
-        least = self.low(k) * self.percent / 100
-        s = 0
-        for _ in range(4):
-            s = int(1.5 * (d + 1 + s) * math.exp(-least / (d + 1 + s)))
-        return d + 1 + s, s, min(256, max(2, math.ceil(d / 16)))
+        d = self.most_apart(2 * (self.low(k + 1) - 1))
+        s = math.ceil(0.3 * (d + 1)) + 1
+        small = min(256, max(2, math.ceil(d / 16)))
+        return d + 1 + s, s, small, small * max(4, math.ceil(d / 4 / small))
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -98,9 +99,25 @@ def parity(members: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(_U)
 
 
-def class_of(members: np.ndarray) -> int:
-    """A signed 64-bit name of a set."""
-    return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
+def dealt(members: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """A sketch of very wide words, each carried by the XOR of its members' hashes, and how many members each word has.
+
+    Members flip bits so far apart that unlike words are alike by chance only
+    as 64-bit hashes are; members are sorted, and so are their words.
+    """
+    part = (((members >> _U(32)) * _U(words)) >> _U(32)).astype(np.int64)
+    size = np.bincount(part, minlength=words)
+    out = np.zeros(words, _U)
+    at = np.flatnonzero(size)
+    if len(at):
+        out[at] = np.bitwise_xor.reduceat(mixed(members), (np.cumsum(size) - size)[at])
+    return out, size
+
+
+def class_of(members: np.ndarray) -> tuple[int, int]:
+    """A set's 128-bit name, as two signed longs."""
+    name = hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+    return int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True)
 
 
 def word_sets(text: pa.Array, n: int):
@@ -119,46 +136,60 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
-SKETCHES = "doc_id long, cid long, n long, band int, keys array<long>, sketch array<long>"
+def named(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, hi, lo, n) of each document: its set's name and size."""
+
+    def run(batches):
+        for rows, text in slices(batches):
+            out = [(*class_of(members), len(members)) for members in word_sets(text, n)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*out))], names=["doc_id", "hi", "lo", "n"])
+
+    return text_rows(docs).mapInArrow(run, "doc_id long, hi long, lo long, n long")
 
 
-def sketches(docs: DataFrame, n: int, percent: int, ratio: float = 1.5) -> DataFrame:
-    """A row for each document and band it takes part in, the first for its own band; band is null for an empty set."""
+SKETCHES = "cid long, n long, band int, keys array<long>, few array<long>, small array<long>, sharp array<long>"
+#: Words by which a set meets others at first.
+FEW = 12
+
+
+def sketches(texts: DataFrame, n: int, percent: int, ratio: float = 1.5) -> DataFrame:
+    """A row for each class (cid, hi, lo, text) and band that it takes part in; a text that is not of the class is passed over."""
     bands = Bands(percent, ratio)
 
     def run(batches):
-        shapes: dict[int, tuple[int, int, int]] = {}
+        shapes: dict[int, tuple[int, int, int, int]] = {}
+        seen = set()  # rows that repeat a document: one number for each class of the task
         for rows, text in slices(batches):
-            ids, out = rows.column("doc_id").to_pylist(), ([], [], [], [], [], [])
-            for doc, members in zip(ids, word_sets(text, n)):
-                cid = class_of(members)
-                for k in bands.spans(len(members)) if len(members) else [None]:
-                    keys = short = np.zeros(0, _U)
-                    if k is not None:
-                        p, s, w = shapes.get(k) or shapes.setdefault(k, bands.shape(k))
-                        long, short = parity(members, p), parity(mixed(members), w)
-                        keys = mixed(long + mixed(np.arange(p, dtype=_U) + _U(k << 32)))
-                        if p - np.count_nonzero(long) <= s:
-                            keys = keys[long != 0]
-                    for column, value in zip(out, (doc, cid, len(members), k, keys, short)):
+            out = ([], [], [], [], [], [], [])
+            for cid, hi, lo, members in zip(*(rows.column(c).to_pylist() for c in ("cid", "hi", "lo")), word_sets(text, n)):
+                if cid in seen or class_of(members) != (hi, lo):
+                    continue
+                seen.add(cid)
+                for k in bands.spans(len(members)):
+                    p, s, small, sharp = shapes.get(k) or shapes.setdefault(k, bands.shape(k))
+                    (long, size), wide = dealt(members, p), parity(mixed(members), sharp)
+                    keys = mixed(long + mixed(np.arange(p, dtype=_U) + _U(k << 32)))
+                    keys = keys[np.lexsort((keys, size))[s:]]
+                    few = np.partition(keys, FEW)[:FEW] if len(keys) > FEW else keys
+                    for column, value in zip(out, (cid, len(members), k, keys, few, np.bitwise_xor.reduce(wide.reshape(-1, small)), wide)):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int32()), _lists(out[4]), _lists(out[5])],
-                names=["doc_id", "cid", "n", "band", "keys", "sketch"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), *map(_lists, out[3:])], names=["cid", "n", "band", "keys", "few", "small", "sharp"])
 
-    return text_rows(docs).mapInArrow(run, SKETCHES)
+    return texts.select("cid", "hi", "lo", "text").mapInArrow(run, SKETCHES)
 
 
-def _near(percent: int, a: str, b: str):
+def _near(percent: int, a: str, b: str, sketch: str):
     """The conditions on sizes and sketches that each linked pair meets."""
     most = f"floor({100 - percent} * ({a}.n + {b}.n) / {100 + percent})"
-    apart = f"aggregate(zip_with({a}.sketch, {b}.sketch, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
-    return F.expr(f"abs({a}.n - {b}.n) <= {most} and {apart} <= {most}")
+    return F.expr(f"abs({a}.n - {b}.n) <= {most} and {_apart(a, b, sketch)} <= {most}")
+
+
+def _apart(a: str, b: str, sketch: str) -> str:
+    return f"aggregate(zip_with({a}.{sketch}, {b}.{sketch}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
 
 
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of classes, the links, as a stored table: (a, b, both, n_a, n_b), the sizes of intersection and sets.
+    """Of the distinct pairs (a, b) of classes, the links, as a stored table: (a, b, both, n_a, n_b), the sizes of intersection and sets.
 
     Each class is read as the text of its smallest document.  A document id
     that several rows share can bring another text; its class tells it apart.
@@ -168,26 +199,59 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, perc
         for rows, text in slices(batches, "text_a", 1 << 20):
             other = rows.column("text_b").cast(pa.large_string())
             out = []
-            for a, b, x, y in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), word_sets(text, n), word_sets(other, n)):
-                if class_of(x) == a and class_of(y) == b:
+            ids = (rows.column(c).to_pylist() for c in ("a", "b", "hi_a", "lo_a", "hi_b", "lo_b"))
+            for a, b, ha, la, hb, lb, x, y in zip(*ids, word_sets(text, n), word_sets(other, n)):
+                if class_of(x) == (ha, la) and class_of(y) == (hb, lb):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * both >= percent * (len(x) + len(y) - both):
                         out.append((a, b, both, len(x), len(y)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names=["a", "b", "both", "n_a", "n_b"])
 
-    rep = classes.select("cid", "rep")
     texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).where("rep is not null")
     for side in ("a", "b"):
-        pairs = pairs.join(rep.select(F.col("cid").alias(side), F.col("rep").alias(f"rep_{side}")), side)
-    pairs = known = stored(pairs.select("a", "b", "rep_a", "rep_b"), "jaccard-pairs")
+        pairs = pairs.join(classes.select(F.col("cid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "hi", "lo")]), side)
+    pairs = known = stored(pairs, "jaccard-pairs")
     for side in ("a", "b"):
         pairs = pairs.join(texts.select(F.col("rep").alias(f"rep_{side}"), F.col("text").alias(f"text_{side}")), f"rep_{side}")
-    links = pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, n_a long, n_b long").distinct()
+    links = pairs.select("a", "b", "hi_a", "lo_a", "hi_b", "lo_b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, n_a long, n_b long").distinct()
     links = stored(links, "jaccard-links")
     released(docs.sparkSession, known)
     return links
 
 
+def _sharp(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
+    """(a, b, far) of the pairs (a, b, band) that the sharp sketch lets pass."""
+    for side in ("a", "b"):
+        pairs = pairs.join(made.select(F.col("cid").alias(side), "band", F.struct("n", "sharp").alias("s" + side)), [side, "band"])
+    return pairs.where(_near(percent, "sa", "sb", "sharp")).select("a", "b", F.expr(f"{_apart('sa', 'sb', 'sharp')} / (sa.n + sb.n)").alias("far"))
+
+
+def _ordered(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _met(made: DataFrame, parts: DataFrame | None, percent: int) -> DataFrame:
+    """(a, b, band) of classes that meet the most popular member of a bucket, and the most popular one of another component than that."""
+    few = made.select("cid", "band", F.explode("few").alias("key"))
+    sizes = few.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    few = stored(few.join(sizes, "key"), "jaccard-few")
+    popular = few.groupBy("cid", "band").agg(F.sum("size").alias("p"))
+    popular = _with_component(popular, parts) if parts is not None else popular.withColumn("component", F.col("cid"))
+    few = few.join(popular, ["cid", "band"])
+    top = few.groupBy("key").agg(F.max(F.struct("p", "component", "cid")).alias("x"))
+    few = few.join(top, "key").where("component != x.component")
+    pairs = few.select(*_ordered("cid", "x.cid"), "band")
+    if parts is not None:
+        second = few.groupBy("key").agg(F.max(F.struct("p", "component", "cid")).alias("y"))
+        pairs = pairs.union(few.join(second, "key").where("component != y.component").select(*_ordered("cid", "y.cid"), "band"))
+    return pairs.distinct()
+
+
+def _with_component(df: DataFrame, parts: DataFrame) -> DataFrame:
+    """df with the component of each cid; a class without links is its own."""
+    return df.join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: float = 1.5) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document: the smallest doc_id reachable by links.
 
@@ -199,68 +263,47 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
     component; rows that repeat a doc_id each get their component.  Other
     columns are ignored.
     """
-    made = stored(sketches(docs, n, percent, ratio), "jaccard-sketches")
-    own = stored(made.where(f"band is null or {_own(percent, ratio)}").select("doc_id", "cid", "n"), "jaccard-own")
-    classes = stored(own.where("n > 0 and doc_id is not null").groupBy("cid").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
-
-    # one row for each class and band, with what its smallest document has
-    # (rows are alike in all columns if they are in these three; grouped as they were joined, so they are dealt once)
-    short = made.where("band is not null and doc_id is not null").join(classes.select(F.col("rep").alias("doc_id"), "cid"), ["doc_id", "cid"], "left_semi")
-    short = stored(short.dropDuplicates(["doc_id", "cid", "band"]).drop("doc_id"), "jaccard-keyed")
-    released(docs.sparkSession, made)
-
-    # classes that meet in a word of a sketch, each with the smallest that it meets there
-    met = short.select("cid", "band", F.explode("keys").alias("key"))
-    ends = stored(met.groupBy("key").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).where("first < last").select("key", "first"), "jaccard-ends")
-    released(docs.sparkSession)
-    met = stored(met.join(ends, "key").select("key", "cid", "band", "first"), "jaccard-met")
-    keyed, short = short, stored(short.drop("keys"), "jaccard-short")
-    released(docs.sparkSession, ends, keyed)
-    # (a linked pair mostly agrees in a third of its words; those that agree in less than an eighth are left to the last step)
-    pairs = met.where("cid != first").groupBy("band", F.col("first").alias("a"), F.col("cid").alias("b")).agg(F.count("*").alias("words"))
-    pairs = pairs.where(f"words >= {_eighth(percent, ratio)}").drop("words")
-
-    # of a document's candidates among them, the nearest by sketch
-    side = lambda name: short.select(F.col("cid").alias(name), "band", F.struct("n", "sketch").alias("s" + name))
-    near = pairs.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"]).where(_near(percent, "sa", "sb"))
-    near = near.select("a", "b", F.expr("aggregate(zip_with(sa.sketch, sb.sketch, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x) / (sa.n + sb.n)").alias("far"))
-    near = stored(near, "jaccard-near")
-    best = lambda of, to: near.groupBy(of).agg(F.min_by(to, F.struct("far", to)).alias(to)).select("a", "b")
-    first = stored(best("a", "b").union(best("b", "a")).distinct(), "jaccard-first")
-    released(docs.sparkSession, near)
-    links = verified(docs, first, classes, n, percent)
+    spark = docs.sparkSession
+    own = stored(named(docs, n), "jaccard-own")
+    classes = own.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
+    classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(classes, "rep")
+    made = stored(sketches(texts, n, percent, ratio), "jaccard-sketches")
+    released(spark)
+
+    # links by a few words: of the classes that each one meets, the nearest
+    links = parts = tried = None
+    for _ in range(2):
+        near = _sharp(_met(made, parts, percent), made, percent).groupBy("a", "b").agg(F.min("far").alias("far"))
+        near = stored(near if tried is None else near.join(tried, ["a", "b"], "left_anti"), "jaccard-near")
+        best = lambda of, to: near.groupBy(of).agg(F.min_by(to, F.struct("far", to)).alias(to)).select("a", "b")
+        first = stored(best("a", "b").union(best("b", "a")).distinct(), "jaccard-first")
+        found = verified(docs, first, classes, n, percent)
+        tried = first if tried is None else tried.union(first)
+        links = found if links is None else links.union(found)
+        parts = stored(components(links), "jaccard-parts")
+        released(spark, near)
+
+    # what meets across components in any word
+    keys = _with_component(made.select("cid", "band", "keys"), parts).select("cid", "band", "component", F.explode("keys").alias("key"))
+    mixed_keys = keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    mixed_keys = stored(mixed_keys, "jaccard-mixed")
+    released(spark)
+    open_ = stored(keys.join(mixed_keys, "key").select("key", "cid", "band", "component"), "jaccard-open")
+    released(spark, mixed_keys)
+    small = made.select("cid", "band", "n", "small").join(open_.select("cid", "band").distinct(), ["cid", "band"], "left_semi")
+    open_ = open_.join(small, ["cid", "band"])
+    x, y = open_.alias("x"), open_.alias("y")
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _near(percent, "x", "y", "small"))
+    rest = stored(rest.select(*_ordered("x.cid", "y.cid"), "x.band").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
+    released(spark)
+    rest = stored(_sharp(rest, made, percent).select("a", "b").distinct(), "jaccard-sharp")
+    released(spark, made)
+    links = links.union(verified(docs, rest, classes, n, percent))
     parts = stored(components(links), "jaccard-parts")
 
-    # what meets across components, by all pairs that the sketches let pass
-    named = met.select("key", "cid", "band").join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left")
-    named = named.withColumn("component", F.coalesce("component", "cid"))
-    mixed_keys = stored(named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key"), "jaccard-mixed")
-    open_ = stored(named.join(mixed_keys, "key").join(short, ["cid", "band"]).select("key", "cid", "component", "n", "sketch"), "jaccard-open")
-    released(docs.sparkSession, met, short, mixed_keys, parts)
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _near(percent, "x", "y"))
-    rest = rest.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
-    rest = stored(rest.join(first, ["a", "b"], "left_anti"), "jaccard-rest")
-    released(docs.sparkSession, open_, first)
-    more = verified(docs, rest, classes, n, percent)
-    parts = stored(components(links.union(more)), "jaccard-parts")
-
-    named = classes.join(parts.select(F.col("node").alias("cid"), "component"), "cid", "left").select("cid", "rep", F.coalesce("component", "cid").alias("component"))
-    named = stored(named, "jaccard-components")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = stored(named.join(least, "component").select(F.col("cid").alias("c"), "component_id"), "jaccard-ids")
-    released(docs.sparkSession, classes, rest, links, more, parts, named)
-    found = own.join(ids, (F.col("cid") == F.col("c")) & (F.col("n") > 0), "left")
+    of = stored(_with_component(classes, parts), "jaccard-components")
+    least = of.groupBy("component").agg(F.min("rep").alias("component_id"))
+    ids = stored(of.join(least, "component").select("hi", "lo", "component_id"), "jaccard-ids")
+    found = own.join(ids, ["hi", "lo"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
-
-
-def _own(percent: int, ratio: float) -> str:
-    """That a row's band is its set's own, not one above it."""
-    bands = Bands(percent, ratio)
-    return "n >= element_at(array({}), band + 1)".format(", ".join(str(bands.low(k)) + "L" for k in range(64)))
-
-
-def _eighth(percent: int, ratio: float) -> str:
-    """An eighth of the words of a row's band, 1 at least."""
-    bands = Bands(percent, ratio)
-    return "element_at(array({}), band + 1)".format(", ".join(f"{max(1, bands.shape(k)[0] // 8)}L" for k in range(64)))
