@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir, slices, stored
 
 ENTRY = np.dtype([("key", "<i8"), ("offset", "<u8"), ("n", "<u4"), ("null", "<u4")])
-#: Encoded strings that a Python worker remembers.
+#: Encoded parts that a Python worker remembers before it forgets those that came once.
 MEMORY = 400_000
 
 
@@ -56,54 +56,85 @@ def unframed(data: memoryview | bytes, at: int) -> tuple[int | None, np.ndarray,
     return None if flags & 0x80 else key, ids, at + 16 + n
 
 
+class Grown:
+    """An array that grows at its end, in amortised constant time for each value."""
+
+    def __init__(self, kind):
+        self.data, self.n = np.zeros(1 << 12, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if self.n + len(values) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(self.n + 2 * len(values), self.data.dtype)])
+        self.data[self.n : self.n + len(values)] = values
+        self.n += len(values)
+
+    def array(self) -> np.ndarray:
+        return self.data[: self.n]
+
+
 class Encoder:
-    """A byte-level BPE tokenizer of the tokenizers library that remembers what it has encoded.
+    """A byte-level BPE tokenizer of the tokenizers library that remembers the words that come again.
 
     Its pattern never lets a token cross the place before a single space
-    between two other characters, so a text is encoded as its parts between
-    such spaces, each distinct part once.  Texts with other runs of white
-    space are encoded whole.  A word of letters only is one unit of the
-    pattern and goes straight to the model.
+    between two other characters, and within such a part no token begins with
+    a space but the first.  So many new parts are encoded in one call, and
+    the ids that begin with a space tell where each part starts.  Texts with
+    other runs of white space are encoded whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
-        self.wide = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
-        # the characters that stand for bytes in a byte-level vocabulary
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in plain]
-        self.shown = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.memory: dict[str, np.ndarray] = {}
-
-    def _word(self, s: str) -> np.ndarray:
-        shown = s.encode().decode("latin-1").translate(self.shown)
-        return np.array([t.id for t in self.model.tokenize(shown)], self.wide)
-
-    def _part(self, s: str) -> np.ndarray:
-        body = s.removeprefix(" ")
-        if body.isalpha():
-            return self._word(s)
-        end = len(body)
-        while end and not (body[end - 1].isalnum() or body[end - 1] in "'\n\r\t\v\f ") and body[end - 1].isascii() and body[end - 1] > " ":
-            end -= 1
-        if 0 < end < len(body) and body[:end].isalpha():  # letters, then other marks
-            return np.concatenate([self._word(s[: len(s) - len(body) + end]), self._word(body[end:])])
-        a, mark, b = s.partition("\n")
-        if mark and a.strip() and b and not a[-1].isspace() and not b[0].isspace():
-            return np.concatenate([self.part(a), self._word("\n"), self.part(b)])
-        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, self.wide)
-
-    def part(self, s: str) -> np.ndarray:
-        ids = self.memory.get(s)
-        if ids is None:
-            if len(self.memory) >= MEMORY:
-                self.memory.clear()
-            ids = self.memory[s] = self._part(s)
-        return ids
+        self.tokenizer.encode_special_tokens = not special
+        vocabulary = self.tokenizer.get_vocab()
+        self.wide = np.uint16 if max(vocabulary.values()) < 65536 else np.uint32
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that begin with a space, which the vocabulary shows as U+0120
+        self.begins[[i for w, i in vocabulary.items() if w.startswith("\u0120")]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes = Grown(self.wide), Grown(np.int64)
+        self.again = np.zeros(0, bool)
+
+    def _forget(self) -> None:
+        """Keeps the parts that came again since this was last done."""
+        names = [s for s, keep in zip(self.known, self.again) if keep]
+        which = np.flatnonzero(self.again)
+        ids, sizes = _gathered(self.ids.array(), self.sizes.array(), which), self.sizes.array()[which]
+        self.clear()
+        self.known = {s: k for k, s in enumerate(names)}
+        self.ids.extend(ids)
+        self.sizes.extend(sizes)
+        self.again = np.zeros(len(names), bool)
+
+    def _each(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.wide) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def numbers(self, parts: list[str]) -> np.ndarray:
+        """The places in memory of distinct parts that follow a space."""
+        if len(self.known) > MEMORY:
+            self._forget()
+        at = np.fromiter((self.known.get(s, -1) for s in parts), np.int64, len(parts))
+        self.again[at[at >= 0]] = True
+        fresh = [s for s, k in zip(parts, at.tolist()) if k < 0]
+        for k in range(0, len(fresh), 4096):
+            some = fresh[k : k + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.wide)
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(some):
+                sizes = np.diff(starts, append=len(ids))
+            else:  # a vocabulary or pattern of another kind
+                each = self._each([" " + s for s in some])
+                ids, sizes = np.concatenate(each), np.array(list(map(len, each)), np.int64)
+            self.ids.extend(ids)
+            self.sizes.extend(sizes)
+        at[at < 0] = len(self.known) + np.arange(len(fresh))
+        for s in fresh:
+            self.known[s] = len(self.known)
+        self.again = np.concatenate([self.again, np.zeros(len(fresh), bool)])
+        return at
 
     def encode(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an Arrow array of texts, ``end`` after each text, and how many each text has."""
@@ -112,58 +143,54 @@ class Encoder:
         flat = lists.flatten().dictionary_encode()
         values, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         offsets = offsets - offsets[0]
-        odd = np.fromiter((not v or v[0].isspace() or v[-1].isspace() for v in values), bool, len(values))
+        ends = [pc.utf8_is_space(pc.utf8_slice_codeunits(flat.dictionary, *k)).to_numpy(zero_copy_only=False) for k in ((0, 1), (-1, None))]
+        odd = ends[0] | ends[1] | (pc.binary_length(flat.dictionary).to_numpy(zero_copy_only=False) == 0)
         whole = np.logical_or.reduceat(odd[codes], offsets[:-1]) if len(codes) else np.zeros(0, bool)
-        row = np.repeat(np.arange(len(text)), np.diff(offsets))
-        used = np.zeros(len(values), bool)
-        later = ~whole[row]
+        later = ~np.repeat(whole, np.diff(offsets))
         later[offsets[:-1]] = False
-        used[codes[later]] = True
-        none = np.zeros(0, self.wide)
-        table = [self.part(" " + v) if u else none for v, u in zip(values, used)]
-        firsts = np.flatnonzero(~whole)
-        known: dict[int, int] = {}
-        codes[whole[row]] = -1
-        for at in offsets[:-1][firsts]:
-            c = int(codes[at])
-            if c not in known:
-                known[c] = len(table)
-                table.append(self.part(values[c]))
-            codes[at] = known[c]
-        for r in np.flatnonzero(whole):
-            codes[offsets[r]] = len(table)
-            s = text[int(r)].as_py()
-            table.append(np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, self.wide) if s else none)
-        # the end id follows the last part of each text
-        keep = codes >= 0
-        codes, row = codes[keep], row[keep]
-        per = np.bincount(row, minlength=len(text))
-        codes = np.insert(codes, np.cumsum(per), len(table))
-        table.append(np.array([end], self.wide))
-        sizes = np.fromiter(map(len, table), np.int64, len(table))
-        starts = np.cumsum(sizes) - sizes
-        values = np.concatenate(table)
-        n = sizes[codes]
-        ends = np.cumsum(n)
-        ids = values[np.arange(ends[-1]) - np.repeat(ends - n - starts[codes], n)]
+        # parts that follow a space by their place in memory; then the first parts and the whole texts; then the end id
+        asked = np.flatnonzero(np.bincount(codes[later], minlength=len(values)))
+        place = np.zeros(len(values), np.int64)
+        place[asked] = self.numbers([values[k] for k in asked.tolist()])
+        base = self.sizes.n
+        heads = [s.as_py() if w else values[c] for s, w, c in zip(text, whole.tolist(), codes[offsets[:-1]].tolist())]
+        distinct = {s: k for k, s in enumerate(dict.fromkeys(heads))}
+        each = [*self._each(list(distinct)), np.array([end], self.wide)]
+        codes = place[codes]
+        codes[offsets[:-1]] = base + np.fromiter(map(distinct.__getitem__, heads), np.int64, len(heads))
+        kept = later
+        kept[offsets[:-1]] = True
+        per = np.add.reduceat(kept, offsets[:-1], dtype=np.int64) if len(codes) else np.zeros(0, np.int64)
+        codes = np.insert(codes[kept], np.cumsum(per), base + len(each) - 1)
+        ids = np.concatenate([self.ids.array(), *each])
+        sizes = np.concatenate([self.sizes.array(), np.fromiter(map(len, each), np.int64, len(each))])
         marks = np.cumsum(per + 1) - 1
-        return ids, np.diff(ends[marks], prepend=0)
+        return _gathered(ids, sizes, codes), np.diff(np.cumsum(sizes[codes])[marks], prepend=0)
+
+
+def _gathered(values: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs ``which`` of values, one after another; run k has sizes[k] values."""
+    starts, n = (np.cumsum(sizes) - sizes)[which], sizes[which]
+    ends = np.cumsum(n)
+    return values[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - starts, n)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    return _ENCODERS.get(path) or _ENCODERS.setdefault(path, Encoder(path))
+def encoder(path: str, special: bool = True) -> Encoder:
+    return _ENCODERS.get((path, special)) or _ENCODERS.setdefault((path, special), Encoder(path, special))
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, end: int = 2, folder: str | None = None) -> tuple[DataFrame, str]:
+def write_tokens(docs: DataFrame, vocabulary: str, end: int = 2, folder: str | None = None, special: bool = True) -> tuple[DataFrame, str]:
     """Encodes docs in ascending doc_id order (nulls first) to shards in a shared folder; (a row for each shard, folder).
 
     A shard's files bear the name of the task attempt that wrote them; the
     table of shards names those of the attempts that count, so that a task
     that runs again leaves no half file in the result.  Texts that share a
-    doc_id are ordered by a hash.  A null text is empty.
+    doc_id are ordered by a hash.  A null text is empty.  The string of a special
+    token in a text gives its id, as the library does of itself; with
+    ``special`` false it is ordinary text.
     """
     from pyarrow import fs
 
@@ -178,11 +205,11 @@ def write_tokens(docs: DataFrame, vocabulary: str, end: int = 2, folder: str | N
 
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex}"
-        enc, at, total, index = encoder(vocabulary), 0, 0, []
+        enc, at, total, index = encoder(vocabulary, special), 0, 0, []
         files, base = fs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
         with files.open_output_stream(f"{base}/{name}.rec") as out:
-            for some, text in slices(batches):
+            for some, text in slices(batches, most=4 << 20):
                 ids, sizes = enc.encode(text, end)
                 stop = 0
                 for key, n in zip(some.column("doc_id").to_pylist(), sizes.tolist()):

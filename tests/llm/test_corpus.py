@@ -15,6 +15,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LONG = " ".join(f"w{k % 977}x{k}" for k in range(30000))
 ODD = [
+    (21, "x <|endoftext|>y <|endoftext|> z<|endoftext|>", 0), (22, "\u3000a\u3000 b\x85 c\x1c d \u00a0", 0),
     (1, "", 0), (2, None, 0), (None, "a null key with a text", 0), (3, LONG, 0), (4, LONG, 0), (5, "twice", 1), (5, "twice", 1), (6, "ab", 2),
     (7, "All rights  reserved.\n\nCC-BY cc by; GENERAL public\tlicense É é", 3), (8, "\u2581 mark \u2581\u2581x\0 \ue000 \U0001f600 tail ", 4), (9, " \t\n\x0b lead\x1ctail\u00a0 \n\n", 5),
 ]
@@ -87,7 +88,7 @@ def test_tokens(spark, odd, none, docs, texts):
 
     path = contracts.vocabulary("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    assert plain.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
     for df, rows in ((docs, list(texts.items())), (odd, [(i, t) for i, t, _ in ODD])):
         got = tokens.read_tokens(*tokens.write_tokens(df, path)).collect()
         size = lambda t: plain.encode(t or "", add_special_tokens=False).ids + [2]
@@ -100,6 +101,24 @@ def test_tokens(spark, odd, none, docs, texts):
     assert tokens.read_tokens(*tokens.write_tokens(none, path)).count() == 0
 
 
+def test_encoder_against_the_library(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, draw = contracts.vocabulary("byte_bpe_50k.json"), random.Random(1)
+    marks = ["a", "B", "é", " ", " ", " ", "\n", "\t", "'s", "1", "<|endoftext|>", "\u00a0", "\u3000", "日", "😀", "_", "-", "\x1c", "\x85", "word"]
+    texts = ["".join(draw.choices(marks, k=draw.randint(0, 14))) for _ in range(4000)]
+    monkeypatch.setattr(tokens, "MEMORY", 50)
+    for special in (True, False):
+        plain, enc = Tokenizer.from_file(path), tokens.Encoder(path, special)
+        plain.encode_special_tokens = not special
+        for k in range(0, len(texts), 500):
+            ids, sizes = enc.encode(pa.array(texts[k : k + 500], pa.large_string()), 2)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts[k : k + 500]]
+
+
 def test_damaged_record():
     data = bytearray(tokens.framed(7, np.array([1, 2, 3], np.uint16)))
     assert tokens.unframed(bytes(data), 0)[1].tolist() == [1, 2, 3]
