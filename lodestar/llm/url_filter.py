@@ -2,10 +2,10 @@
 
 Each URL asks for a few keys: its canonical form with and without the path,
 and each suffix of its host with each path prefix that some rule has the
-length of.  A key is
-looked up in one block of the filter, eight 64-bit words of which it sets
-one bit each, held as an array in the projection.  Only keys that may be
-listed go on to the exact join, which removes the false positives.
+length of.  A key is looked up in one block of the filter, eight 64-bit words
+of which it sets one bit each.  The blocks are a table by number; it is
+broadcast up to a size that is checked.  Only keys that may be listed go on to
+the exact join, which removes the false positives.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORDS = 8
-#: Blocks of the filter at most: 512 KB.  A longer list makes it pass more keys, which the join removes.
-MOST_BLOCKS = 1 << 13
+#: Keys for each block: 32 bits a key.
+KEYS = 16
 #: A list up to this many keys is joined by broadcast, a longer one by shuffle.
 BROADCAST_KEYS = 100_000
+#: Blocks of the filter that are broadcast at most (72 bytes each, 38 MB); more are joined by shuffle.
+BROADCAST_BLOCKS = 1 << 19
 
 LIST = "key string, rule string, verdict string, size int"
 
@@ -58,15 +60,11 @@ def _bits(key: str, blocks: int) -> tuple[str, str]:
     return f"pmod(xxhash64({key}), {blocks}L)", f"xxhash64({key}, 7)"
 
 
-def bloom(keys: DataFrame, blocks: int) -> list[int]:
-    """The filter's words; its size is a parameter, whatever the list's is."""
+def bloom(keys: DataFrame, blocks: int) -> DataFrame:
+    """The filter: (block, w0 .. w7), a row for each block that has a key."""
     block, h = _bits("key", blocks)
-    bits = keys.select(F.expr(block).alias("block"), F.expr(f"transform(sequence(0, {WORDS - 1}), i -> shiftleft(1L, cast(shiftrightunsigned({h}, 6 * i) & 63 as int)))").alias("bits"))
-    words = bits.groupBy("block").agg(*[F.bit_or(F.col("bits")[i]).alias(f"w{i}") for i in range(WORDS)])
-    out = [0] * (blocks * WORDS)
-    for row in words.toLocalIterator():
-        out[row[0] * WORDS : (row[0] + 1) * WORDS] = row[1:]
-    return out
+    bit = lambda i: f"bit_or(shiftleft(1L, cast(shiftrightunsigned({h}, {6 * i}) & 63 as int)))"
+    return keys.groupBy(F.expr(block).alias("block")).agg(*[F.expr(bit(i)).alias(f"w{i}") for i in range(WORDS)])
 
 
 def filtered(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", key: str = "page_id") -> DataFrame:
@@ -78,25 +76,23 @@ def filtered(pages: DataFrame, rules: DataFrame, default: str = "allow", url: st
     fits nothing.  Rows may repeat or have a null key: each gives its row.
     """
     n = rules.count()
-    blocks = min(MOST_BLOCKS, max(16, 1 << (max(1, n // 16) - 1).bit_length()))
+    blocks = max(16, 1 << (max(1, n // KEYS) - 1).bit_length())
     words = bloom(rules, blocks)
     lengths = [r[0] for r in rules.where("rule is not null").select(F.expr("length(split(key, '\t')[2])")).distinct().orderBy(F.expr("1")).collect()]
     base = pages.select(F.col(key).alias("page_id"), F.expr(host_of(url)).alias("host"), F.expr(path_of(url)).alias("path"))
-    base = base.withColumn("_id", F.monotonically_increasing_id())
-    base = base.withColumn("_parts", F.split("host", "[.]"))
+    urls = base.where("host != ''").select("host", "path").distinct().withColumn("_parts", F.split("host", "[.]"))
     suffixes = "transform(sequence(1, size(_parts)), i -> array_join(slice(_parts, i, size(_parts)), '.'))"
     prefixes = f"filter(array({', '.join(map(str, lengths)) or '-1'}), n -> n between 0 and length(path))"
     asked = f"concat(flatten(transform({suffixes}, h -> transform({prefixes}, n -> concat('r\t', h, '\t', left(path, n))))), array(concat('u\t', {canonical('host', 'path')}), concat('u\t', {canonical('host', "''")})))"
-    base = base.withColumn("_keys", F.expr(f"CASE WHEN host = '' THEN array() ELSE {asked} END")).drop("_parts")
-    filter_words = F.expr(f"cast(split('{','.join(map(str, words))}', ',') as array<bigint>)")  # folded to one literal
-    block, h = _bits("k", blocks)
-    mask = " and ".join(f"(shiftrightunsigned(element_at(_f, cast({block} * {WORDS} + {i + 1} as int)), cast(shiftrightunsigned({h}, {6 * i}) & 63 as int)) & 1) = 1" for i in range(WORDS))
-    base = base.withColumn("_f", filter_words).withColumn("_keys", F.expr(f"filter(_keys, k -> {mask})")).drop("_f")
-    hits = base.where("size(_keys) > 0").select("_id", "page_id", "host", "path", F.explode("_keys").alias("key"))
+    # the filter: each key of each distinct URL with the words of its block, by number; then the exact join
+    block, h = _bits("key", blocks)
+    asks = urls.select("host", "path", F.explode(F.expr(asked)).alias("key")).withColumn("block", F.expr(block)).alias("k")
+    known = F.broadcast(words) if blocks <= BROADCAST_BLOCKS else words
+    mask = " and ".join(f"(shiftrightunsigned(f.w{i}, cast(shiftrightunsigned({h.replace("key", "k.key")}, {6 * i}) & 63 as int)) & 1) = 1" for i in range(WORDS))
+    hits = asks.join(known.alias("f"), F.expr(f"k.block = f.block and {mask}")).select("k.host", "k.path", "k.key")
     exact = F.broadcast(rules) if n <= BROADCAST_KEYS else rules
-    hits = hits.join(exact, "key", "left").groupBy("_id", "page_id", "host", "path").agg(
+    hits = hits.join(exact, "key").groupBy("host", "path").agg(
         F.max(F.when(F.col("rule").isNotNull(), F.struct("size", "rule", "verdict"))).alias("best"), F.max(F.when(F.col("rule").isNull() & F.col("verdict").isNotNull(), F.col("verdict"))).alias("own")
     )
-    rest = base.where("size(_keys) = 0").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(False).alias("listed"))
-    hits = hits.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", "own", F.lit(default)).alias("verdict"), F.col("own").isNotNull().alias("listed"))
-    return hits.unionByName(rest)
+    found = base.join(hits, ["host", "path"], "left")
+    return found.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", "own", F.lit(default)).alias("verdict"), F.col("own").isNotNull().alias("listed"))
