@@ -9,6 +9,8 @@ from .common import crc_mod, table
 
 #: The rules of op10, as (host, path, verdict).
 URL_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
+#: Hosts below example.com, example.net and example.org whose pages op10 blocks, whatever their path.
+SPAM_HOSTS = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "ads-track", "adult-x")
 SHARD_BYTES = 1 << 20
 
 
@@ -74,8 +76,8 @@ def op9_sentencepiece(spark, sf_dir):
 
 
 def spam_urls(spark):
-    """The list of canonical URLs that op10 blocks: two spam hosts under three domains, each with all its pages."""
-    return spark.createDataFrame([(f"{h}.example.{t}",) for h in ("spam-farm", "cheap-pills") for t in ("com", "net", "org")], "url string")
+    """The list of canonical URLs that op10 blocks: each spam host under three domains, with all its pages."""
+    return spark.createDataFrame([(f"{h}.example.{t}",) for h in SPAM_HOSTS for t in ("com", "net", "org")], "url string")
 
 
 def op10_url_filter(spark, sf_dir):
@@ -106,7 +108,7 @@ def _op10_sql() -> str:
     return f"""WITH u AS (SELECT page_id, url, coalesce(strpos(url, '://'), 0) AS k FROM pages),
     h AS (SELECT page_id, CASE WHEN k = 0 THEN '' ELSE translate(regexp_extract(substr(url, k + 3), '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host, CASE WHEN k = 0 THEN '' ELSE regexp_extract(substr(url, k + 3), '^[^/?#]*([^?#]*)', 1) END AS path FROM u),
     m AS (SELECT page_id, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM h LEFT JOIN (VALUES {rules}) r(rh, rp, v) ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY 1, 2, 3)
-    SELECT page_id, host, path, rule, CASE WHEN v IS NOT NULL THEN v WHEN regexp_matches(regexp_replace(host, '^(www|m|blog)[.]', '') || regexp_replace(path, '(/|[.]html?)$', ''), '^(spam-farm|cheap-pills)[.]example[.](com|net|org)/(en|de|fr|es)/(0|[1-9][0-9]?[0-9]?)$') THEN 'block' ELSE 'allow' END AS verdict FROM m"""
+    SELECT page_id, host, path, rule, CASE WHEN v IS NOT NULL THEN v WHEN regexp_matches(regexp_replace(host, '^(www|m|blog)[.]', ''), '^({'|'.join(SPAM_HOSTS)})[.]example[.](com|net|org)$') THEN 'block' ELSE 'allow' END AS verdict FROM m"""
 
 
 #: Scores, drawn segmentations, files and spans have no SQL; their queries are tested against brute force.
