@@ -62,21 +62,24 @@ def figures(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFram
 
     Words are runs of other characters than ASCII white space.  A null text
     has no words.  n_repeat_words counts the words that lie in a 3-word
-    window found twice or more: windows are sorted as numbers that hold a hash
-    above the position (64 bits together), and the places of equal neighbours
-    are joined to runs.
+    window found twice or more: windows are sorted by a 64-bit hash and their
+    position, those of equal neighbours are compared word by word, and their
+    places are joined to runs.  (A window counts if a neighbour in that order
+    has its words; unlike windows of equal hash would have to fall between two
+    like ones to hide them.)
     """
     t = "coalesce(text, '')"
     bare = f"trim(BOTH {_SPACE} FROM {t})"
     docs = docs.withColumn("_w", F.expr(f"CASE WHEN {bare} = '' THEN array() ELSE split({bare}, '[ \\\\t-\\\\r]+') END"))
-    docs = docs.withColumn("n_words", F.expr("cast(size(_w) as bigint)")).withColumn("_pb", F.expr("length(bin(n_words))"))
+    docs = docs.withColumn("n_words", F.expr("cast(size(_w) as bigint)"))
     docs = docs.withColumn("_l", F.expr(f"filter(split({t}, '\\n'), x -> x rlike '[^ \\\\t-\\\\r]')"))
     docs = docs.withColumn(
         "_s",
-        F.expr("CASE WHEN n_words < 4 THEN cast(array() as array<bigint>) ELSE sort_array(transform(slice(_w, 1, size(_w) - 2), (w, i) -> shiftleft(xxhash64(w, get(_w, i + 1), get(_w, i + 2)), _pb) | i)) END"),
+        F.expr("CASE WHEN n_words < 4 THEN cast(array() as array<struct<h: bigint, i: int>>) ELSE sort_array(transform(slice(_w, 1, size(_w) - 2), (w, i) -> named_struct('h', xxhash64(w, get(_w, i + 1), get(_w, i + 2)), 'i', i))) END"),
     )
-    docs = docs.withColumn("_d", F.expr("filter(_s, (x, j) -> coalesce(shiftright(x, _pb) = shiftright(get(_s, j - 1), _pb), false) or coalesce(shiftright(x, _pb) = shiftright(get(_s, j + 1), _pb), false))"))
-    docs = docs.withColumn("_p", F.expr("sort_array(transform(_d, x -> x & (shiftleft(1L, _pb) - 1)))"))
+    alike = "x.h = get(_s, {k}).h AND slice(_w, x.i + 1, 3) = slice(_w, get(_s, {k}).i + 1, 3)"
+    docs = docs.withColumn("_d", F.expr(f"filter(_s, (x, j) -> coalesce({alike.format(k='j - 1')}, false) or coalesce({alike.format(k='j + 1')}, false))"))
+    docs = docs.withColumn("_p", F.expr("sort_array(transform(_d, x -> cast(x.i as bigint)))"))
     stops = ", ".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(stop_words))
     out = {
         "word_chars": "cast(length(array_join(_w, '')) as bigint)",
@@ -89,7 +92,7 @@ def figures(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFram
         "n_upper": f"cast(length(regexp_replace({t}, '[^\\\\p{{Lu}}]+', '')) as bigint)",
         "n_bars": f"cast(length({t}) - length(replace({t}, '|', '')) as bigint)",
     }
-    return docs.withColumns({k: F.expr(v) for k, v in out.items()}).drop("_w", "_pb", "_l", "_s", "_d", "_p")
+    return docs.withColumns({k: F.expr(v) for k, v in out.items()}).drop("_w", "_l", "_s", "_d", "_p")
 
 
 def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[str] = BASE) -> DataFrame:
