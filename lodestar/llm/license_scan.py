@@ -51,15 +51,15 @@ class Automaton:
         self.words = {w: k for k, w in enumerate(dict.fromkeys(w for s in [*phrases, *templates] for w in s))}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]  # template -> the place after its first occurrence
-        for k, s in enumerate(templates):
-            self._add([self.words[w] for w in s], k)
+        self.ends: list[set[tuple[int, int]]] = [set()]  # (template, the place after an occurrence), of all occurrences
+        self.templates = [[self.words[w] for w in s] for s in templates]
+        for k, s in enumerate(self.templates):
+            self._add(s, k)
         ended = [self._add([self.words[w] for w in s], None) for s in phrases]
         # a state's places in the templates hold for all shorter suffixes, too
         for v in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):
-            for k, e in self.ends[v].items():
-                at = self.ends[self.link[v]].get(k)
-                self.ends[self.link[v]][k] = e if at is None else min(at, e)
+            if self.link[v]:
+                self.ends[self.link[v]] |= self.ends[v]
         # phrases that end where a state's strings end: (phrase, words it needs)
         own: dict[int, list[int]] = {}
         for p, v in enumerate(ended):
@@ -83,14 +83,14 @@ class Automaton:
         for place, c in enumerate(seq, 1):
             last = self._extend(last, c)
             if template is not None:
-                self.ends[last].setdefault(template, place)
+                self.ends[last].add((template, place))
         return last
 
     def _clone(self, p: int, c: int, q: int) -> int:
         self.next.append(dict(self.next[q]))
         self.link.append(self.link[q])
         self.length.append(self.length[p] + 1)
-        self.ends.append({})
+        self.ends.append(set())
         new = len(self.link) - 1
         self.link[q] = new
         while p != -1 and self.next[p].get(c) == q:
@@ -105,7 +105,7 @@ class Automaton:
         self.next.append({})
         self.link.append(0)
         self.length.append(self.length[last] + 1)
-        self.ends.append({})
+        self.ends.append(set())
         cur, p = len(self.link) - 1, last
         while p != -1 and c not in self.next[p]:
             self.next[p][c] = cur
@@ -129,6 +129,21 @@ class Automaton:
                 v = n = 0
             yield v, n
 
+    def ended(self, v: int, n: int, follows: int, least: int):
+        """(template, place after it, words) of the matches that end here and that the next word does not go on from.
+
+        Those of the state are the longest; along its links follow shorter
+        ones, at other places of the templates.
+        """
+        seen: set[tuple[int, int]] = set()
+        while v and n >= least:
+            for t, end in self.ends[v] - seen:
+                if end == len(self.templates[t]) or self.templates[t][end] != follows:
+                    yield t, end, n
+            seen |= self.ends[v]
+            v = self.link[v]
+            n = self.length[v]
+
 
 def chained(runs: list[tuple[int, int, int]]) -> tuple[int, int, int]:
     """The most template words that runs (place in the text, place in the template, words) cover in order in both; and the chain's span in the text.
@@ -198,16 +213,14 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
                 r = int(row[b])
                 base0 = int(ends[r] - counts[r])
                 places, runs = found.setdefault(r, [[], {}])
-                before = (0, 0)
-                for k, (v, n) in enumerate([*auto.stream(codes[b:e].tolist()), (0, 0)]):
-                    # a match that the next word does not go on from is maximal
-                    if before[1] >= least and n <= before[1]:
-                        for t, end in auto.ends[before[0]].items():
-                            runs.setdefault(t, []).append((b + k - before[1] - base0, end - before[1], before[1]))
+                some = codes[b:e].tolist()
+                for k, (v, n) in enumerate(auto.stream(some)):
+                    if n >= least:
+                        for t, end, size in auto.ended(v, n, some[k + 1] if k + 1 < len(some) else -1, least):
+                            runs.setdefault(t, []).append((b + k + 1 - size - base0, end - size, size))
                     for p, need in auto.reports[v]:
                         if need <= n:
                             places.append((b + k - need + 1 - base0, p))
-                    before = (v, n)
             out = [[], [], [], [], [], [], []]
             for r in range(len(counts)):
                 places, runs = found.get(r, ((), {}))

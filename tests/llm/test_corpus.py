@@ -83,6 +83,53 @@ def test_license_chain_has_no_look_back():
         assert license_scan.chained(runs)[0] == brute(runs)
 
 
+def test_license_spans_by_brute_force(spark):
+    """Labels, score and spans against all maximal runs of each template, on texts cut and mixed from the templates."""
+
+    def chain(runs):
+        best = []
+        for d, t, n in runs:
+            value = (n, d)
+            for (dj, tj, nj), (had, begin) in zip(runs, best):
+                gain = n - max(0, tj + nj - t)
+                if dj + nj <= d and tj < t and gain > 0 and had + gain > value[0]:
+                    value = (had + gain, begin)
+            best.append(value)
+        return max(v[0] for v in best) if best else 0
+
+    def want(text, templates, least, share):
+        w, out = ALNUM.findall(lower(text)), {}
+        for name, other in templates.items():
+            q = ALNUM.findall(lower(other))
+            runs = []
+            for d in range(len(w)):
+                for t in range(len(q)):
+                    if w[d] == q[t] and not (d and t and w[d - 1] == q[t - 1]):
+                        n = 0
+                        while d + n < len(w) and t + n < len(q) and w[d + n] == q[t + n]:
+                            n += 1
+                        if n >= least:
+                            runs.append((d, t, n))
+            out[name] = chain(sorted(runs)) / len(q)
+        return {k for k, v in out.items() if v >= share}, max(out.values())
+
+    templates = dict(license_scan.TEMPLATES, twice="one two three four five one two three four six one two three four seven", part="to any person obtaining a copy of this work and so on")
+    rng, rows, words = np.random.default_rng(3), [], [ALNUM.findall(lower(t)) for t in templates.values()]
+    for i in range(60):
+        text = []
+        for _ in range(rng.integers(1, 6)):
+            q = words[rng.integers(0, len(words))]
+            a, b = sorted(rng.integers(0, len(q) + 1, 2))
+            text += [*q[a:b], *["noise"] * int(rng.integers(0, 3))]
+        rows.append((i, " ".join(text)))
+    rows.append((100, "x one two three four seven"))
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), {}, templates).collect()}
+    for i, t in rows:
+        labels, score = want(t, templates, 4, 0.5)
+        assert set(filter(None, got[i].labels.split(","))) == labels and abs(got[i].score - score) < 1e-9, (i, t)
+        assert {x.label for x in got[i].spans} == labels and all(0 <= x.first < x.end <= got[i].n_words for x in got[i].spans)
+
+
 def test_tokens(spark, odd, none, docs, texts):
     from tokenizers import Tokenizer
 
@@ -325,6 +372,33 @@ def test_listed_hosts_have_no_id_range(spark):
     assert {r.page_id: r.verdict for r in url_filter.filtered(pages, exact).collect()} == {1: "block", 2: "allow", 3: "allow"}
 
 
+def test_filter_passes_what_is_listed_and_little_else(spark, monkeypatch):
+    urls = spark.range(3000).select(F.expr("concat('h', id % 50, '.test/p/', id)").alias("url"))
+    rules = url_filter.listed(spark, (("test", "/p/1", "allow"),), urls)
+    other = [(-k, f"http://h{k % 50}.test/q/{k}") for k in range(1, 2000)] + [(-5000, "http://h1.test/" + "x" * 100000), (-5000, "http://" + "a." * 300 + "test/p/1")]
+    pages = urls.select(F.expr("cast(split(url, '/')[2] as long)").alias("page_id"), F.concat(F.lit("http://"), "url").alias("url")).union(spark.createDataFrame(other, "page_id long, url string"))
+
+    def judge():
+        return Counter((r.page_id, r.rule, r.verdict, r.listed) for r in url_filter.filtered(pages, rules).collect())
+
+    want = Counter((k, "test/p/1" if str(k).startswith("1") else None, "allow" if str(k).startswith("1") else "block", True) for k in range(3000))
+    want += Counter((k, None, "allow", False) for k, _ in other[:-1]) + Counter([(-5000, "test/p/1", "allow", False)])
+    assert judge() == want
+    plan = url_filter.filtered(pages, rules)._jdf.queryExecution().toString()
+    assert len(plan) < 100_000
+    for name in ("BROADCAST_KEYS", "BROADCAST_BLOCKS"):
+        monkeypatch.setattr(url_filter, name, 1)
+    assert judge() == want
+    # false positives of the filter, of keys that are not listed
+    words = url_filter.bloom(rules, 256)
+    block, h = url_filter._bits("key", 256)
+    asked = spark.range(20000).select(F.concat(F.lit("u\tnot"), "id").alias("key")).withColumn("block", F.expr(block)).join(words, "block")
+    mask = " and ".join(f"(shiftrightunsigned(w{i}, cast(shiftrightunsigned({h}, {6 * i}) & 63 as int)) & 1) = 1" for i in range(url_filter.WORDS))
+    assert asked.where(mask).count() < 200
+    missed = rules.withColumn("block", F.expr(block)).join(words, "block").where(f"not ({mask})").count()
+    assert missed == 0
+
+
 def test_pipeline_classifier_rejects(spark):
     import corpus_pipeline as p
 
