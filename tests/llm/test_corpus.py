@@ -192,6 +192,68 @@ def test_decontamination(spark, none, docs, texts):
     assert decontamination.contaminated(none, b).count() == 0 and decontamination.contaminated(df, b.where("false")).count() == 0
 
 
+def overlaps(texts, items, overlap, masks, band):
+    """(doc, item) -> (matched, diagonal), by looking at every diagonal of every text and item."""
+    out = {}
+    for i, t in texts:
+        w = ALNUM.findall((t or "").lower())
+        for k, q in items.items():
+            hits = []
+            for d in range(-len(q) + 1, len(w)):
+                same = [0 <= d + j < len(w) and w[d + j] == x for j, x in enumerate(q)]
+                if any(all(same[j + c] for c in range(len(m)) if m[c] == "1") for m in [*masks, *["1" * len(q)] * (len(q) < max(map(len, masks)))] for j in range(len(q) - len(m) + 1)):
+                    hits.append((d, same))
+            for d, _ in hits:
+                n = sum(any(s[j] for e, s in hits if d <= e <= d + band) for j in range(len(q)))
+                if n >= overlap * len(q):
+                    out[i, k] = max(out.get((i, k), (0, 0)), (n, -d))
+    return {k: (n, -d) for k, (n, d) in out.items()}
+
+
+def test_decontamination_by_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(60)]
+    items = {k: [str(x) for x in rng.choice(words, int(n))] for k, n in enumerate(rng.integers(1, 40, 25))}
+    rows = [(0, None), (1, ""), (2, "w1")]
+    for i in range(3, 70):
+        text = []
+        for _ in range(rng.integers(1, 4)):
+            text += [str(x) for x in rng.choice(words, rng.integers(0, 30))]
+            q = list(items[int(rng.integers(0, len(items)))])
+            for j in range(len(q)):
+                if rng.random() < 0.3:
+                    q[j] = "changed"
+            if rng.random() < 0.4 and q:
+                q.insert(int(rng.integers(0, len(q))), "more")
+            text += q[int(rng.integers(0, 4)) :]
+        rows.append((i, " ".join(text)))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(q)) for k, q in items.items()], "item_id long, text string")
+    want = overlaps(rows, items, 0.6, decontamination.MASKS, decontamination.BAND)
+    for most in (1_000_000, 1):
+        monkeypatch.setattr(decontamination, "BROADCAST_SEEDS", most)
+        got = {(r.doc_id, r.item_id): (r.n_matched, r.first_word) for r in decontamination.contaminated(df, bench).collect()}
+        assert got == want
+
+
+def test_decontamination_recall(spark):
+    """Items of 15 to 30 words of which 60 % stay at random places; scattered scraps are no overlap."""
+    rng, rows, items = np.random.default_rng(4), [], []
+    for i in range(400):
+        n = (15, 18, 20, 30)[i % 4]
+        q = [f"i{i}x{j}" for j in range(n)]
+        items.append((i, " ".join(q)))
+        for j in rng.choice(n, int(n * 0.4), replace=False):
+            q[j] = f"o{j}"
+        rows.append((i, " ".join(["a"] * 50 + q + ["b"] * 50)))
+    q = [f"s{j}" for j in range(30)]
+    items.append((900, " ".join(q)))
+    rows.append((900, " ".join([*q[20:28], *["a"] * 200, *q[10:18], *["b"] * 200, *q[:8]])))
+    out = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r.doc_id == r.item_id and r.first_word == 50 for r in out)
+    found = Counter((15, 18, 20, 30)[r.doc_id % 4] for r in out if r.doc_id < 900)
+    assert found[15] > 90 and found[18] > 95 and found[20] > 95 and found[30] == 100 and 900 not in {r.doc_id for r in out}
+
+
 def components(rows, n, percent):
     sets = {}
     for i, t in rows:
