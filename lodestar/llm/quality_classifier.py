@@ -45,20 +45,20 @@ def _summed(batches, key: str = "slice"):
     total: dict[int, np.ndarray] = {}
     for b in batches:
         for s, v in zip(b.column("slice").to_pylist(), b.column("vectors").to_pylist()):
-            v = np.frombuffer(v, np.float32)
+            v = np.frombuffer(v, np.int64)
             total[s] = total[s] + v if s in total else v.copy()
     yield _packed(total)
 
 
 def _packed(total: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in total.values()], pa.binary())], names=["slice", "vectors"])
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(np.int64).tobytes() for v in total.values()], pa.binary())], names=["slice", "vectors"])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The table of word vectors of all texts: ROWS unit vectors of DIM; rows that no word has are zero."""
 
     def part(batches):
-        table = np.zeros(ROWS * DIM, np.float64)
+        table = np.zeros(ROWS * DIM, np.int64)
         for _, text in slices(batches):
             counts, h = _rows_of(text)
             if not len(h):
@@ -70,7 +70,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
                 same = doc[off:] == doc[:-off]
                 for a, b in ((slice(None, -off), slice(off, None)), (slice(off, None), slice(None, -off))):
                     at = (row[a][same, None] * DIM + places[b][same]).ravel()
-                    table += np.bincount(at, weights=signs[b][same].ravel(), minlength=ROWS * DIM)
+                    table += np.bincount(at, weights=signs[b][same].ravel(), minlength=ROWS * DIM).astype(np.int64)
         size = ROWS * DIM // SLICES
         yield _packed({s: table[s * size : (s + 1) * size] for s in range(SLICES)} if table.any() else {})
 
@@ -81,7 +81,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     parts = parts.repartition(SLICES, "slice").mapInArrow(_summed, kind)
     out = np.zeros((SLICES, ROWS * DIM // SLICES), np.float32)
     for r in parts.collect():
-        out[r[0]] = np.frombuffer(r[1], np.float32)
+        out[r[0]] = np.frombuffer(r[1], np.int64)
     out = out.reshape(ROWS, DIM)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 
@@ -148,6 +148,13 @@ def labelled(labels: DataFrame, label: str, train, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def one_text_each(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, y, text) of the sample's documents: of rows that share a doc_id the one whose text has the smallest hash, so there are no more rows than the sample has."""
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = docs.select(F.col("doc_id").cast("long"), text).join(F.broadcast(sample.select(F.col("doc_id").cast("long"), "y")), "doc_id").withColumn("t", F.xxhash64("text"))
+    return rows.groupBy("doc_id", "y").agg(F.min(F.struct("t", "text")).alias("x")).select("doc_id", "y", F.col("x.text").alias("text"))
+
+
 def fitted(docs: DataFrame, labels: DataFrame, train, label: str = "quality", most: int = SAMPLE) -> tuple[np.ndarray, Network]:
     """Word vectors of all docs, and a network fitted on the sample of labelled ones."""
     table = word_vectors(docs)
@@ -159,7 +166,7 @@ def fitted(docs: DataFrame, labels: DataFrame, train, label: str = "quality", mo
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "y", "x"])
 
     # the sample has `most` rows at most, so its side is small whatever the corpus is
-    rows = text_rows(docs).join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long"), "text", "y").mapInArrow(features, "doc_id long, y int, x binary").collect()
+    rows = one_text_each(docs, sample).mapInArrow(features, "doc_id long, y int, x binary").collect()
     rows.sort()
     x = np.array([np.frombuffer(r[2], np.float32) for r in rows]).reshape(len(rows), 2 * DIM + 1)
     return table, Network(x.astype(np.float64), np.array([r[1] for r in rows], np.float64))

@@ -1,13 +1,13 @@
 """Toxicity by subword bags.
 
 A word is the bag of its character n-grams, boundaries included; each hash
-bucket of n-grams has an embedding.  The embeddings of a word are averaged and
-a linear softmax over two classes reads the result; a document is as toxic as
-its most toxic word, so a single insult in a long text is not thinned out.
-Means of runs of six words found 56 held-out toxic documents where single words
-found 85.  Embeddings and softmax are trained together, on the distinct words
-of each text and how often it has them, which is all that this reads of a text.  A misspelling that was never seen shares most n-grams
-with the word it comes from.
+bucket of n-grams has an embedding.  The embeddings of a word's n-grams are
+averaged, and those of words over windows of several sizes up to the whole
+text; a linear softmax over two classes reads for each size the window that
+speaks most for the class, so a single insult in a long text is not thinned
+out and a combination of ordinary words can still count.  Embeddings and
+softmax are trained together.  A misspelling that was never seen shares most
+n-grams with the word it comes from.
 """
 
 from __future__ import annotations
@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_ALNUM, mixed, slices, stored, text_rows, translated, words_of
-from .quality_classifier import labelled
+from .quality_classifier import labelled, one_text_each
 
 BUCKETS, DIM = 1 << 17, 8
 SIZES = (3, 4, 5, 6)
-#: Labelled rows that are learnt from, at most, and the bytes of their bags of words that reach the driver at most.
-SAMPLE, SAMPLE_BYTES = 5000, 32_000_000
-BAG = "h long, doc_id long, t long, y int, n long, words array<string>, times array<int>"
+#: Words of a window; 0 is the whole text.
+WINDOWS = (1, 2, 4, 16, 0)
+#: Labelled rows that are learnt from, the bytes of their texts that reach the driver, and those of one text, at most.
+SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 5000, 16_000_000, 1_000_000
 _U = np.uint64
 
 
@@ -56,110 +57,110 @@ def _means(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.cumsum(sizes) - sizes) / sizes if len(sizes) else values
 
 
-def bags(text: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """The distinct words of each text: how many it has, all of them, and how often each occurs."""
-    counts, words = words_of(translated(text, LOWER_ALNUM))
-    most = max(1, len(words.dictionary))
-    pairs, times = np.unique(np.repeat(np.arange(len(counts)), counts) * most + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
-    return np.bincount(pairs // most, minlength=len(counts)), words.dictionary.take(pa.array(pairs % most)), times
+def _cumulated(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(values)])
 
 
-class Model:
-    """Embeddings, the softmax's difference of class weights, and a bias; a bucket's part of the logit is their product."""
+class Windows:
+    """The windows of one size of a run of texts with ``counts`` words each, none empty; a shorter text is one window, filled up with words that say nothing."""
 
-    def __init__(self, texts: list[str], y: np.ndarray, steps: int = 80, seed: int = 3):
-        self._fit(*bags(pa.array(texts, pa.large_string())), y, steps, seed)
+    def __init__(self, counts: np.ndarray, size: int):
+        per = np.maximum(counts - size + 1, 1) if size else np.ones_like(counts)
+        self.doc_at = np.cumsum(per) - per
+        self.doc = np.repeat(np.arange(len(counts), dtype=np.int32), per)
+        self.start = (np.arange(per.sum()) - (self.doc_at - (np.cumsum(counts) - counts))[self.doc]).astype(np.int32)
+        self.size = np.minimum(counts, size) if size else counts
+        self.over = np.full(len(counts), size) if size else counts
+
+    def means(self, total: np.ndarray) -> np.ndarray:
+        """Of words whose values have the cumulated sums ``total``, from 0."""
+        size = self.size[self.doc]
+        return (total[self.start + size] - total[self.start]) / self.over[self.doc]
 
-    @classmethod
-    def of_bags(cls, counts: np.ndarray, words: pa.Array, times: np.ndarray, y: np.ndarray, steps: int = 80, seed: int = 3) -> Model:
-        """The model of texts that are given as bags() has them."""
-        model = cls.__new__(cls)
-        model._fit(counts, words, times, y, steps, seed)
-        return model
+    def spread(self, share: np.ndarray, n: int) -> np.ndarray:
+        """The gradient of n words' values, from that of the windows' means."""
+        size = self.size[self.doc]
+        share = share / self.over[self.doc]
+        step = np.bincount(self.start, weights=share, minlength=n + 1)
+        step -= np.bincount(self.start + size, weights=share, minlength=n + 1)
+        return np.cumsum(step)[:n]
 
-    def _fit(self, counts, words, times, y, steps, seed):
+
+class Model:
+    """Embeddings, the softmax's difference of class weights, its weight for each window size, and a bias; a bucket's part of the logit is a product of them."""
+
+    def __init__(self, texts: list[str], y: np.ndarray, steps: int = 80, seed: int = 3):
         rng = np.random.default_rng(seed)
-        self.table = (rng.normal(0, 0.1, (BUCKETS, DIM))).astype(np.float32)
-        self.weight, self.bias = rng.normal(0, 1, DIM).astype(np.float32), 0.0
-        self.flat = self.table @ self.weight
+        counts, words = words_of(translated(pa.array(texts, pa.large_string()), LOWER_ALNUM))
+        table = (rng.normal(0, 0.01, (BUCKETS, DIM))).astype(np.float32)
+        weight, mix, bias = rng.normal(0, 1, DIM).astype(np.float32), np.array([1.0, 0.5, 0.5, 0.25, 0.25]), 0.0
         has = counts > 0
+        self.flat, self.mix, self.bias = np.zeros(BUCKETS, np.float32), mix, 0.0
         if len(set(y[has].tolist())) < 2:
-            self.flat[:] = 0
             self.bias = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
             return
-        counts, y, words = counts[has], y[has], words.dictionary_encode()
+        counts, y = counts[has], y[has]
         code = words.indices.to_numpy(zero_copy_only=False)
         ids, sizes = grams(words.dictionary.to_pylist())
-        doc_at, doc = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
         of_gram = np.repeat(np.arange(len(sizes)), sizes)
-        m = [np.zeros_like(self.table), np.zeros_like(self.weight), 0.0]
-        v = [np.zeros_like(self.table), np.zeros_like(self.weight), 0.0]
+        windows = [Windows(counts, k) for k in WINDOWS]
+        out = [table, weight, mix, bias]
+        m, v = ([np.zeros_like(x) for x in out] for _ in range(2))
         for t in range(1, steps + 1):
-            flat = self.table @ self.weight
-            word = _means(flat[ids], sizes)[code]
-            # a soft maximum that hardens, so that every word is learnt from at first
+            table, weight, mix, bias = out
+            total = _cumulated(_means((table @ weight)[ids].astype(np.float64), sizes)[code])
+            # a soft maximum that hardens, so that every window is learnt from at first
             hard = min(1 + t / 10, 12)
-            e = times * np.exp(hard * (word - np.maximum.reduceat(word, doc_at)[doc]))
-            share = e / np.add.reduceat(e, doc_at)[doc]
-            z = np.add.reduceat(share * word, doc_at) + self.bias
-            error = (1 / (1 + np.exp(-z)) - y) / len(y)
-            g_word = np.bincount(code, weights=share * error[doc], minlength=len(sizes)) / sizes
+            tops, shares = [], []
+            for w in windows:
+                mean = w.means(total)
+                e = np.exp(hard * (mean - np.maximum.reduceat(mean, w.doc_at)[w.doc]))
+                e /= np.add.reduceat(e, w.doc_at)[w.doc]
+                tops.append(np.add.reduceat(e * mean, w.doc_at))
+                shares.append(e.astype(np.float32))
+            z = np.stack(tops, 1) @ mix + bias
+            error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(y)
+            g_word = sum(w.spread(share * (error * a)[w.doc], len(code)) for w, share, a in zip(windows, shares, mix))
+            g_word = np.bincount(code, weights=g_word, minlength=len(sizes)) / sizes
             g_flat = np.bincount(ids, weights=g_word[of_gram], minlength=BUCKETS).astype(np.float32)
-            grads = [np.outer(g_flat, self.weight), self.table.T @ g_flat, error.sum()]
-            out = [self.table, self.weight, self.bias]
+            grads = [np.outer(g_flat, weight), table.T @ g_flat, np.array([error @ x for x in tops]), error.sum()]
             for k, g in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.99 * v[k] + 0.01 * g * g
                 out[k] = out[k] - 0.1 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)
-            self.table, self.weight, self.bias = out[0], out[1], float(out[2])
-        self.flat = (self.table @ self.weight).astype(np.float32)
-        self.table = None  # scoring needs the products only
+            out[2] = np.maximum(out[2], 0)
+        self.flat, self.mix, self.bias = (out[0] @ out[1]).astype(np.float32), out[2], float(out[3])  # scoring needs the products only
 
     def scores(self, text: pa.Array) -> np.ndarray:
         counts, words = words_of(translated(text, LOWER_ALNUM))
-        top = np.full(len(counts), 0.0)
+        z = np.full(len(counts), self.bias)
         if len(words):
             ids, sizes = grams(words.dictionary.to_pylist())
-            word = _means(self.flat[ids], sizes)
+            total = _cumulated(_means(self.flat[ids].astype(np.float64), sizes)[words.indices.to_numpy(zero_copy_only=False)])
             has = counts > 0
-            top[has] = np.maximum.reduceat(word[words.indices.to_numpy(zero_copy_only=False)], (np.cumsum(counts) - counts)[has])
-        return 1 / (1 + np.exp(-np.clip(top + self.bias, -30, 30)))
-
-
-def _bagged(batches):
-    for rows, text in slices(batches):
-        counts, words, times = bags(text)
-        ends = np.concatenate([[0], np.cumsum(counts)])
-        size = np.concatenate([[0], np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False) + 8)])
-        at = pa.array(ends.astype(np.int32))
-        lists = [pa.ListArray.from_arrays(at, words.cast(pa.string())), pa.ListArray.from_arrays(at, pa.array(times.astype(np.int32)))]
-        yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in ("h", "doc_id", "t", "y")], pa.array(np.diff(size[ends])), *lists], names=["h", "doc_id", "t", "y", "n", "words", "times"])
+            for k, a in zip(WINDOWS, self.mix):
+                w = Windows(counts[has], k)
+                z[has] += a * np.maximum.reduceat(w.means(total), w.doc_at)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, train, label: str = "toxic", most: int = SAMPLE) -> Model:
-    """A model of a bounded sample of labelled rows, of which the driver gets the bags of words.
+    """A model of a bounded sample of labelled rows.
 
-    The bags are taken whole, in the order of the sample; one that does not
-    fit in what is left of SAMPLE_BYTES is passed over and the rest goes on.
+    Their texts are taken whole, in the order of the sample; one over
+    TEXT_BYTES, or that does not fit in what is left of SAMPLE_BYTES, is passed
+    over and the rest goes on.
     """
     sample = stored(labelled(labels, label, train, most), "toxic-sample")
-    text = F.coalesce("text", F.lit(""))
-    rows = text_rows(docs).join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").cast("long"), F.xxhash64("doc_id", text).alias("t"), "y", text.alias("text"))
-    rows = stored(rows.mapInArrow(_bagged, BAG), "toxic-bags")
-    total, over = 0, set()
-    for _, _, t, n in sorted(tuple(r) for r in rows.select("h", "doc_id", "t", "n").collect()):
-        if total + n > SAMPLE_BYTES:
-            over.add(t)
-        else:
+    rows = stored(one_text_each(docs, sample).withColumn("n", F.octet_length("text")), "toxic-texts")
+    total, taken = 0, []
+    for _, doc, n in sorted(tuple(r) for r in rows.where(F.col("n") <= TEXT_BYTES).select(F.xxhash64("doc_id"), "doc_id", "n").collect()):
+        if total + n <= SAMPLE_BYTES:
             total += n
-    got = rows.where(~F.col("t").isin(over)).toArrow().sort_by([(c, "ascending") for c in ("h", "doc_id", "t")]).combine_chunks()
-    counts = pc.list_value_length(got["words"]).to_numpy().astype(np.int64)
-    words = pc.list_flatten(got["words"]).combine_chunks()
-    # in the order of the words, so that the sums do not depend on who made the bags
-    code = pc.rank(words, tiebreaker="min").to_numpy(zero_copy_only=False).astype(np.int64)
-    order = np.lexsort((code, np.repeat(np.arange(len(counts)), counts)))
-    times = pc.list_flatten(got["times"]).to_numpy()[order]
-    return Model.of_bags(counts, words.take(pa.array(order)), times, got["y"].to_numpy().astype(np.float64))
+            taken.append(doc)
+    keep = docs.sparkSession.createDataFrame([(d,) for d in taken], "doc_id long")  # as many as the sample at most
+    got = sorted(tuple(r) for r in rows.join(F.broadcast(keep), "doc_id").select(F.xxhash64("doc_id"), "doc_id", "y", "text").collect())
+    return Model([r[3] for r in got], np.array([r[2] for r in got], np.float64))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -341,7 +341,7 @@ def _auc(s, y):
 def test_classifiers_on_held_out(spark, odd, none):
     data = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{data}/labels.parquet").toPandas().set_index("doc_id")
-    for name, label, least in (("op7_quality_classifier", "quality", 0.9), ("op8_toxicity", "toxic", 0.75)):
+    for name, label, least in (("op7_quality_classifier", "quality", 0.9), ("op8_toxicity", "toxic", 0.9)):
         out = contracts.QUERIES[name](spark, data).toPandas().set_index("doc_id")
         both = out[out.held_out].join(labels, how="inner")
         assert out.score.between(0, 1).all() and ((out.score >= 0.5) == out.predicted).all()
@@ -363,18 +363,49 @@ def test_misspelling():
     assert s[0] > 0.5 and s[1] > 0.5 and s[2] < 0.5
 
 
+def test_combinations_of_ordinary_words():
+    import pyarrow as pa
+
+    bad = ["please drop dead", "drop dead now", "you should drop dead today", "oh drop dead will you"]
+    good = ["drop it here", "the sea is dead", "a dead tree in the sea", "drop the bag now", "please come today", "you should drop by", "a dead end here", "oh will you", "dead", "drop"]
+    m = toxicity.Model(bad * 5 + good * 5, np.repeat([1.0, 0.0], [20, 50]))
+    s = m.scores(pa.array(["they said drop dead to him", "drop it, the sea is dead", "dead", "drop", "the sea is here"], pa.large_string()))
+    assert s[0] > 0.5 and (s[1:] < 0.5).all()
+
+
+def test_windows_by_brute_force():
+    rng = np.random.default_rng(2)
+    counts = np.array([1, 5, 2, 9])
+    word, begin = rng.normal(size=counts.sum()), np.cumsum(counts) - counts
+    for size in toxicity.WINDOWS:
+        w = toxicity.Windows(counts, size)
+        want = [(d, word[b + k : b + k + (min(size, n) or n)].sum() / (size or n)) for d, (b, n) in enumerate(zip(begin, counts)) for k in range(max(n - size + 1, 1) if size else 1)]
+        got = w.means(toxicity._cumulated(word))
+        assert list(w.doc) == [d for d, _ in want] and np.allclose(got, [v for _, v in want])
+        # the gradient of a sum of means
+        g = rng.normal(size=len(got))
+        bumped = [(w.means(toxicity._cumulated(word + 1e-6 * (np.arange(len(word)) == k))) - got) @ g / 1e-6 for k in range(len(word))]
+        assert np.allclose(w.spread(g, len(word)), bumped, atol=1e-4)
+
+
 def test_a_long_text_leaves_the_toxicity_sample_whole(spark, monkeypatch):
     rows = [(k, f"a {('warm', 'worthless')[k % 2]} day {k}", k % 2) for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     first = df.orderBy(F.xxhash64("doc_id")).first().doc_id
     long = df.withColumn("text", F.when(F.col("doc_id") == first, F.concat("text", F.expr("repeat(' plain words', 1000000)"))).otherwise(F.col("text")))
-    wide = df.withColumn("text", F.when(F.col("doc_id") == first, F.concat("text", F.expr("array_join(transform(sequence(1, 5000), x -> concat(' w', x)), '')"))).otherwise(F.col("text")))
-    for some, most in ((long, 32_000_000), (wide, 10_000)):
+    wide = df.withColumn("text", F.when(F.col("doc_id") == first, F.concat("text", F.expr("repeat(' w', 3000)"))).otherwise(F.col("text")))
+    for some, most in ((long, 32_000_000), (wide, 5_000)):
         monkeypatch.setattr(toxicity, "SAMPLE_BYTES", most)
         out = toxicity.scored(df, toxicity.fitted(some, df, F.lit(True))).collect()
         assert all((r.score >= 0.5) == (r.doc_id % 2 == 1) for r in out)
 
 
+def test_repeated_ids_do_not_swell_the_sample(spark):
+    df = spark.createDataFrame([(k % 3, f"text {k % 5}") for k in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, y int")
+    assert quality_classifier.one_text_each(df, labels).count() == 3
+
+
 def test_sentencepiece(spark, odd, none, docs, texts):
     path = contracts.vocabulary("piece_bpe_32k.model")
     for df, rows in ((docs, list(texts.items())), (odd, [(i, t) for i, t, _ in ODD])):
