@@ -1,7 +1,8 @@
 """SentencePiece segmentations sampled from the piece lattice.
 
-The lattice of a unit (the text between two spaces, with the space before
-it as the mark U+2581) has an edge for each piece that the unit holds.  The
+The lattice of a unit (a word with the spaces before it as marks U+2581, so
+that no piece of the model crosses from one unit to the next) has an edge for
+each piece that the unit holds.  The
 forward pass sums the weights of all paths to each place; the backward pass
 draws, from the end, each last piece in proportion to the weight of the
 paths that end with it.  That gives each segmentation its exact
@@ -14,6 +15,8 @@ decoding gives back each text exactly.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import mixed, slices
 
 MARK = "▁"
-#: A longer unit is cut into runs of this many characters, each with a lattice of its own.
+#: The sums of longer units than this are kept with an exponent of their own.
 LONGEST = 48
 #: Edges of remembered lattices in a Python worker.
 MEMORY = 4_000_000
@@ -73,6 +76,8 @@ class Lattices:
         weight = np.array([(ranks[i] + 10.0) ** -theta * self.spread ** len(self.names[i]) for i in plain])
         self.rare = (2.0 * len(self.names)) ** -theta * self.spread
         self.pieces = {self.names[i]: (i, w) for i, w in zip(plain, weight.tolist())}
+        # a piece with a mark behind another character would cross units
+        self.apart = not any(MARK in self.names[i].lstrip(MARK) for i in plain)
         self.known = self._prefixes(plain, weight)
         self.clear()
 
@@ -97,7 +102,7 @@ class Lattices:
         self.units: dict[str, int] = {}
         self.spelled: dict[str, int] = {}  # characters without a piece
         # the end node of each unit; the first edge of each node but a unit's start, its nodes are consecutive; each edge's start, code and share
-        self.arrays = [Grown(t) for t in (np.int32, np.int32, np.uint8, np.int32, np.float64)]
+        self.arrays = [Grown(t) for t in (np.int32, np.int32, np.int32, np.int32, np.float64)]
 
     def add(self, units: list[str]) -> None:
         """The lattices of distinct new units, all at once: edges by length, then sums by place."""
@@ -130,16 +135,24 @@ class Lattices:
         begin, node, code, weight = begin[order], node[order], code[order], weight[order]
         count = np.bincount(node, minlength=len(raw))
         first = np.cumsum(count) - count
-        # the weight of all paths to each node, place after place
-        sums, paths = np.ones(len(raw)), np.zeros(len(node))
-        by_place = np.argsort(place[node].astype(np.uint8), kind="stable")
+        # the weight of all paths to each node, place after place: sums times 2 ** power
+        sums, paths, power = np.ones(len(raw)), np.zeros(len(node)), np.zeros(len(raw), np.int64)
+        long = int(size.max(initial=0)) > LONGEST
+        by_place = np.argsort(place[node].astype(np.int32 if long else np.uint8), kind="stable")
         ends = np.cumsum(np.bincount(place[node], minlength=1))
         for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
             e = by_place[a:b]
             if len(e):
-                paths[e] = weight[e] * np.where(place[begin[e]] == 0, 1.0, sums[begin[e] - 1])
+                first_place = place[begin[e]] == 0
+                paths[e] = weight[e] * np.where(first_place, 1.0, sums[begin[e] - 1])
                 new = np.flatnonzero(np.diff(node[e], prepend=-1))
-                sums[node[e[new]]] = np.add.reduceat(paths[e], new)
+                if long:
+                    own = np.where(place[node[e]] == 0, 0, power[node[e] - 1])  # of the place before, which each unit has
+                    paths[e] = np.ldexp(paths[e], np.where(first_place, 0, power[begin[e] - 1]) - own)
+                    sums[node[e[new]]], more = np.frexp(np.add.reduceat(paths[e], new))
+                    power[node[e[new]]] = own[new] + more
+                else:
+                    sums[node[e[new]]] = np.add.reduceat(paths[e], new)
         for j in range(1, int(count.max(initial=0))):
             e = first[count > j] + j
             paths[e] += paths[e - 1]
@@ -153,16 +166,19 @@ class Lattices:
     def numbers(self, units: list[str]) -> np.ndarray:
         if self.arrays[3].n > MEMORY:
             self.clear()
-        fresh, n = [], 0
+        fresh, n = ([], []), [0, 0]
         for u in dict.fromkeys(units):
             if u not in self.units:
-                fresh.append(u)
-                n += len(u)
-                if n > AT_ONCE:
-                    self.add(fresh)
-                    fresh, n = [], 0
-        if fresh:
-            self.add(fresh)
+                long = len(u) > LONGEST
+                fresh[long].append(u)
+                n[long] += len(u)
+                if n[long] > AT_ONCE:
+                    self.add(fresh[long])
+                    fresh[long].clear()
+                    n[long] = 0
+        for some in fresh:
+            if some:
+                self.add(some)
         return np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
 
     def flat(self) -> list[np.ndarray]:
@@ -175,36 +191,43 @@ class Lattices:
         sizes = np.array([1] * n + [len(x) for x in lists], np.int64)
         return sizes, np.array([*range(n), *(i for x in lists for i in x)], np.int32)
 
-    def sample(self, text: pa.Array, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and how many each has; an empty text has none."""
+    def _units(self, text: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct units of texts, and the unit and the text of each occurrence in order."""
         lists = pc.split_pattern(text, " ")
         offsets = np.asarray(lists.offsets, np.int64)
         offsets = offsets - offsets[0]
         flat = lists.flatten().dictionary_encode()
         values, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(text)), np.diff(offsets))
         first = np.zeros(len(codes), bool)
         first[offsets[:-1]] = True
-        # a part is a run of units of LONGEST characters, the first of them with the space unless it begins a text
-        asked = np.unique(codes * 2 + first)
-        units, sizes = [], np.zeros(2 * len(values), np.int64)
-        for a in asked.tolist():
-            s = values[a >> 1] if a & 1 else " " + values[a >> 1]
-            runs = [s[k : k + LONGEST] for k in range(0, len(s), LONGEST)]
-            units += runs
-            sizes[a] = len(runs)
-        starts = np.zeros(2 * len(values), np.int64)
-        starts[asked] = np.cumsum(sizes[asked]) - sizes[asked]
-        numbers = self.numbers(units)
+        # a part behind a space is a unit with it; texts with runs of spaces are taken apart one by one
+        odd = pc.match_substring(text, "  ").to_numpy(zero_copy_only=False) if self.apart else np.ones(len(text), bool)
+        some = ~odd[row] & ~(first & (np.array(list(map(len, values)), np.int64)[codes] == 0))
+        asked, which = np.unique(codes[some] * 2 + first[some], return_inverse=True)
+        units = [values[a >> 1] if a & 1 else " " + values[a >> 1] for a in asked.tolist()]
+        row = row[some]
+        if odd.any():
+            places, more, more_row = {u: k for k, u in enumerate(units)}, [], []
+            for r in np.flatnonzero(odd).tolist():
+                s = text[r].as_py()
+                for u in re.findall(" *[^ ]+| +", s) if self.apart else [s] * bool(s):
+                    more.append(places.setdefault(u, len(places)))
+                    more_row.append(r)
+            units = list(places)
+            which, row = np.concatenate([which, np.array(more, np.int64)]), np.concatenate([row, np.array(more_row, np.int64)])
+            order = np.argsort(row, kind="stable")
+            which, row = which[order], row[order]
+        return units, which, row
+
+    def sample(self, text: pa.Array, keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has; an empty text has none."""
+        units, which, row = self._units(text)
+        unit = self.numbers(units)[which]
+        per_row = np.bincount(row, minlength=len(text))
         last, edge_at, start, code, share = self.flat()
-        # occurrences of units, in the order of the texts
-        which = codes * 2 + first
-        n = sizes[which]
-        ends = np.cumsum(n)
-        unit = numbers[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n - starts[which], n)]
-        per_row = np.diff(np.concatenate([[0], ends])[offsets])
-        row = np.repeat(np.arange(len(text)), per_row)
         ordinal = np.arange(len(unit)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
-        base = mixed(keys + _U(seed) * _U(0x9E3779B97F4A7C15))[row] + ordinal.astype(_U) * _U(64)
+        base = mixed(mixed(keys + _U(seed * 0x9E3779B97F4A7C15 % 2**64))[row] + ordinal.astype(_U))
         node = last[unit].astype(np.int64)
         zero = np.concatenate([[0], last[:-1].astype(np.int64) + 1])[unit]  # the node after the unit's start
         here, steps = np.arange(len(unit)), []

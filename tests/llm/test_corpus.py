@@ -15,7 +15,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LONG = " ".join(f"w{k % 977}x{k}" for k in range(30000))
 ODD = [
-    (21, "x <|endoftext|>y <|endoftext|> z<|endoftext|>", 0), (22, "\u3000a\u3000 b\x85 c\x1c d \u00a0", 0),
+    (23, "  if a:\n        b =  c   \n" + "\u4e2d\u6587\U0001f600" * 400 + "    end   ", 0), (21, "x <|endoftext|>y <|endoftext|> z<|endoftext|>", 0), (22, "\u3000a\u3000 b\x85 c\x1c d \u00a0", 0),
     (1, "", 0), (2, None, 0), (None, "a null key with a text", 0), (3, LONG, 0), (4, LONG, 0), (5, "twice", 1), (5, "twice", 1), (6, "ab", 2),
     (7, "All rights  reserved.\n\nCC-BY cc by; GENERAL public\tlicense É é", 3), (8, "\u2581 mark \u2581\u2581x\0 \ue000 \U0001f600 tail ", 4), (9, " \t\n\x0b lead\x1ctail\u00a0 \n\n", 5),
 ]
@@ -421,10 +421,11 @@ def test_sentencepiece(spark, odd, none, docs, texts):
 
 
 def test_sampling_has_the_lattice_distribution():
+    """Against all paths through the lattice of the whole text, runs of spaces included."""
     import pyarrow as pa
 
-    lat = sentencepiece_sampling.lattices(contracts.vocabulary("piece_bpe_32k.model"), 1.0)
-    word, n = "then", 20000
+    lat, n = sentencepiece_sampling.lattices(contracts.vocabulary("piece_bpe_32k.model"), 1.0), 20000
+    assert sum(set(x) == {"\u2581"} and len(x) > 1 for x in lat.pieces) > 10
 
     def paths(s):
         if not s:
@@ -435,12 +436,71 @@ def test_sampling_has_the_lattice_distribution():
                 for rest, v in paths(s[k:]):
                     yield (i, *rest), w * v
 
-    want = dict(paths(word))
-    total = sum(want.values())
-    ids, sizes = lat.sample(pa.array([word] * n, pa.large_string()), np.arange(n).astype(np.uint64), 5)
-    got = Counter(tuple(x) for x in np.split(ids, np.cumsum(sizes)[:-1]))
-    for p, w in want.items():
-        assert abs(got[tuple(p)] / n - w / total) < 0.02
+    for word in ("then", " a   b", "     ", "in  x "):
+        want = dict(paths(word.replace(" ", "\u2581")))
+        total = sum(want.values())
+        ids, sizes = lat.sample(pa.array([word] * n, pa.large_string()), np.arange(n).astype(np.uint64), 5)
+        got = Counter(tuple(x) for x in np.split(ids, np.cumsum(sizes)[:-1]))
+        assert set(got) <= set(want)
+        for p, w in want.items():
+            assert abs(got[tuple(p)] / n - w / total) < 0.02, word
+
+
+def test_long_units_are_drawn_from_their_whole_lattice():
+    """How often a piece ends at each place, against sums over all paths from both ends."""
+    import math
+
+    import pyarrow as pa
+
+    lat, n = sentencepiece_sampling.lattices(contracts.vocabulary("piece_bpe_32k.model"), 1.0), 4000
+    for word in ("internationalization" * 12, "x" * 2000 + "\u4e2d\u6587" * 40):
+        w = lambda t: lat.pieces[t][1] if t in lat.pieces else lat.rare if len(t) == 1 else 0.0
+
+        def sums(step):
+            out, scale = [1.0], [0]  # times 2 ** scale
+            for k in range(1, len(word) + 1):
+                total = 0.0
+                for m in range(1, min(16, k) + 1):
+                    t = word[k - m : k] if step > 0 else word[len(word) - k : len(word) - k + m]
+                    total += math.ldexp(w(t) * out[k - m], scale[k - m] - scale[k - 1])
+                x, e = math.frexp(total)
+                out.append(x)
+                scale.append(e + scale[k - 1])
+            return out, scale
+
+        (f, fs), (b, bs) = sums(1), sums(-1)
+        size = len(word)
+        want = np.array([math.ldexp(f[k] * b[size - k] / f[size], fs[k] + bs[size - k] - fs[size]) for k in range(1, size)])
+        ids, sizes = lat.sample(pa.array([word] * n, pa.large_string()), np.arange(n).astype(np.uint64), 5)
+        length = np.array([len(x.replace("\u2581", " ")) for x in lat.names])
+        length[list(lat.bytes.values())] = -1
+        got, at = np.zeros(size + 1), 0
+        for s in sizes:
+            row = ids[at : at + s]
+            at += s
+            if (length[row] < 0).any():
+                ends = np.cumsum([len(x) for x in _spelled(lat, row)])
+            else:
+                ends = np.cumsum(length[row])
+            got[ends] += 1
+        assert np.abs(got[1:size] / n - want).max() < 0.05
+
+
+def _spelled(lat, row):
+    """The strings of a row of ids; the bytes of one character are one string."""
+    out, left = [], b""
+    back = {i: bytes([k]) for k, i in lat.bytes.items()}
+    for i in row.tolist():
+        if i in back:
+            left += back[i]
+            try:
+                out.append(left.decode())
+                left = b""
+            except UnicodeDecodeError:
+                pass
+        else:
+            out.append(lat.names[i])
+    return out
 
 
 def test_urls(spark):
