@@ -30,11 +30,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which all executors share.
 
-    Where the session has no such setting (tests, one machine), a folder of
-    our own in the machine's temporary directory takes its place.
+    Where the session has no such setting, a session within one process (tests,
+    a bench) sets a folder of its own; one with executors elsewhere gets a
+    ValueError, since they would not see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         import tempfile
 
         root = "file://" + os.path.join(tempfile.gettempdir(), "lodestar-shared")
