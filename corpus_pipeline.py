@@ -11,19 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontamination, jaccard_join, quality_classifier, quality_rules, sentencepiece_sampling
-from lodestar.llm.common import crc_mod, shared_dir, table
+from lodestar.llm.common import crc_mod, shared_dir, stored, table
 from lodestar.llm.contracts import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, which tells rows apart whatever their doc_id is: alike for rows of one doc_id and text only."""
+    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every quality rule."""
+    """Documents that pass every quality rule; null and empty texts fail, repeated rows and rows without a doc_id are judged each."""
     return quality_rules.judged(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.5 or more; the network learns from the labelled documents of the folder, since the rules leave those of one label only."""
+    """Documents whose quality score is 0.5 or more.
+
+    The network learns from the labelled documents of the folder, since the
+    rules leave those of one label only.  Each row is scored, repeated ones
+    and those without a doc_id too; a null or empty text has the score of no
+    words.
+    """
     model = quality_classifier.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
     return quality_classifier.kept(docs.select(*COLUMNS), *model, least=0.5)
 
@@ -31,23 +42,31 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that 5-word shingles link with a similarity of 0.8 or more: the one with the smallest doc_id.
 
-    Of rows that share that doc_id one stays; rows without a doc_id stay.
+    Rows take part each with its own text, whether they share a doc_id or have
+    none (these come after all others).  Of rows alike in doc_id and text one
+    stays.  Texts without words link with nothing.
     """
-    found = jaccard_join.jaccard_components(docs, n=5, percent=80)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")))
-    return out.withColumn("_key", key).dropDuplicates(["_key"]).select(*COLUMNS)
+    docs = _keyed(docs.select(*COLUMNS))
+    found = jaccard_join.jaccard_components(docs.select(F.col("_key").alias("doc_id"), "text"), n=5, percent=80).select(F.col("doc_id").alias("_key"), "component_id")
+    found = found.distinct().join(docs.select("_key", "doc_id"), "_key").withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))
+    found = stored(found.select("_key", "component_id", "rank"), "pipeline-components")
+    best = found.groupBy("component_id").agg(F.min("rank").alias("best"))
+    gone = found.join(best, "component_id").where("_key != best._key").select("_key").distinct()
+    out = docs.join(gone, "_key", "left_anti")
+    again = found.groupBy("_key").agg(F.count("*").alias("rows")).where("rows > 1").select("_key")
+    once = out.join(again, "_key", "left_anti").unionByName(out.join(again, "_key", "left_semi").dropDuplicates(["_key"]))
+    return once.select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold no benchmark item; each row is tried, also those that share a doc_id or have none, and texts without words hold nothing."""
+    docs = _keyed(docs.select(*COLUMNS))
+    found = decontamination.contaminated(docs.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return docs.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled piece ids of each document: doc_id, n_tokens, ids, lossless."""
+    """Sampled piece ids of each document: doc_id, n_tokens, ids, lossless; a null or empty text has no ids, and rows alike in doc_id and text are drawn alike."""
     return sentencepiece_sampling.encoded(docs, vocabulary("piece_bpe_32k.model"))
 
 
