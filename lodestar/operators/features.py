@@ -16,6 +16,37 @@ def spread(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return x.join(y, "ts").select(F.lit(name).alias("series"), "ts", (F.col("x") - F.col("y")).alias("value"))
 
 
+def real_yield(df: DataFrame, level: str, prices: str, name: str, k: int = 12) -> DataFrame:
+    """A series less the change of a price index over k rows in per cent, by date."""
+    x = df.where(F.col("series") == level).select("ts", F.col("value").alias("x"))
+    y = df.where(F.col("series") == prices).select("ts", (100 * pct_change(F.col("value"), by("series"), k)).alias("y"))
+    return x.join(y, "ts").select(F.lit(name).alias("series"), "ts", (F.col("x") - F.col("y")).alias("value"))
+
+
+def ratio(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """One series over another, by date; a zero divisor gives null."""
+    x, y = (df.where(F.col("series") == s).select("ts", F.col("value").alias(c)) for s, c in ((a, "x"), (b, "y")))
+    return x.join(y, "ts").select(F.lit(name).alias("series"), "ts", F.try_divide("x", "y").alias("value"))
+
+
+def divergence(df: DataFrame, a: str, b: str, name: str, k: int = 12) -> DataFrame:
+    """How far the growth of one series over k rows in per cent runs ahead of another's."""
+    return spread(df.select("series", "ts", (100 * pct_change(F.col("value"), by("series"), k)).alias("value")), a, b, name)
+
+
+def without(df: DataFrame, names: tuple[str, ...] = (), suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """The series that bear none of the names and end in none of the suffixes."""
+    out = df.where(~F.col("series").isin(list(names))) if names else df
+    for s in suffixes:
+        out = out.where(~F.col("series").endswith(s))
+    return out
+
+
+def renamed(df: DataFrame, names: DataFrame) -> DataFrame:
+    """Series under their readable names (series, name); those without one keep their own.  The dictionary is a few rows."""
+    return df.join(F.broadcast(names), "series", "left").withColumn("series", F.coalesce("name", "series")).drop("name")
+
+
 def growth(df: DataFrame) -> DataFrame:
     """3, 6 and 12 row growth in per cent, and how far the short one runs ahead."""
     w, v = by("series"), F.col("value")
@@ -44,7 +75,9 @@ def sector_features(px: DataFrame) -> DataFrame:
     df = px.select("series", "ts", "value", pct_change(v, w).alias("r1"), *[pct_change(v, w, k).alias(f"r{k}") for k in (20, 21, 63, 126)])
     df = df.withColumn("rel_12m", v / F.first("value").over(w) - 1)
     for n in (20, 50):
-        df = df.withColumn(f"above_sma{n}", F.when(F.coalesce(v > rolling(v, F.avg, w, n), F.lit(False)), 100.0).otherwise(0.0))
+        # a margin far above rounding: a price equal to its mean is not above it
+        mean = rolling(v, F.avg, w, n)
+        df = df.withColumn(f"above_sma{n}", F.when(F.coalesce(v - mean > 1e-9 * F.abs(mean), F.lit(False)), 100.0).otherwise(0.0))
     df = df.withColumn("accel", F.col("r21") - F.col("r63")).withColumn("trend", F.col("r126") - F.col("r63"))
     df = df.withColumn("vol21", rolling(F.col("r1"), F.stddev_samp, w, 21)).withColumn("vol63", rolling(F.col("r1"), F.stddev_samp, w, 63))
     df = df.withColumn("m21", rolling(F.col("r63"), F.avg, w, 21)).withColumn("lead", F.col("r63") / (F.col("vol63") * F.sqrt(F.lit(TRADING_DAYS)) + 1e-6))

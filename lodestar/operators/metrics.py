@@ -18,6 +18,12 @@ def curve(df: DataFrame, keys: list[str], ret: str = "ret") -> DataFrame:
     return df.withColumn("drawdown", (F.col("peak") - F.col("equity")) / F.col("peak"))
 
 
+def _calmar(annual: Column, r: Column) -> Column:
+    """A year's return over the worst drawdown; without one, infinity or 0 by the sign of the mean."""
+    worst = F.max("drawdown")
+    return F.when(worst == 0, F.when(F.avg(r) > 0, float("inf")).otherwise(0.0)).otherwise(F.try_divide(annual, worst))
+
+
 def risk(df: DataFrame, keys: list[str], ret: str = "ret", year: int = 12, rf: float = 0.0) -> DataFrame:
     """One row a key: totals, Sharpe, Sortino, Calmar, drawdown and its duration, tails and moments."""
     c = curve(df.where(F.col(ret).isNotNull()), keys, ret)
@@ -36,11 +42,11 @@ def risk(df: DataFrame, keys: list[str], ret: str = "ret", year: int = 12, rf: f
         annual.alias("annual"),
         (F.stddev_samp(r) * math.sqrt(year)).alias("vol"),
         F.coalesce(F.try_divide(F.avg("x"), F.stddev_samp("x")) * math.sqrt(year), F.lit(0.0)).alias("sharpe"),
-        (F.try_divide(F.avg("x"), down) * math.sqrt(year)).alias("sortino"),
+        F.when((F.count(F.when(F.col("x") < 0, 1)) == 0) | (down == 0), F.when(F.avg("x") > 0, float("inf")).otherwise(0.0)).otherwise(F.try_divide(F.avg("x"), down) * math.sqrt(year)).alias("sortino"),
         F.max("drawdown").alias("max_dd"),
         F.max_by("since", F.struct("drawdown", -F.col("rn"))).alias("dd_rows"),
-        F.try_divide(annual, F.max("drawdown")).alias("calmar_geo"),
-        F.try_divide(F.avg(r) * year, F.max("drawdown")).alias("calmar_arith"),
+        _calmar(annual, r).alias("calmar_geo"),
+        _calmar(F.avg(r) * year, r).alias("calmar_arith"),
         F.when(F.count(r) >= 20, F.abs(F.try_divide(q[1], q[0]))).alias("tail"),
         skewness(r).alias("skew"),
         kurtosis(r).alias("kurt"),
@@ -66,12 +72,78 @@ def accuracy(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def normal_cdf(z: Column) -> Column:
-    """The normal distribution function in built-in arithmetic (Abramowitz and Stegun 26.2.17, error below 7.5e-8)."""
-    t = 1 / (1 + 0.2316419 * F.abs(z))
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly
-    return F.when(z >= 0, 1 - tail).otherwise(tail)
+def normal_cdf(z: str) -> Column:
+    """SQL column to the normal distribution function, by its series; beyond 8 it is 0 or 1 to 15 places."""
+    series = f"aggregate(sequence(1, 120), named_struct('t', cast({z} as double), 's', cast({z} as double)), (a, k) -> named_struct('t', a.t * {z} * {z} / (2 * k + 1), 's', a.s + a.t * {z} * {z} / (2 * k + 1)), a -> a.s)"
+    return F.expr(f"CASE WHEN {z} > 8 THEN 1D WHEN {z} < -8 THEN 0D ELSE 0.5D + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {series} END")
+
+
+def student_cdf(t: str, df: str) -> Column:
+    """SQL columns to Student's distribution function for whole degrees of freedom, by the finite sums of its two cases; null below 1."""
+    t, df = f"({t})", f"({df})"
+    angle, n = f"atan({t} / sqrt({df}))", f"cast({df} as int)"
+    square = f"({df} / ({df} + {t} * {t}))"  # cos of the angle, squared
+    even = f"aggregate(sequence(1, greatest({n} div 2, 1)), named_struct('c', 1D, 's', 0D), (a, k) -> named_struct('c', a.c * (2 * k - 1) / (2 * k) * {square}, 's', a.s + a.c), a -> a.s)"
+    odd = f"aggregate(sequence(1, greatest(({n} - 1) div 2, 1)), named_struct('c', 1D, 's', 0D), (a, k) -> named_struct('c', a.c * (2 * k) / (2 * k + 1) * {square}, 's', a.s + a.c), a -> a.s)"
+    inner = f"CASE WHEN {n} % 2 = 0 THEN sin({angle}) * {even} WHEN {n} = 1 THEN 2 / pi() * {angle} ELSE 2 / pi() * ({angle} + sin({angle}) * cos({angle}) * {odd}) END"
+    return F.expr(f"CASE WHEN {n} >= 1 THEN 0.5D + ({inner}) / 2 END")
+
+
+#: Fixed value: the 0.975 quantile of the normal distribution.
+Z975 = 1.959963984540054
+
+
+def r2_interval(df: DataFrame, keys: list[str], z: float = Z975) -> DataFrame:
+    """(n, r2, low, high) of an out-of-sample R2 by its asymptotic error 2 |1 - R2| / sqrt(n); at -10 or less the error is 2 |R2| / sqrt(n), and high is 1 at most."""
+    out = accuracy(df, keys).select(*keys, "n", "r2")
+    se = F.when(F.col("r2") >= 1, 0.0).when(F.col("r2") <= -10, 2 * F.abs("r2") / F.sqrt("n")).otherwise(2 * F.abs(1 - F.col("r2")) / F.sqrt("n"))
+    return out.withColumn("low", F.col("r2") - z * se).withColumn("high", F.least(F.col("r2") + z * se, F.lit(1.0)))
+
+
+def adjusted_r2(df: DataFrame, keys: list[str], predictors: int = 1) -> DataFrame:
+    """(n, r2, r2_adj); null where there are no degrees of freedom."""
+    out = accuracy(df, keys).select(*keys, "n", "r2")
+    return out.withColumn("r2_adj", 1 - F.try_divide((1 - F.col("r2")) * (F.col("n") - 1), F.col("n") - predictors - 1))
+
+
+def dm_yield(df: DataFrame, keys: list[str], h: int = 1) -> DataFrame:
+    """(n, dm, p) of squared errors of bench less those of pred, with the horizon's small-sample factor; (0, 1) where they don't vary."""
+    d = (F.col("actual") - F.col("bench")) ** 2 - (F.col("actual") - F.col("pred")) ** 2
+    k = F.sqrt(F.count("*") + 1 - 2 * h + F.lit(h * (h + 1) / 3))
+    out = df.withColumn("d", d).where("d is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.coalesce(F.try_divide(F.avg("d") * k, F.stddev_pop("d")), F.lit(0.0)).alias("dm"))
+    return out.withColumn("p", 2 * (1 - normal_cdf("abs(dm)")))
+
+
+def trading(df: DataFrame, keys: list[str], year: int = 12) -> DataFrame:
+    """One row a key of sign(pred) * actual: hits in per cent and by side, sum, yearly mean, deviation (ddof 0) and Sharpe, and R2 against the mean."""
+    a, p = F.col("actual"), F.col("pred")
+    df = df.where("actual is not null and pred is not null").withColumn("pnl", F.signum(p) * a)
+    side = lambda c, s: 100 * F.coalesce(F.avg(F.when(c, (F.signum(a) == s).cast("double"))), F.lit(0.0))
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        (100 * F.avg((F.signum(p) == F.signum(a)).cast("double"))).alias("hit"),
+        F.count(F.when(p > 0, 1)).alias("n_pos"),
+        F.count(F.when(p < 0, 1)).alias("n_neg"),
+        side(p > 0, 1).alias("pos_hit"),
+        side(p < 0, -1).alias("neg_hit"),
+        F.sum("pnl").alias("total"),
+        (F.avg("pnl") * year).alias("annual"),
+        (F.stddev_pop("pnl") * math.sqrt(year)).alias("vol"),
+        F.coalesce(F.try_divide(F.avg("pnl"), F.stddev_pop("pnl")) * math.sqrt(year), F.lit(0.0)).alias("sharpe"),
+        F.coalesce(1 - F.try_divide(F.sum((a - p) * (a - p)), F.var_pop(a) * F.count("*")), F.lit(0.0)).alias("r2"),
+    )
+
+
+def stars(p: str) -> Column:
+    """Marks of significance at 1, 5 and 10 per cent."""
+    c = F.col(p)
+    return F.when(c < 0.01, "***").when(c < 0.05, "**").when(c < 0.1, "*").otherwise("")
+
+
+def verdict(hit: str, sharpe: str, low: str) -> Column:
+    """What a hit ratio in per cent, a Sharpe ratio and the lower end of its interval say."""
+    h, s = F.col(hit), F.col(sharpe)
+    return F.when((h > 50) & (s > 0) & (F.col(low) > 0), "passes").when((h > 50) & (s > 0), "marginal").when(s < 0, "fails").otherwise("inconclusive")
 
 
 def diebold_mariano(df: DataFrame, keys: list[str], ddof: int = 1) -> DataFrame:
@@ -80,19 +152,21 @@ def diebold_mariano(df: DataFrame, keys: list[str], ddof: int = 1) -> DataFrame:
     var = F.var_samp("d") if ddof else F.var_pop("d")
     out = df.withColumn("d", d).where("d is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.when(var > 0, F.avg("d") / F.sqrt(var / F.count("*"))).alias("dm"))
     out = out if ddof else out.withColumn("dm", F.coalesce("dm", F.lit(0.0)))
-    return out.withColumn("p", 2 * (1 - normal_cdf(F.abs("dm"))))
+    return out.withColumn("p", 2 * (1 - normal_cdf("abs(dm)")))
 
 
 def clark_west(df: DataFrame, keys: list[str]) -> DataFrame:
-    """(n, cw): errors against the mean of actual, corrected for the forecast's own spread; one-sided."""
+    """(n, cw, p): errors against the mean of actual, corrected for the forecast's own spread; one-sided."""
     m = F.avg("actual").over(Window.partitionBy(*keys))
     df = df.withColumn("m", m).withColumn("f", (F.col("actual") - F.col("m")) ** 2 - (F.col("actual") - F.col("pred")) ** 2 + (F.col("m") - F.col("pred")) ** 2)
-    return df.where("f is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.avg("f"), F.stddev_pop("f") / F.sqrt(F.count("*"))).alias("cw"))
+    out = df.where("f is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.avg("f"), F.stddev_pop("f") / F.sqrt(F.count("*"))).alias("cw"))
+    return out.withColumn("p", 1 - student_cdf("cw", "n - 1"))
 
 
 def t_test(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(n, t) of a mean against 0."""
-    return df.groupBy(*keys).agg(F.count(value).alias("n"), F.try_divide(F.avg(value), F.stddev_samp(value) / F.sqrt(F.count(value))).alias("t"))
+    """(n, t, p) of a mean against 0, two-sided."""
+    out = df.groupBy(*keys).agg(F.count(value).alias("n"), F.try_divide(F.avg(value), F.stddev_samp(value) / F.sqrt(F.count(value))).alias("t"))
+    return out.withColumn("p", 2 * (1 - student_cdf("abs(t)", "n - 1")))
 
 
 def bootstrap(df: DataFrame, keys: list[str], value: str, times: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:

@@ -25,16 +25,25 @@ def positions(df: DataFrame, max_long: float = 1.5, max_short: float = 0.5) -> D
 def delevered(df: DataFrame, limit: float, max_long: float) -> DataFrame:
     """Positions over 1 cut while equity is below its peak: the cut feeds back into equity, so each series is folded in order.
 
-    A series is an array in one row here; it must fit into a task, as a backtest of monthly or daily rows does.
+    A series must fit into a task, as a backtest of monthly or daily rows does.
+    Rows without a position or return hold nothing and are left out.
     """
     if limit <= 0 or max_long <= 1:
         return df
-    rows = df.groupBy("series").agg(F.sort_array(F.collect_list(F.struct("ts", "pos", "ret"))).alias("rows"))
-    step = """aggregate(rows, named_struct('c', 1.0D, 'k', 1.0D, 'o', cast(array() as array<struct<ts: date, pos: double, ret: double>>)), (s, x) -> named_struct(
-        'c', s.c * (1 + x.ret * IF(x.pos > 1, 1 + (x.pos - 1) * (1 - 0.5D * least((s.k - s.c) / s.k / {limit}D, 1.0D)), x.pos)),
-        'k', greatest(s.k, s.c * (1 + x.ret * IF(x.pos > 1, 1 + (x.pos - 1) * (1 - 0.5D * least((s.k - s.c) / s.k / {limit}D, 1.0D)), x.pos))),
-        'o', concat(s.o, array(named_struct('ts', x.ts, 'pos', IF(x.pos > 1, 1 + (x.pos - 1) * (1 - 0.5D * least((s.k - s.c) / s.k / {limit}D, 1.0D)), x.pos), 'ret', x.ret)))), s -> s.o)""".format(limit=limit)
-    return rows.select("series", F.explode(F.expr(step)).alias("x")).select("series", "x.ts", "x.pos", "x.ret")
+    def run(pdf):
+        pdf = pdf.sort_values("ts")
+        equity = peak = 1.0
+        out = []
+        for pos, ret in zip(pdf["pos"].tolist(), pdf["ret"].tolist()):
+            if pos > 1:
+                pos = 1 + (pos - 1) * (1 - 0.5 * min((peak - equity) / peak / limit, 1.0))
+            out.append(pos)
+            equity *= 1 + pos * ret
+            peak = max(peak, equity)
+        return pdf.assign(pos=out)
+
+    rows = df.select("series", "ts", "pos", "ret").where("pos is not null and ret is not null")
+    return rows.groupBy("series").applyInPandas(run, rows.schema)
 
 
 def margin(df: DataFrame, rate: float) -> DataFrame:
@@ -56,17 +65,51 @@ def turnover(df: DataFrame, still: float = 0.02) -> DataFrame:
     return df.withColumn("turnover", F.abs(F.col("side") - F.coalesce(F.lag("side").over(by("series")), F.col("side"))) / 2)
 
 
-def costed(df: DataFrame, rate: float) -> DataFrame:
-    """Gross return, cost and net return of sign positions at a rate in basis points."""
-    return turnover(df).withColumn("gross", F.col("side") * F.col("ret")).withColumn("cost", F.col("turnover") * rate / 1e4).withColumn("net", F.col("gross") - F.col("cost"))
-
-
-def equal_weight(ret: DataFrame, grid: DataFrame, skip: int = 0) -> DataFrame:
-    """(turnover, bps, n, total, annual) of the mean of all series less costs, for each row of the grid."""
-    n = ret.agg(F.countDistinct("series")).first()[0]  # a number of the strategy
+def simulated(df: DataFrame, max_long: float = 1.5, max_short: float = 0.5, rate: float = 0.06, limit: float = 0.0) -> DataFrame:
+    """df with pos and gross, the return of the sized positions less the financing of their leverage; a limit cuts them in drawdowns."""
+    out = positions(df, max_long, max_short)
+    if limit > 0 and max_long > 1:
+        cut = delevered(out, limit, max_long).select("series", "ts", "pos")
+        out = out.drop("pos").join(cut, ["series", "ts"])
+    return margin(out, rate).withColumn("gross", F.col("pos") * F.col("ret") - F.col("margin")).drop("margin")
+
+
+def costed(df: DataFrame, rate: float, max_long: float = 1.5, max_short: float = 0.5, financing: float = 0.06, limit: float = 0.0) -> DataFrame:
+    """Gross return of the sized positions, cost of the sign's turnover at a rate in basis points, and net return."""
+    out = turnover(simulated(df, max_long, max_short, financing, limit))
+    return out.withColumn("cost", F.col("turnover") * rate / 1e4).withColumn("net", F.col("gross") - F.col("cost"))
+
+
+def cost_adjusted(df: DataFrame, rate: float) -> DataFrame:
+    """df with adjusted: the prediction less the cost of its own turnover, of the same sign."""
+    return turnover(df).withColumn("adjusted", F.col("pred") - F.col("turnover") * rate / 1e4 * F.signum("pred"))
+
+
+def cost_report(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key of gross, cost, net and turnover: Sharpe and totals before and after costs, drag, trades and what a trade costs."""
+    sharpe = lambda c: F.coalesce(F.try_divide(F.avg(c), F.stddev_samp(c)) * F.sqrt(F.lit(12.0)), F.lit(0.0))
+    total = lambda c: F.product(1 + F.col(c)) - 1
+    traded = F.col("turnover") > 0
+    out = df.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        sharpe("gross").alias("sharpe_gross"),
+        sharpe("net").alias("sharpe_net"),
+        total("gross").alias("total_gross"),
+        total("net").alias("total_net"),
+        F.avg("turnover").alias("avg_turnover"),
+        F.sum("turnover").alias("total_turnover"),
+        F.sum("cost").alias("total_cost"),
+        F.count(F.when(traded, 1)).alias("trades"),
+        F.coalesce(F.avg(F.when(traded, F.col("cost"))) * 1e4, F.lit(0.0)).alias("bps_a_trade"),
+    )
+    return out.withColumn("drag", F.col("total_gross") - F.col("total_net"))
+
+
+def equal_weight(ret: DataFrame, grid: DataFrame, skip: int = 0, held: int = 9) -> DataFrame:
+    """(turnover, bps, n, total, annual) of the mean of all series less each month's cost of ``held`` positions, for each row of the grid."""
     monthly = ret.where("ret is not null").groupBy("ts").agg(F.avg("ret").alias("r"))
     monthly = monthly.withColumn("k", F.row_number().over(Window.orderBy("ts"))).where(F.col("k") > skip)
     # the grid is a parameter, a few rows
-    net = monthly.crossJoin(F.broadcast(grid)).withColumn("net", F.col("r") - n * F.col("turnover") * F.col("bps") / 1e4 / 12)
+    net = monthly.crossJoin(F.broadcast(grid)).withColumn("net", F.col("r") - held * F.col("turnover") * F.col("bps") / 1e4)
     out = net.groupBy("turnover", "bps").agg(F.count("*").alias("n"), (F.product(1 + F.col("net")) - 1).alias("total"))
     return out.withColumn("annual", F.pow(1 + F.col("total"), 12.0 / F.col("n")) - 1)

@@ -15,9 +15,14 @@ def t_of(r: Column, n: Column) -> Column:
 
 
 def screened(df: DataFrame, least: float = 0.75, rows: int = 10) -> DataFrame:
-    """(grp, series, n, t, kept): of each group the series with |t| over ``least``, else its best one; df has grp, series, ts, value and y."""
+    """(grp, series, n, t, kept): of each group the series with |t| over ``least``, else its best one; df has grp, series, ts, value and y. Below ``rows`` common dates all t are 0."""
+    # listwise: a date counts for a group if all of its series and y have a value
+    every = df.groupBy("grp").agg(F.countDistinct("series").alias("_k"))
+    dates = df.where("value is not null and y is not null").groupBy("grp", "ts").agg(F.countDistinct("series").alias("_c")).join(every, "grp").where("_c = _k").select("grp", "ts")
+    names = df.select("grp", "series").distinct()
     both = F.col("value").isNotNull() & F.col("y").isNotNull()
-    out = df.where(both).groupBy("grp", "series").agg(F.count("*").alias("n"), correlation(F.col("value"), F.col("y")).alias("r"))
+    df = names.join(df.where(both).join(dates, ["grp", "ts"], "left_semi"), ["grp", "series"], "left")
+    out = df.groupBy("grp", "series").agg(F.count("value").alias("n"), correlation(F.col("value"), F.col("y")).alias("r"))
     out = out.withColumn("t", F.when(F.col("n") >= rows, F.coalesce(t_of(F.col("r"), F.col("n")), F.lit(0.0))).otherwise(0.0))
     g = Window.partitionBy("grp")
     best = F.row_number().over(g.orderBy(F.abs("t").desc(), "series")) == 1
@@ -60,3 +65,20 @@ def interactions(df: DataFrame, factor: str = "value", regime: str = "pct") -> D
     """A factor centred in its series, and its product with a regime's percentile."""
     f = F.col(factor) - F.avg(factor).over(Window.partitionBy("series"))
     return df.withColumn("factor", f).withColumn("interaction", F.col("factor") * F.col(regime))
+
+
+def baselines(df: DataFrame, least: int = 1) -> DataFrame:
+    """df (series, ts, actual) with what needs no fit: naive (0), hist_mean (of all rows before) and momentum (the sign of the last)."""
+    w = by("series")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    mean = F.when(F.count("actual").over(past) >= least, F.avg("actual").over(past))
+    return df.withColumn("naive", F.lit(0.0)).withColumn("hist_mean", mean).withColumn("momentum", F.signum(F.lag("actual").over(w)))
+
+
+def rescaled(df: DataFrame, split: str, most: float = 5.0) -> DataFrame:
+    """Predictions after split scaled to the spread of actual up to it, if that takes a factor between 1 and ``most`` and there are over ten; else as they are."""
+    late = F.col("ts") > F.lit(split).cast("date")
+    g = Window.partitionBy("series")
+    p, t = F.stddev_samp(F.when(late, F.col("pred"))).over(g), F.stddev_samp(F.when(~late, F.col("actual"))).over(g)
+    k = F.when((p > 0.001) & (t > 0.001) & (F.count(F.when(late, F.col("pred"))).over(g) > 10), t / p)
+    return df.withColumn("_k", F.when((k > 1) & (k <= most), k).otherwise(1.0)).where(late).withColumn("pred", F.col("pred") * F.col("_k")).drop("_k")

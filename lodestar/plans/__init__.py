@@ -1,6 +1,6 @@
 """Queries over the test tables, one for each operator, with their SQL."""
 
-from . import frames, models, strategies
+from . import frames, models, statistics, strategies
 
-QUERIES = {**frames.QUERIES, **strategies.QUERIES, **models.QUERIES}
-ORACLES = {**frames.ORACLES, **strategies.ORACLES, **models.ORACLES}
+QUERIES = {**frames.QUERIES, **strategies.QUERIES, **statistics.QUERIES, **models.QUERIES}
+ORACLES = {**frames.ORACLES, **strategies.ORACLES, **statistics.ORACLES, **models.ORACLES}

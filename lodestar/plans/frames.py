@@ -222,16 +222,16 @@ def rsi_14(spark, d):
     return features.rsi(panels.daily(spark, d))
 
 
-@query(f"""SELECT series, ts, R(r20) AS r20, R(rel_12m) AS rel_12m, CASE WHEN coalesce(value > s20, false) THEN 100.0 ELSE 0.0 END AS above_sma20, R(r21 - r63) AS accel, R(r126 - r63) AS trend, R((r63 - avg(r63) OVER p) / (v21 + 1e-6)) AS bull, R(stddev_samp(r63) OVER p) AS dispersion, R(max(r63) OVER p - min(r63) OVER p) AS spread,
+@query(f"""SELECT series, ts, R(r20) AS r20, R(rel_12m) AS rel_12m, CASE WHEN coalesce(value - s20 > 1e-9 * abs(s20), false) THEN 100.0 ELSE 0.0 END AS above_sma20, CASE WHEN coalesce(value - s50 > 1e-9 * abs(s50), false) THEN 100.0 ELSE 0.0 END AS above_sma50, R(CASE WHEN count(r1) OVER w63 >= 63 THEN covar_pop(r1, mean1) OVER w63 / nullif(stddev_pop(r1) OVER w63 * stddev_pop(CASE WHEN r1 IS NOT NULL THEN mean1 END) OVER w63, 0) END) AS corr63, R(r21 - r63) AS accel, R(r126 - r63) AS trend, R((r63 - avg(r63) OVER p) / (v21 + 1e-6)) AS bull, R(stddev_samp(r63) OVER p) AS dispersion, R(max(r63) OVER p - min(r63) OVER p) AS spread,
 R((m21 - avg(m21) OVER p) / (stddev_samp(m21) OVER p + 1e-6)) AS zscore, R(r63 / (v63 * sqrt(252) + 1e-6)) AS lead,
 R(CASE WHEN count(r63) OVER p = count(*) OVER p THEN rank() OVER (PARTITION BY ts ORDER BY r63 DESC) + (count(r63) OVER (PARTITION BY ts, r63) - 1) / 2.0 END) AS rank FROM (
-SELECT *, {_min('stddev_samp(r1)', 21, 'r1')} AS v21, {_min('stddev_samp(r1)', 63, 'r1')} AS v63, {_min('avg(r63)', 21, 'r63')} AS m21 FROM (
-SELECT *, value / lag(value) OVER w - 1 AS r1, value / lag(value, 20) OVER w - 1 AS r20, value / lag(value, 21) OVER w - 1 AS r21, value / lag(value, 63) OVER w - 1 AS r63, value / lag(value, 126) OVER w - 1 AS r126, value / first_value(value) OVER w - 1 AS rel_12m, {_min('avg(value)', 20, 'value')} AS s20 FROM daily WINDOW w AS (PARTITION BY series ORDER BY ts)))
-WINDOW p AS (PARTITION BY ts)""", 4)
+SELECT *, avg(r1) OVER (PARTITION BY ts) AS mean1, {_min('stddev_samp(r1)', 21, 'r1')} AS v21, {_min('stddev_samp(r1)', 63, 'r1')} AS v63, {_min('avg(r63)', 21, 'r63')} AS m21 FROM (
+SELECT *, value / lag(value) OVER w - 1 AS r1, value / lag(value, 20) OVER w - 1 AS r20, value / lag(value, 21) OVER w - 1 AS r21, value / lag(value, 63) OVER w - 1 AS r63, value / lag(value, 126) OVER w - 1 AS r126, value / first_value(value) OVER w - 1 AS rel_12m, {_min('avg(value)', 20, 'value')} AS s20, {_min('avg(value)', 50, 'value')} AS s50 FROM daily WINDOW w AS (PARTITION BY series ORDER BY ts)))
+WINDOW p AS (PARTITION BY ts), w63 AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)""", 4)
 def sector_features(spark, d):
     """Daily sector features: momentum, breadth, strength and cross-section."""
     f = features.sector_features(panels.daily(spark, d))
-    return f.select("series", "ts", "r20", "rel_12m", "above_sma20", "accel", "trend", "bull", "dispersion", "spread", "zscore", "lead", "rank")
+    return f.select("series", "ts", "r20", "rel_12m", "above_sma20", "above_sma50", "corr63", "accel", "trend", "bull", "dispersion", "spread", "zscore", "lead", "rank")
 
 
 @query(f"""SELECT series, ts, R(21 * ({_min('avg(x)', 21, 'x')})) AS rel FROM (SELECT s.series, s.ts, s.r - i.r AS x FROM (SELECT *, value / lag(value) OVER {W} - 1 AS r FROM daily) s JOIN (SELECT ts, v / lag(v) OVER (ORDER BY ts) - 1 AS r FROM (SELECT ts, sum(value) AS v FROM daily GROUP BY 1)) i USING (ts))""", 4)
@@ -283,10 +283,10 @@ def event_windows(spark, d):
     return windowed(sources.read_table(spark, d, "events"))
 
 
-@query("SELECT md5('fred_' || p_type || '_' || p_brand) AS key, count(*) AS n FROM part GROUP BY 1")
+@query("SELECT md5('table_' || p_type || '_' || p_brand) AS key, count(*) AS n FROM part GROUP BY 1")
 def cache_keys(spark, d):
     p = sources.read_table(spark, d, "part")
-    return p.groupBy(sources.cache_key("fred", F.col("p_type"), F.col("p_brand")).alias("key")).agg(F.count("*").alias("n"))
+    return p.groupBy(sources.cache_key("table", F.col("p_type"), F.col("p_brand")).alias("key")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT series, grp, ts, R(value) AS value FROM (SELECT *, row_number() OVER (PARTITION BY last_day(ts), grp ORDER BY value DESC, series) AS rn FROM panel) WHERE rn = 1", 2)

@@ -13,7 +13,7 @@ C = "OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING)"
 
 
 @query("""SELECT grp, series, n, R(t) AS t, (abs(t) > 0.75 OR (rk = 1 AND NOT any_)) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY abs(t) DESC, series) AS rk, max(CAST(abs(t) > 0.75 AS INT)) OVER (PARTITION BY grp) = 1 AS any_ FROM (
-SELECT grp, series, count(*) AS n, CASE WHEN count(*) >= 10 THEN corr(value, y) * sqrt((count(*) - 2) / (1 - corr(value, y) ** 2)) ELSE 0.0 END AS t FROM tgt WHERE value IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2))""", 4)
+SELECT grp, series, count(value) AS n, CASE WHEN count(value) >= 10 THEN corr(value, y) * sqrt((count(value) - 2) / (1 - corr(value, y) ** 2)) ELSE 0.0 END AS t FROM (SELECT DISTINCT grp, series FROM tgt) LEFT JOIN (SELECT * FROM tgt WHERE value IS NOT NULL AND y IS NOT NULL AND (grp, ts) IN (SELECT (grp, ts) FROM tgt JOIN (SELECT grp, count(DISTINCT series) AS k FROM tgt GROUP BY 1) USING (grp) WHERE value IS NOT NULL AND y IS NOT NULL GROUP BY grp, ts, k HAVING count(DISTINCT series) = k)) USING (grp, series) GROUP BY 1, 2))""", 4)
 def tstat_screen(spark, d):
     return screening.screened(panels.target(spark, d))
 
@@ -119,15 +119,15 @@ def conviction_filter(spark, d):
     return portfolio.conviction(panels.signals(spark, d), 0.5).select("series", "ts", "kept_pred")
 
 
-COST = f"cost AS (SELECT *, abs(side - coalesce(lag(side) OVER {W}, side)) / 2 AS turnover FROM (SELECT *, CASE WHEN abs(pred) < 0.02 THEN 0 ELSE sign(pred) END AS side FROM sig))"
+COST = f"{POS}, cost AS (SELECT *, pos * ret - greatest(0, abs(pos) - 1) * 0.06 / 12 AS gross, abs(side - coalesce(lag(side) OVER {W}, side)) / 2 AS turnover FROM (SELECT *, CASE WHEN abs(pred) < 0.02 THEN 0 ELSE sign(pred) END AS side FROM pos))"
 
 
-@query(f", {COST} SELECT series, ts, R(turnover) AS turnover, R(side * ret) AS gross, R(turnover * 25 / 1e4) AS cost, R(side * ret - turnover * 25 / 1e4) AS net FROM cost")
+@query(f", {COST} SELECT series, ts, R(turnover) AS turnover, R(gross) AS gross, R(turnover * 25 / 1e4) AS cost, R(gross - turnover * 25 / 1e4) AS net FROM cost")
 def tc_net_returns(spark, d):
     return portfolio.costed(panels.signals(spark, d), portfolio.bps("standard")).select("series", "ts", "turnover", "gross", "cost", "net")
 
 
-@query(f", {COST} SELECT series, bps, R(product(1 + side * ret) - 1) AS gross, R(product(1 + side * ret - turnover * bps / 1e4) - 1) AS net, count(*) FILTER (turnover > 0) AS trades FROM cost, (VALUES (0.0), (5.0), (15.0), (25.0), (50.0)) g(bps) GROUP BY 1, 2")
+@query(f", {COST} SELECT series, bps, R(product(1 + gross) - 1) AS gross, R(product(1 + gross - turnover * bps / 1e4) - 1) AS net, count(*) FILTER (turnover > 0) AS trades FROM cost, (VALUES (0.0), (5.0), (15.0), (25.0), (50.0)) g(bps) GROUP BY 1, 2")
 def tc_scenarios(spark, d):
     """Totals at each cost tier and at none."""
     grid = spark.createDataFrame([(0.0,), *((b,) for b in portfolio.TIERS.values())], "bps double")
@@ -135,7 +135,7 @@ def tc_scenarios(spark, d):
     return c.groupBy("series", "bps").agg((F.product(1 + F.col("gross")) - 1).alias("gross"), (F.product(1 + F.col("gross") - F.col("turnover") * F.col("bps") / 1e4) - 1).alias("net"), F.count(F.when(F.col("turnover") > 0, 1)).alias("trades"))
 
 
-@query("SELECT turnover, bps, count(*) AS n, R(product(1 + r - k * turnover * bps / 1e4 / 12) - 1) AS total, R((product(1 + r - k * turnover * bps / 1e4 / 12)) ** (12.0 / count(*)) - 1) AS annual FROM (SELECT avg(ret) AS r, any_value(k) AS k, row_number() OVER (ORDER BY ts) AS rn FROM ret, (SELECT count(DISTINCT series) AS k FROM ret) WHERE ret IS NOT NULL GROUP BY ts), (VALUES (0.1, 0.0), (0.1, 25.0), (0.3, 25.0)) g(turnover, bps) WHERE rn > 24 GROUP BY 1, 2")
+@query("SELECT turnover, bps, count(*) AS n, R(product(1 + r - 9 * turnover * bps / 1e4) - 1) AS total, R((product(1 + r - 9 * turnover * bps / 1e4)) ** (12.0 / count(*)) - 1) AS annual FROM (SELECT avg(ret) AS r, row_number() OVER (ORDER BY ts) AS rn FROM ret WHERE ret IS NOT NULL GROUP BY ts), (VALUES (0.1, 0.0), (0.1, 25.0), (0.3, 25.0)) g(turnover, bps) WHERE rn > 24 GROUP BY 1, 2")
 def equal_weight_tc_grid(spark, d):
     grid = spark.createDataFrame([(0.1, 0.0), (0.1, 25.0), (0.3, 25.0)], "turnover double, bps double")
     return portfolio.equal_weight(panels.returns(spark, d), grid, 24)
@@ -156,10 +156,10 @@ def sector_combos(spark, d):
     return j.groupBy(F.concat_ws(",", "a", "b", "c").alias("combo")).agg((F.avg("r") * 12).alias("mean"), (F.stddev_samp("r") * F.sqrt(F.lit(12.0))).alias("vol"))
 
 
-@query("""SELECT series, count(*) AS n, R(product(1 + ret) - 1) AS total, R(product(1 + ret) ** (12.0 / count(*)) - 1) AS annual, R(avg(ret) / stddev_samp(ret) * sqrt(12)) AS sharpe, R(avg(ret) / stddev_samp(ret) FILTER (ret < 0) * sqrt(12)) AS sortino, R(max((pk - eq) / pk)) AS max_dd, R(avg(ret) * 12 / max((pk - eq) / pk)) AS calmar_arith, R(abs(quantile_cont(ret, 0.95) / quantile_cont(ret, 0.05))) AS tail FROM (
+@query("""SELECT series, count(*) AS n, R(product(1 + ret) - 1) AS total, R(product(1 + ret) ** (12.0 / count(*)) - 1) AS annual, R(avg(ret) / stddev_samp(ret) * sqrt(12)) AS sharpe, R(avg(ret) / stddev_samp(ret) FILTER (ret < 0) * sqrt(12)) AS sortino, R(max((pk - eq) / pk)) AS max_dd, R(avg(ret) * 12 / max((pk - eq) / pk)) AS calmar_arith, R((product(1 + ret) ** (12.0 / count(*)) - 1) / max((pk - eq) / pk)) AS calmar_geo, R(skewness(ret)) AS skew, R(kurtosis(ret)) AS kurt, R(abs(quantile_cont(ret, 0.95) / quantile_cont(ret, 0.05))) AS tail FROM (
 SELECT *, max(eq) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS pk FROM (SELECT series, ts, ret, product(1 + ret) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS eq FROM ret WHERE ret IS NOT NULL)) GROUP BY 1""", 4)
 def metrics_full(spark, d):
-    return metrics.risk(panels.returns(spark, d), ["series"]).select("series", "n", "total", "annual", "sharpe", "sortino", "max_dd", "calmar_arith", "tail")
+    return metrics.risk(panels.returns(spark, d), ["series"]).select("series", "n", "total", "annual", "sharpe", "sortino", "max_dd", "calmar_arith", "calmar_geo", "skew", "kurt", "tail")
 
 
 @query("SELECT series, count(*) AS n, R(1 - sum((actual - pred) ** 2) / sum((actual - bench) ** 2)) AS r2, R(avg((actual - pred) ** 2)) AS mse, R(avg(abs(actual - pred))) AS mae, R(avg(CAST(sign(actual) = sign(pred) AS DOUBLE))) AS hit, count(*) FILTER (pred > 0) AS n_pos, R(coalesce(avg(CAST(sign(actual) = sign(pred) AS DOUBLE)) FILTER (pred > 0), 0)) AS pos_hit, R(coalesce(avg(CAST(sign(actual) = sign(pred) AS DOUBLE)) FILTER (pred < 0), 0)) AS neg_hit FROM sig WHERE bench IS NOT NULL GROUP BY 1")
@@ -174,12 +174,12 @@ def dm_stat(spark, d):
 
 @query("SELECT series, count(f) AS n, R(avg(f) / (stddev_pop(f) / sqrt(count(f)))) AS cw FROM (SELECT series, (actual - m) ** 2 - (actual - pred) ** 2 + (m - pred) ** 2 AS f FROM (SELECT *, avg(actual) OVER (PARTITION BY series) AS m FROM sig)) GROUP BY 1", 4)
 def cw_stat(spark, d):
-    return metrics.clark_west(panels.signals(spark, d), ["series"])
+    return metrics.clark_west(panels.signals(spark, d), ["series"]).select("series", "n", "cw")
 
 
 @query("SELECT series, count(x) AS n, R(avg(x) / (stddev_samp(x) / sqrt(count(x)))) AS t FROM (SELECT series, sign(pred) * actual AS x FROM sig) GROUP BY 1", 4)
 def t_test_pnl(spark, d):
-    return metrics.t_test(panels.signals(spark, d).withColumn("x", F.signum("pred") * F.col("actual")), ["series"], "x")
+    return metrics.t_test(panels.signals(spark, d).withColumn("x", F.signum("pred") * F.col("actual")), ["series"], "x").select("series", "n", "t")
 
 
 @query(f"SELECT series, ts, R(avg(ret) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS bench FROM ret")

@@ -1,9 +1,10 @@
 import datetime
+import math
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestar.operators import metrics, portfolio, regimes, walkforward
+from lodestar.operators import metrics, portfolio, regimes, screening, walkforward
 from lodestar.plans import models, panels
 from lodestar.streaming import windowed
 
@@ -126,3 +127,57 @@ def test_stream_equals_batch(spark, tmp_path):
     got = rows(spark.table("w"))
     q.stop()
     assert got and got == rows(windowed(src))
+
+
+def test_distribution_functions(spark):
+    """Against numerical integration and known quantiles."""
+    x = np.linspace(-60, 3, 2_000_001)
+    for df in (1, 2, 3, 4, 7, 30, 251):
+        density = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + x * x / df) ** (-(df + 1) / 2)
+        for t in (-2.5, -0.3, 0.0, 1.0, 2.9):
+            got = spark.createDataFrame([(t, df)], "t double, df long").select(metrics.student_cdf("t", "df").alias("p")).first().p
+            want = np.trapezoid(density[x <= t], x[x <= t]) + (0.5 - math.atan(60) / math.pi if df == 1 else 0)
+            assert abs(got - want) < 2e-4, (t, df)
+    rows = spark.createDataFrame([(z,) for z in (-9.0, -1.959963984540054, 0.0, 1.0, 3.0, 9.0)], "z double").select(metrics.normal_cdf("z").alias("p")).collect()
+    assert np.allclose([r.p for r in rows], [0, 0.025, 0.5, 0.8413447460685429, 0.9986501019683699, 1], atol=1e-12)
+
+
+def test_ratios_without_a_loss(spark):
+    up, flat = _series(spark, [0.01, 0.02, 0.01], "up"), _series(spark, [0.0, 0.0, 0.0], "flat")
+    got = {r.series: r for r in metrics.risk(up.union(flat), ["series"]).collect()}
+    assert got["up"].sortino == got["up"].calmar_geo == got["up"].calmar_arith == float("inf")
+    assert got["flat"].sortino == got["flat"].calmar_geo == got["flat"].sharpe == 0
+
+
+def test_screen_is_listwise(spark):
+    """A date counts for a group only if all of its series have a value; too few common dates give no t."""
+    rng, day, rows = np.random.default_rng(6), datetime.date(2000, 1, 1), []
+    x, y = rng.normal(size=(40, 2)), rng.normal(size=40)
+    for k in range(40):
+        for j, s in enumerate("ab"):
+            rows.append(("g", s, day + datetime.timedelta(days=k), None if (k + j) % 5 == 0 else float(x[k, j]), float(y[k])))
+        rows.append(("h", "c", day + datetime.timedelta(days=k), 1.0 * k if k < 9 else None, float(y[k])))
+    got = {r.series: r for r in screening.screened(spark.createDataFrame(rows, "grp string, series string, ts date, value double, y double")).collect()}
+    ok = [k for k in range(40) if k % 5 and (k + 1) % 5]
+    for j, s in enumerate("ab"):
+        r = np.corrcoef(x[ok, j], y[ok])[0, 1]
+        assert got[s].n == len(ok) and abs(got[s].t - r * math.sqrt((len(ok) - 2) / (1 - r * r))) < 1e-9
+    assert got["c"].t == 0 and got["c"].kept
+
+
+def test_costs_of_the_sized_portfolio(spark):
+    rows = [("s", datetime.date(2000, 1, 1) + datetime.timedelta(days=k), p, r) for k, (p, r) in enumerate([(0.1, 0.02), (-0.2, 0.01), (0.2, -0.5), (0.2, 0.1), (0.01, 0.1)])]
+    df = spark.createDataFrame(rows, "series string, ts date, pred double, ret double")
+    top, equity, peak, want, side, before = 0.0, 1.0, 1.0, [], [], None
+    for _, _, p, r in rows:
+        top = max(top, abs(p))
+        pos = abs(p) / top * (1.5 if p > 0 else -0.5)
+        if pos > 1:
+            pos = 1 + (pos - 1) * (1 - 0.5 * min((peak - equity) / peak / 0.2, 1))
+        equity *= 1 + pos * r
+        peak = max(peak, equity)
+        now = 0 if abs(p) < 0.02 else math.copysign(1, p)
+        want.append(pos * r - max(0, abs(pos) - 1) * 0.06 / 12 - abs(now - (now if before is None else before)) / 2 * 25 / 1e4)
+        before = now
+    got = [r.net for r in portfolio.costed(df, 25.0, limit=0.2).orderBy("ts").collect()]
+    assert np.allclose(got, want)
