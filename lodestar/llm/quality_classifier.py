@@ -24,6 +24,8 @@ ROWS, DIM, SLICES = 1 << 13, 64, 32
 NONZERO, WINDOW = 2, 2
 #: Labelled rows that the network is fitted on, at most: those with the smallest hash of their key.
 SAMPLE = 8000
+#: Bytes of text whose word vectors a Python worker holds at once: some 50 MB of them.
+POOLED = 1 << 19
 _U = np.uint64
 
 
@@ -161,7 +163,7 @@ def fitted(docs: DataFrame, labels: DataFrame, train, label: str = "quality", mo
     sample = stored(labelled(labels, label, train, most), "quality-sample")
 
     def features(batches):
-        for rows, text in slices(batches):
+        for rows, text in slices(batches, most=POOLED):
             x = pooled(text, table)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("y"), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "y", "x"])
 
@@ -178,7 +180,7 @@ def scored(docs: DataFrame, table: np.ndarray, network: Network) -> DataFrame:
 
     def run(batches):
         table, network = shared.value
-        for rows, text in slices(batches):
+        for rows, text in slices(batches, most=POOLED):
             yield pa.RecordBatch.from_arrays([pc.cast(rows.column("doc_id"), pa.int64()), pa.array(network.scores(pooled(text, table)))], names=["doc_id", "score"])
 
     return text_rows(docs).mapInArrow(run, "doc_id long, score double")
@@ -190,7 +192,7 @@ def kept(docs: DataFrame, table: np.ndarray, network: Network, least: float = 0.
 
     def run(batches):
         table, network = shared.value
-        for rows, text in slices(batches):
+        for rows, text in slices(batches, most=POOLED):
             yield rows.filter(pa.array(network.scores(pooled(text, table)) >= least))
 
     return docs.mapInArrow(run, docs.schema)

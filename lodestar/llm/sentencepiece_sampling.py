@@ -29,7 +29,7 @@ MARK = "▁"
 #: The sums of longer units than this are kept with an exponent of their own.
 LONGEST = 48
 #: Edges of remembered lattices in a Python worker.
-MEMORY = 4_000_000
+MEMORY = 2_000_000
 #: Characters whose lattices are made at once.
 AT_ONCE = 1 << 17
 _U = np.uint64
