@@ -69,15 +69,16 @@ class Bands:
     def shape(self, k: int) -> tuple[int, int, int, int]:
         """Of band k: words P, words s that are left out, and words of the small and of the sharp sketch.
 
-        The small sketch has 4 bits for each member that may differ, up to
-        256 words: unlike sets differ there in about twice as many bits as the
-        bound allows.  The sharp one has 16 and tells sets apart that differ in
-        a tenth more members than linked ones may; folded, it is the small one.
+        The small sketch has 8 bits for each member that may differ, and 4 in
+        large sets, up to 256 words: unlike sets differ there in a good part
+        more bits than the bound allows.  The sharp one has 16 and tells sets
+        apart that differ in a tenth more members than linked ones may; folded,
+        it is the small one.
         """
         d = self.most_apart(2 * (self.low(k + 1) - 1))
         s = math.ceil(0.3 * (d + 1)) + 1
-        small = min(256, max(2, math.ceil(d / 16)))
-        return d + 1 + s, s, small, small * max(4, math.ceil(d / 4 / small))
+        small = max(4, math.ceil(d / 8)) if d <= 512 else max(64, min(256, math.ceil(d / 16)))
+        return d + 1 + s, s, small, small * max(2, math.ceil(d / 4 / small))
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
@@ -230,20 +231,19 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _met(made: DataFrame, parts: DataFrame | None, percent: int) -> DataFrame:
-    """(a, b, band) of classes that meet the most popular member of a bucket, and the most popular one of another component than that."""
-    few = made.select("cid", "band", F.explode("few").alias("key"))
-    sizes = few.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    few = stored(few.join(sizes, "key"), "jaccard-few")
-    popular = few.groupBy("cid", "band").agg(F.sum("size").alias("p"))
+def _met(keys: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(a, b, band) of classes that meet the most popular member of a bucket (key, cid, band), and the most popular one of another component than that."""
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    keys = stored(keys.join(sizes, "key"), "jaccard-few")
+    popular = keys.groupBy("cid", "band").agg(F.sum("size").alias("p"))
     popular = _with_component(popular, parts) if parts is not None else popular.withColumn("component", F.col("cid"))
-    few = few.join(popular, ["cid", "band"])
-    top = few.groupBy("key").agg(F.max(F.struct("p", "component", "cid")).alias("x"))
-    few = few.join(top, "key").where("component != x.component")
-    pairs = few.select(*_ordered("cid", "x.cid"), "band")
+    keys = keys.join(popular, ["cid", "band"])
+    top = keys.groupBy("key").agg(F.max(F.struct("p", "component", "cid")).alias("x"))
+    keys = keys.join(top, "key").where("component != x.component")
+    pairs = keys.select(*_ordered("cid", "x.cid"), "band")
     if parts is not None:
-        second = few.groupBy("key").agg(F.max(F.struct("p", "component", "cid")).alias("y"))
-        pairs = pairs.union(few.join(second, "key").where("component != y.component").select(*_ordered("cid", "y.cid"), "band"))
+        second = keys.groupBy("key").agg(F.max(F.struct("p", "component", "cid")).alias("y"))
+        pairs = pairs.union(keys.join(second, "key").where("component != y.component").select(*_ordered("cid", "y.cid"), "band"))
     return pairs.distinct()
 
 
@@ -271,10 +271,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
     made = stored(sketches(texts, n, percent, ratio), "jaccard-sketches")
     released(spark)
 
-    # links by a few words: of the classes that each one meets, the nearest
     links = parts = tried = None
-    for _ in range(2):
-        near = _sharp(_met(made, parts, percent), made, percent).groupBy("a", "b").agg(F.min("far").alias("far"))
+
+    def linked(pairs: DataFrame) -> None:
+        """Adds the links among untried pairs, of each class with the nearest that the sharp sketch lets pass."""
+        nonlocal links, parts, tried
+        near = _sharp(pairs, made, percent).groupBy("a", "b").agg(F.min("far").alias("far"))
         near = stored(near if tried is None else near.join(tried, ["a", "b"], "left_anti"), "jaccard-near")
         best = lambda of, to: near.groupBy(of).agg(F.min_by(to, F.struct("far", to)).alias(to)).select("a", "b")
         first = stored(best("a", "b").union(best("b", "a")).distinct(), "jaccard-first")
@@ -284,20 +286,27 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
         parts = stored(components(links), "jaccard-parts")
         released(spark, near)
 
-    # what meets across components in any word
+    # links by a few words
+    few = made.select("cid", "band", F.explode("few").alias("key"))
+    linked(_met(few, None))
+    linked(_met(few, parts))
+
+    # what meets across components in any word: again with the most popular members first, then all that still does
     keys = _with_component(made.select("cid", "band", "keys"), parts).select("cid", "band", "component", F.explode("keys").alias("key"))
     mixed_keys = keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     mixed_keys = stored(mixed_keys, "jaccard-mixed")
     released(spark)
-    open_ = stored(keys.join(mixed_keys, "key").select("key", "cid", "band", "component"), "jaccard-open")
+    open_ = stored(keys.join(mixed_keys, "key").select("key", "cid", "band"), "jaccard-open")
     released(spark, mixed_keys)
+    linked(_met(open_, parts))
+    open_ = _with_component(open_, parts)
     small = made.select("cid", "band", "n", "small").join(open_.select("cid", "band").distinct(), ["cid", "band"], "left_semi")
     open_ = open_.join(small, ["cid", "band"])
     x, y = open_.alias("x"), open_.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _near(percent, "x", "y", "small"))
-    rest = stored(rest.select(*_ordered("x.cid", "y.cid"), "x.band").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-rest")
+    rest = stored(rest.select(*_ordered("x.cid", "y.cid"), "x.band").distinct(), "jaccard-rest")
     released(spark)
-    rest = stored(_sharp(rest, made, percent).select("a", "b").distinct(), "jaccard-sharp")
+    rest = stored(_sharp(rest, made, percent).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-sharp")
     released(spark, made)
     links = links.union(verified(docs, rest, classes, n, percent))
     parts = stored(components(links), "jaccard-parts")
