@@ -182,6 +182,38 @@ def factors(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return m, v.T
 
 
+def panel_factors(df: DataFrame, k: int = 3, most: int = 2000) -> DataFrame:
+    """(ts, factor, score) of df (series, ts, ret): scores of the first k principal components at dates where every series has a value.
+
+    Cross products are summed by Spark; the driver decomposes their matrix,
+    one row a series, of which there may be ``most``.  A series counts once a
+    date.  The sign of a component is that of its largest loading.  Fewer than
+    two such dates have no components.
+    """
+    df = df.where("ret is not null").groupBy("series", "ts").agg(F.first("ret").alias("ret"))
+    names = sorted(r[0] for r in df.select("series").distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"components of over {most} series")
+    at = {s: i for i, s in enumerate(names)}
+    whole = df.groupBy("ts").agg(F.count("*").alias("c")).where(F.col("c") == len(names)).select("ts")
+    df = df.join(whole, "ts", "left_semi")
+    a, b = df.select("ts", F.col("series").alias("a"), F.col("ret").alias("x")), df.select("ts", F.col("series").alias("b"), F.col("ret").alias("z"))
+    cells = a.join(b, "ts").where("a <= b").groupBy("a", "b").agg(F.covar_samp("x", "z").alias("v"), F.avg("x").alias("m")).collect()
+    cov, mean = np.zeros((len(names), len(names))), np.zeros(len(names))
+    for r in cells:
+        i, j = at[r["a"]], at[r["b"]]
+        cov[i, j] = cov[j, i] = np.nan if r["v"] is None else r["v"]
+        if i == j:
+            mean[i] = r["m"]
+    if not cells or np.isnan(cov).any():
+        return df.select("ts", F.lit(0).alias("factor"), F.lit(0.0).alias("score")).limit(0)
+    v = np.linalg.eigh(cov)[1][:, ::-1][:, :k]
+    v = v * np.sign(v[np.abs(v).argmax(0), np.arange(v.shape[1])])
+    rows = [(s, j, float(v[i, j]), float(mean[i])) for s, i in at.items() for j in range(v.shape[1])]
+    loads = df.sparkSession.createDataFrame(rows, "series string, factor int, load double, mean double")
+    return df.join(F.broadcast(loads), "series").groupBy("ts", "factor").agg(F.sum((F.col("ret") - F.col("mean")) * F.col("load")).alias("score"))
+
+
 def factor_model(final: Fit = ols, k: int = 3, least: float = 0.75) -> Fit:
     """Screening by |t|, scaling by predictive slope, principal components, and a final estimator on them."""
 
@@ -214,26 +246,26 @@ MODELS: dict[str, Fit] = {
 }
 
 
-def walk_forward(wide: DataFrame, models: list[str], window: int, step: int = 1, rolling: bool = False, embargo: int = 0, floor_zero: bool = False) -> DataFrame:
+def walk_forward(wide: DataFrame, models: list[str], window: int, step: int = 1, rolling: bool = False, embargo: int = 0, floor_zero: bool = False, parts: int = 8) -> DataFrame:
     """(model, ts, pred, actual, bench, n_train): each model at each fold fitted on the rows before it.
 
     wide has ts, y and feature columns; rows with a null are left out.
     ``rolling`` keeps the last ``window`` rows only; ``embargo`` leaves out
     that many rows before the test row, for targets that overlap; the bench
     is the mean of the training rows; a model that can't be fitted predicts
-    it.  ``floor_zero`` raises negative predictions to 0.  The panel of one
-    backtest is joined whole with each model's folds, so it must fit a task.
+    it.  ``floor_zero`` raises negative predictions to 0.  The folds of a model
+    are dealt to ``parts`` groups, each with all rows of the panel: nothing is
+    broadcast, but the panel of one backtest must fit a task.
     """
     columns = [c for c in wide.columns if c not in ("ts", "y")]
-    spark = wide.sparkSession
-    names = spark.createDataFrame([(m, k) for m in models for k in range(8)], "model string, part int")
+    groups = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("part")) for m in models for k in range(parts)])).alias("g")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         model, part = key
         pdf = pdf.sort_values("ts", kind="stable")
         x, y, out = pdf[columns].to_numpy(float), pdf["y"].to_numpy(float), []
         for fold, t in enumerate(range(window, len(pdf), step)):
-            if fold % 8 != part:
+            if fold % parts != part:
                 continue
             end = max(0, t - embargo)
             start = max(0, end - window) if rolling else 0
@@ -245,7 +277,7 @@ def walk_forward(wide: DataFrame, models: list[str], window: int, step: int = 1,
             out.append((model, pdf["ts"].iloc[t], max(0.0, pred) if floor_zero else pred, float(y[t]), bench, end - start))
         return pd.DataFrame(out, columns=["model", "ts", "pred", "actual", "bench", "n_train"])
 
-    rows = names.crossJoin(F.broadcast(wide.select("ts", "y", *columns).dropna()))  # models and parts are parameters
+    rows = wide.select("ts", "y", *columns).dropna().select("*", groups).select("ts", "y", *columns, "g.*")
     return rows.groupBy("model", "part").applyInPandas(run, "model string, ts date, pred double, actual double, bench double, n_train int")
 
 

@@ -44,17 +44,8 @@ def model_comparison(spark, d):
 @query()
 def pca_factors(spark, d):
     """Scores of the first three components of the returns."""
-    r = panels.returns(spark, d).where("ret is not null").select("series", "ts", "ret")
-
-    def run(pdf):
-        wide = pdf.pivot(index="ts", columns="series", values="ret").dropna()
-        m, v = walkforward.factors(wide.to_numpy(), 3)
-        out = wide.iloc[:, :0].reset_index()
-        for k in range(v.shape[1]):
-            out[f"f{k}"] = (wide.to_numpy() - m) @ v[:, k]
-        return out[["ts", "f0", "f1", "f2"]]
-
-    return r.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, "ts date, f0 double, f1 double, f2 double")
+    scores = walkforward.panel_factors(panels.returns(spark, d), 3)
+    return scores.groupBy("ts").pivot("factor", [0, 1, 2]).agg(F.first("score")).toDF("ts", "f0", "f1", "f2")
 
 
 @query()

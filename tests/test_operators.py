@@ -4,7 +4,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestar.operators import metrics, portfolio, regimes, screening, walkforward
+from lodestar.operators import metrics, outlook, portfolio, regimes, screening, walkforward
 from lodestar.plans import models, panels
 from lodestar.streaming import windowed
 
@@ -181,3 +181,55 @@ def test_costs_of_the_sized_portfolio(spark):
         before = now
     got = [r.net for r in portfolio.costed(df, 25.0, limit=0.2).orderBy("ts").collect()]
     assert np.allclose(got, want)
+
+
+def _pairs(spark, x, y, name="s"):
+    day = datetime.date(2000, 1, 31)
+    return spark.createDataFrame([(name, day + datetime.timedelta(days=31 * k), a, b) for k, (a, b) in enumerate(zip(x, y))], "series string, ts date, value double, y double")
+
+
+def test_line_forecasts_meet_least_squares(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=40).tolist(), rng.normal(size=40).tolist()
+    x[5], y[7], y[39] = None, None, None
+    df = _pairs(spark, x, y)
+    ok = [k for k in range(40) if x[k] is not None and y[k] is not None]
+    for window, embargo in ((None, 0), (15, 2)):
+        want = []
+        for k in ok:
+            start = 0 if window is None else max(0, k - window - embargo)
+            past = [i for i in ok if start <= i < k - embargo]
+            if len(past) >= 10:
+                b, a = np.polyfit([x[i] for i in past], [y[i] for i in past], 1)
+                want.append((a + b * x[k], np.mean([y[i] for i in past]), len(past)))
+        got = outlook.line_forecasts(df, 10, window, embargo).orderBy("ts").select("pred", "bench", "n_train").collect()
+        np.testing.assert_allclose(np.array(got, float), np.array(want))
+    b, a = np.polyfit([x[i] for i in ok], [y[i] for i in ok], 1)
+    r = outlook.predict_next(df).first()
+    assert r["n"] == len(ok) and abs(r["pred"] - (a + b * x[39])) < 1e-12
+    assert outlook.line_forecasts(df.limit(0)).count() == 0 and outlook.predict_next(df.limit(0)).count() == 0
+    assert outlook.predict_next(_pairs(spark, [1.0, 1.0, 1.0], [2.0, 4.0, None])).first()["pred"] == 3.0
+
+
+def test_splits_states_and_months(spark):
+    x = [float(k) for k in range(70)]
+    got = {(r["fold"], r["part"]): (r["n"], r["mean"]) for r in outlook.time_splits(_pairs(spark, x, x), 3, least=40).collect()}
+    assert got == {(1, "train"): (46, 22.5), (1, "test"): (12, 51.5), (2, "train"): (58, 28.5), (2, "test"): (12, 63.5)}
+    rows = [("s", "a", 0.1), ("s", "b", 0.0), ("s", "c", -0.1), ("t", "a", 0.1)]
+    got = {(r["series"], r["state"]): r["name"] for r in outlook.state_names(spark.createDataFrame(rows, "series string, state string, ret double")).collect()}
+    assert got == {("s", "a"): "bull", ("s", "b"): "consolidation", ("s", "c"): "bear", ("t", "a"): "bull"}
+    months = spark.createDataFrame([(1871.01,), (1871.1,), (1999.12,), (2000.0,), (2000.13,), (None,)], "x double").select(outlook.decimal_month(F.col("x")).alias("d"))
+    assert [str(r["d"]) for r in months.collect()] == ["1871-01-01", "1871-10-01", "1999-12-01", "2000-01-01", "2000-12-01", "None"]
+
+
+def test_panel_factors_meet_the_decomposition(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(50, 4)) @ rng.normal(size=(4, 4))
+    day = datetime.date(2000, 1, 31)
+    rows = [(f"s{j}", day + datetime.timedelta(days=31 * k), float(x[k, j])) for k in range(50) for j in range(4) if (k, j) != (20, 2)]
+    df = spark.createDataFrame(rows, "series string, ts date, ret double")
+    got = walkforward.panel_factors(df, 3).groupBy("ts").pivot("factor", [0, 1, 2]).agg(F.first("score")).orderBy("ts").toPandas()
+    kept = np.delete(x, 20, 0)
+    m, v = walkforward.factors(kept, 3)
+    np.testing.assert_allclose(got[["0", "1", "2"]].to_numpy(float), (kept - m) @ v, atol=1e-9)
+    assert walkforward.panel_factors(df.limit(0)).count() == 0
