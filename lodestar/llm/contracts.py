@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sentencepiece_sampling, sharding, tokens, toxicity, url_filter
+from . import alignment, decontamination, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sentencepiece_sampling, sharding, tokens, toxicity, url_filter
 from .common import crc_mod, table
 
 #: The rules of op10, as (host, path, verdict).
@@ -86,13 +86,20 @@ def op10_url_filter(spark, sf_dir):
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_token_alignment(spark, sf_dir):
+    """Figures on the alignment of two vocabularies' tokens in all documents."""
+    a, b = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    found = alignment.aligned(table(spark, sf_dir, "documents"), a, b)
+    return alignment.scored(found, alignment.pair_counts(found, 32_000))
+
+
 def op13_best_fit_packing(spark, sf_dir):
     """Places of all documents' pieces in sequences of 2048 tokens."""
     found = packing.pieces(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), most=2048)
     return packing.packed(found, most=2048, ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_records, op3_decontamination, op4_ngram_jaccard_join, op5_quality_rules, op6_sharding, op7_quality_classifier, op8_toxicity, op9_sentencepiece, op10_url_filter, op13_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_records, op3_decontamination, op4_ngram_jaccard_join, op5_quality_rules, op6_sharding, op7_quality_classifier, op8_toxicity, op9_sentencepiece, op10_url_filter, op12_token_alignment, op13_best_fit_packing)}
 
 
 def _op5_sql() -> str:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import contracts, packing
+from lodestar.llm import alignment, contracts, packing
 
 DATA = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{k % 977}x{k}" for k in range(9000))
@@ -106,3 +106,69 @@ def test_parts_are_forgotten(monkeypatch):
         ids, sizes = packing.ids_of(path, pa.array(texts, pa.large_string()))
         each = [tok.encode(t, add_special_tokens=False).ids for t in texts]
         assert ids.tolist() == [i for e in each for i in e] and sizes.tolist() == list(map(len, each))
+
+
+def _tokens(a, b, text):
+    """(ids of A, ids of B, byte ends of A, byte ends of B), or None where a text has no tokens."""
+    if not text:
+        return None
+    stands, names = alignment.byte_characters(), {i: s for s, i in a.get_vocab().items()}
+    ids = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
+    spelled = [bytes(stands[c] for c in names[i]) for i in ids[0]], [bytes([int(s[3:5], 16)]) if b.is_byte(i) else s.replace("\u2581", " ").encode() for i, s in ((i, b.id_to_piece(i)) for i in ids[1])]
+    if any(b"".join(x) != (" " + text).encode() for x in spelled):
+        return None
+    return (*ids, *(np.cumsum(list(map(len, x))).tolist() for x in spelled))
+
+
+def test_alignment(spark, odd, docs):
+    import hashlib
+
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    paths = contracts.vocabulary("byte_bpe_50k.json"), contracts.vocabulary("piece_bpe_32k.model")
+    a, b = Tokenizer.from_file(paths[0]), sentencepiece.SentencePieceProcessor(model_file=paths[1])
+    a.encode_special_tokens = True
+    for df in (odd, docs.where("length(text) < 3000")):
+        rows, links, shown = [], [], {}
+        for r in df.select("doc_id", "text").collect():
+            got = _tokens(a, b, r.text)
+            if got is None:
+                rows.append((r.doc_id, 0, 0, 0, [], ""))
+                continue
+            ia, ib, ea, eb = got
+            cuts = sorted(set(ea) & set(eb))
+            begin = lambda ends, k: ends[k - 1] if k else 0
+            linked, j = [], 0
+            for i in range(len(ia)):
+                while eb[j] <= begin(ea, i):
+                    j += 1
+                k = j
+                while k < len(ib) and begin(eb, k) < ea[i]:
+                    linked.append((ia[i], ib[k]))
+                    k += 1
+            spans, at, i, j = [], 0, 0, 0
+            for c in cuts:
+                to = ea.index(c, i) + 1, eb.index(c, j) + 1
+                spans.append((ia[i : to[0]], ib[j : to[1]], at, c))
+                (i, j), at = to, c
+            text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y, _, _ in spans)
+            rows.append((r.doc_id, len(ia), len(ib), len(cuts), linked, hashlib.sha256(text.encode()).hexdigest()))
+            links += linked
+            shown[r.doc_id] = spans
+        count, top = Counter(links), Counter()
+        for (_, y), n in count.items():
+            top[y] = max(top[y], n)
+        want = Counter((i, na, nb, ng, len(x), sum(count[p] == top[p[1]] for p in x), sum(count[p] for p in x), sha) for i, na, nb, ng, x, sha in rows)
+        found = alignment.aligned(df.repartition(3), *paths)
+        pairs = alignment.pair_counts(found, 32_000)
+        assert {(r.id_a, r.id_b): r.links for r in pairs.collect()} == dict(count)
+        for most in (alignment.BROADCAST, 0):
+            assert Counter(map(tuple, alignment.scored(found, pairs, most).collect())) == want
+        spans = defaultdict(list)
+        for r in alignment.groups(df, *paths).collect():
+            spans[r.doc_id].append((r.group, r.ids_a, r.ids_b, r.first, r.last))
+        for i, got in shown.items():
+            assert [(k, *s) for k, s in enumerate(got)] == sorted(spans[i])[: len(got)] or i == 5
+    none = alignment.aligned(odd.where("false"), *paths)
+    assert alignment.scored(none, alignment.pair_counts(none, 32_000)).count() == 0
