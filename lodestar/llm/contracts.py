@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import alignment, decontamination, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sentencepiece_sampling, sharding, tokens, toxicity, url_filter
-from .common import crc_mod, table
+from . import alignment, conversation_trie, decontamination, jaccard_join, license_scan, packing, quality_classifier, quality_rules, sentencepiece_sampling, sharding, tokens, toxicity, url_filter
+from .common import crc_mod, stored, table
 
 #: The rules of op10, as (host, path, verdict).
 URL_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "block"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -86,6 +86,12 @@ def op10_url_filter(spark, sf_dir):
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_conversation_trie(spark, sf_dir):
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    convs = conversation_trie.rebuilt(table(spark, sf_dir, "conversations"), group=100, most=6)
+    return conversation_trie.trie(stored(convs, "rebuilt"))
+
+
 def op12_token_alignment(spark, sf_dir):
     """Figures on the alignment of two vocabularies' tokens in all documents."""
     a, b = vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
@@ -99,7 +105,7 @@ def op13_best_fit_packing(spark, sf_dir):
     return packing.packed(found, most=2048, ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_records, op3_decontamination, op4_ngram_jaccard_join, op5_quality_rules, op6_sharding, op7_quality_classifier, op8_toxicity, op9_sentencepiece, op10_url_filter, op12_token_alignment, op13_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_records, op3_decontamination, op4_ngram_jaccard_join, op5_quality_rules, op6_sharding, op7_quality_classifier, op8_toxicity, op9_sentencepiece, op10_url_filter, op11_conversation_trie, op12_token_alignment, op13_best_fit_packing)}
 
 
 def _op5_sql() -> str:
@@ -124,5 +130,21 @@ def _op10_sql() -> str:
     SELECT page_id, host, path, rule, CASE WHEN v IS NOT NULL THEN v WHEN regexp_matches(regexp_replace(host, '^(www|m|blog)[.]', ''), '^({'|'.join(SPAM_HOSTS)})[.]example[.](com|net|org)$') THEN 'block' ELSE 'allow' END AS verdict FROM m"""
 
 
+def _op11_sql() -> str:
+    """CRC-32 by its table of 256 values; ids of turns as in the query; each node added to all above it."""
+    step = "list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)"
+    return f"""WITH crc AS (SELECT list({step} ORDER BY i) AS t FROM range(256) r(i)),
+    turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv_id, list({{'i': md5(length(role) || ':' || role || text), 'n': length(text)}} ORDER BY turn NULLS FIRST, role, text) AS o FROM turns GROUP BY 1),
+    h AS (SELECT conv_id, o, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h FROM own, crc),
+    full_ AS (SELECT h.conv_id, list_concat(coalesce(list_slice(r.o, 1, h), []), list_slice(h.o, h + 1, len(h.o))) AS s FROM h LEFT JOIN own r ON r.conv_id = h.conv_id - h.conv_id % 100),
+    nodes AS (SELECT list_slice(s, 1, d) AS p, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = d), '') AS ends FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM full_) GROUP BY 1, 2),
+    kids AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1),
+    one AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids ON kids.p = nodes.p),
+    sums AS (SELECT list_slice(p, 1, e) AS p, sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * CASE WHEN d = 0 THEN 0 ELSE p[d].n END) AS saved FROM (SELECT *, unnest(range(d + 1)) AS e FROM one) GROUP BY 1)
+    SELECT one.conv_id, one.d AS depth, up.conv_id AS parent_conv_id, one.n AS n_convs, one.k AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(one.ends) AS ends_sha256
+    FROM one JOIN sums ON sums.p = one.p LEFT JOIN nodes up ON one.d > 0 AND up.d = one.d - 1 AND up.p = list_slice(one.p, 1, one.d - 1)"""
+
+
 #: Scores, drawn segmentations, files and spans have no SQL; their queries are tested against brute force.
-ORACLES = {"op5_quality_rules": _op5_sql(), "op10_url_filter": _op10_sql()}
+ORACLES = {"op5_quality_rules": _op5_sql(), "op10_url_filter": _op10_sql(), "op11_conversation_trie": _op11_sql()}

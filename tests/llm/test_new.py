@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestar.llm import alignment, contracts, packing
+from lodestar.llm import alignment, contracts, conversation_trie, packing
 
 DATA = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{k % 977}x{k}" for k in range(9000))
@@ -172,3 +172,77 @@ def test_alignment(spark, odd, docs):
             assert [(k, *s) for k, s in enumerate(got)] == sorted(spans[i])[: len(got)] or i == 5
     none = alignment.aligned(odd.where("false"), *paths)
     assert alignment.scored(none, alignment.pair_counts(none, 32_000)).count() == 0
+
+
+def _trie(rows, group=100, most=6):
+    """The nodes of the trie of rebuilt conversations, by brute force."""
+    import hashlib
+
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(ts)] for c, ts in own.items()}
+    full = {}
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % most
+        full[c] = tuple(own.get(c - int(np.fmod(c, group)), [])[:h] + ts[h:])
+    members = defaultdict(list)
+    for c, ts in full.items():
+        for d in range(len(ts) + 1):
+            members[ts[:d]].append(c)
+    out = set()
+    kids, leaves, saved = Counter(), Counter(), Counter()
+    for p in members:
+        if p:
+            kids[p[:-1]] += 1
+    for p, m in members.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += kids[p] == 0
+            saved[p[:d]] += (len(m) - 1) * (len(p[-1][1]) if p else 0)
+    for p, m in members.items():
+        ends = ",".join(map(str, sorted(c for c in m if len(full[c]) == len(p))))
+        out.add((min(m), len(p), min(members[p[:-1]]) if p else None, len(m), kids[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def _made(rng, n, letters, longest):
+    """Conversations with turns of few texts, so that many prefixes are shared."""
+    rows = []
+    for c in rng.choice(900, n, replace=False).tolist():
+        for t in range(int(rng.integers(1, longest + 1))):
+            rows.append((c, t, ["user", "bot"][t % 2], "é" * int(rng.integers(0, letters))))
+    return rows
+
+
+def test_runs_of_the_trie_add_up(spark):
+    """Few turns and many partitions: all nodes near the root are on borders."""
+    rng, kind = np.random.default_rng(5), "conv_id long, turn long, role string, text string"
+    for n, letters, longest, parts in ((1, 1, 1, 1), (40, 2, 4, 1), (150, 2, 6, 3), (300, 3, 5, 7), (250, 1, 12, 4)):
+        rows = _made(rng, n, letters, longest)
+        convs = conversation_trie.stored(conversation_trie.rebuilt(spark.createDataFrame(rows, kind)), "rebuilt")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = [tuple(r) for r in conversation_trie.trie(convs).collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+        assert len(got) == len(set(got)) and set(got) == _trie(rows)
+
+
+def test_trie_of_odd_conversations(spark, monkeypatch):
+    monkeypatch.setattr(conversation_trie, "BLOCK", 3)
+    kind = "conv_id long, turn long, role string, text string, path string, root int"
+    rows = [
+        (7, 1, "user", "b"), (7, None, None, "a"), (7, 0, "user", None), (None, 0, "user", "no conversation"), (100, 0, "user", ""), (101, 0, "x", "y"), (203, 5, "user", "own"), (203, 5, "bot", "own"), (203, 5, "bot", "own"),
+        (-5, 0, "user", "below"), (-100, 0, "user", "root below"), *((k, 0, "user", "same") for k in range(300, 340)), *((k, t, "user", f"long {t}") for k in (400, 401, 455) for t in range(300)),
+    ]
+    df = spark.createDataFrame([(*r, "p", 1) for r in rows], kind)
+    got = [tuple(r) for r in conversation_trie.trie(conversation_trie.stored(conversation_trie.rebuilt(df), "rebuilt")).collect()]
+    assert len(got) == len(set(got)) and set(got) == _trie(rows)
+    assert conversation_trie.trie(conversation_trie.rebuilt(df.where("false"))).count() == 0
+
+
+def test_trie_query(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    got = [tuple(r) for r in contracts.op11_conversation_trie(spark, DATA).collect()]
+    assert len(got) == len(set(got)) and set(got) == _trie(rows)
