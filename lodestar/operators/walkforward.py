@@ -7,7 +7,7 @@ universes are many groups, which spread over the cluster.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -77,10 +77,10 @@ def elastic_net_cv(mix: float = 0.5, alphas=np.logspace(0, -5, 50), folds: int =
     return fit
 
 
-def _tree(x, y, depth, leaf, columns, rng):
-    """A regression tree by squared error as nested tuples."""
+def _tree(x, y, depth, leaf, columns, rng, split=2):
+    """A regression tree by squared error as nested tuples; a node of under ``split`` rows is a leaf."""
     best = (0.0, None, None)
-    if depth and len(y) >= 2 * leaf:
+    if depth and len(y) >= max(split, 2 * leaf):
         for j in rng.choice(x.shape[1], max(1, int(columns * x.shape[1])), replace=False):
             order = np.argsort(x[:, j], kind="stable")
             s, v = np.cumsum(y[order]), x[order, j]
@@ -94,7 +94,7 @@ def _tree(x, y, depth, leaf, columns, rng):
     if best[1] is None:
         return float(y.mean())
     low = x[:, best[1]] <= best[2]
-    return best[1], best[2], _tree(x[low], y[low], depth - 1, leaf, columns, rng), _tree(x[~low], y[~low], depth - 1, leaf, columns, rng)
+    return best[1], best[2], _tree(x[low], y[low], depth - 1, leaf, columns, rng, split), _tree(x[~low], y[~low], depth - 1, leaf, columns, rng, split)
 
 
 def _leaf(tree, z):
@@ -103,28 +103,136 @@ def _leaf(tree, z):
     return tree
 
 
-def forest(trees: int = 100, depth: int = 5, leaf: int = 10, seed: int = 42) -> Fit:
+def forest(trees: int = 100, depth: int = 5, leaf: int = 10, split: int = 20, seed: int = 42) -> Fit:
     def fit(x, y):
         rng = np.random.default_rng(seed)
         grown = []
         for _ in range(trees):
             i = rng.integers(0, len(y), len(y))
-            grown.append(_tree(x[i], y[i], depth, leaf, 1.0, rng))
+            grown.append(_tree(x[i], y[i], depth, leaf, 1.0, rng, split))
         return lambda z: np.array([np.mean([_leaf(t, r) for t in grown]) for r in z])
 
     return fit
 
 
-def boosting(trees: int = 100, depth: int = 3, rate: float = 0.05, rows: float = 0.8, columns: float = 0.8, seed: int = 42) -> Fit:
+class Binned:
+    """Columns cut at quantiles into at most ``bins`` bins, for splits by histograms."""
+
+    def __init__(self, x: np.ndarray, bins: int):
+        self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for c in x.T]
+        self.width = bins
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.searchsorted(c, v) for c, v in zip(self.cuts, x.T)]) if x.shape[1] else np.zeros((len(x), 0), int)
+
+
+def shrunk(g, h, alpha: float, lam: float):
+    """The value of a leaf with gradient sum g and second-order sum h: -soft(g, alpha) / (h + lam)."""
+    return -np.sign(g) * np.maximum(np.abs(g) - alpha, 0) / (h + lam)
+
+
+def _worth(g, h, alpha: float, lam: float):
+    """What a leaf takes off the penalised loss, twice."""
+    return np.maximum(np.abs(g) - alpha, 0) ** 2 / np.maximum(h + lam, 1e-12)
+
+
+def _grown(codes, g, rows, depth, least, alpha, lam, columns, width):
+    """A tree by second-order gain over histograms, as nested tuples; the loss is half the squared error, so h counts rows."""
+    total, n = g[rows].sum(), len(rows)
+    best = (1e-12, None, None)
+    if depth and n >= 2 * least:
+        for j in columns:
+            sums, counts = np.bincount(codes[rows, j], g[rows], width), np.bincount(codes[rows, j], minlength=width)
+            left, h = np.cumsum(sums)[:-1], np.cumsum(counts)[:-1]
+            ok = (h >= least) & (n - h >= least)
+            gain = np.where(ok, _worth(left, h, alpha, lam) + _worth(total - left, n - h, alpha, lam) - _worth(total, n, alpha, lam), -np.inf)
+            k = int(gain.argmax())
+            if gain[k] > best[0]:
+                best = (gain[k], j, k)
+    if best[1] is None:
+        return float(shrunk(total, n, alpha, lam))
+    low = codes[rows, best[1]] <= best[2]
+    more = (depth - 1, least, alpha, lam, columns, width)
+    return best[1], best[2], _grown(codes, g, rows[low], *more), _grown(codes, g, rows[~low], *more)
+
+
+def _values(tree, codes: np.ndarray) -> np.ndarray:
+    if not isinstance(tree, tuple):
+        return np.full(len(codes), tree)
+    j, k, left, right = tree
+    low = codes[:, j] <= k
+    out = np.empty(len(codes))
+    out[low], out[~low] = _values(left, codes[low]), _values(right, codes[~low])
+    return out
+
+
+def boosting(trees: int = 100, depth: int = 3, rate: float = 0.05, rows: float = 0.8, columns: float = 0.8, least: float = 5, alpha: float = 0.1, lam: float = 1.0, seed: int = 42, bins: int = 64) -> Fit:
+    """Gradient boosting with second-order gain, least leaf weight, and L1 and L2 shrinkage of leaves."""
+
     def fit(x, y):
-        rng, base, grown = np.random.default_rng(seed), y.mean(), []
+        rng, base, made = np.random.default_rng(seed), y.mean(), []
+        cut = Binned(x, bins)
+        codes = cut.codes(x)
         at = np.full(len(y), base)
         for _ in range(trees):
-            i = rng.choice(len(y), max(2, int(rows * len(y))), replace=False)
-            t = _tree(x[i], (y - at)[i], depth, 1, columns, rng)
-            at = at + rate * np.array([_leaf(t, r) for r in x])
-            grown.append(t)
-        return lambda z: np.array([base + rate * sum(_leaf(t, r) for t in grown) for r in z])
+            some = np.sort(rng.choice(len(y), max(2, int(rows * len(y))), replace=False))
+            use = np.sort(rng.choice(x.shape[1], max(1, int(columns * x.shape[1])), replace=False))
+            t = _grown(codes, at - y, some, depth, least, alpha, lam, use, bins)
+            at = at + rate * _values(t, codes)
+            made.append(t)
+        return lambda z: base + rate * sum(_values(t, cut.codes(z)) for t in made)
+
+    return fit
+
+
+def oblivious(trees: int = 100, depth: int = 3, rate: float = 0.05, lam: float = 3.0, seed: int = 42, bins: int = 64) -> Fit:
+    """Boosted oblivious trees: all nodes of a level share one split.
+
+    The splits are scored on ordered residuals: rows stand in a drawn order, and
+    a row's leaf value comes from the rows before it alone, so that no row is
+    fitted to its own target.
+    """
+
+    def fit(x, y):
+        rng, base, made = np.random.default_rng(seed), y.mean(), []
+        cut = Binned(x, bins)
+        codes = cut.codes(x)
+        order = rng.permutation(len(y))
+        back = np.argsort(order)
+        ordered, plain = np.full(len(y), base), np.full(len(y), base)  # predictions from earlier rows, and from all
+        for _ in range(trees):
+            leaf, splits, g = np.zeros(len(y), int), [], y - ordered
+            for _ in range(depth):
+                best = (-np.inf, 0, 0)
+                for j in range(x.shape[1]):
+                    cells = leaf * bins + codes[:, j]
+                    sums = np.bincount(cells, g, (leaf.max() + 1) * bins).reshape(-1, bins).cumsum(1)
+                    n = np.bincount(cells, minlength=(leaf.max() + 1) * bins).reshape(-1, bins).cumsum(1)
+                    score = (sums**2 / (n + lam) + (sums[:, -1:] - sums) ** 2 / (n[:, -1:] - n + lam)).sum(0)[:-1]
+                    k = int(score.argmax())
+                    if score[k] > best[0] + 1e-12:
+                        best = (score[k], j, k)
+                splits.append(best[1:])
+                leaf = 2 * leaf + (codes[:, best[1]] > best[2])
+            value = np.bincount(leaf, y - plain, 2**depth) / (np.bincount(leaf, minlength=2**depth) + lam)
+            mine, r = leaf[order], (y - ordered)[order]
+            seen = (mine[:, None] == np.arange(2**depth)) * 1.0
+            before, count = np.cumsum(seen * r[:, None], 0) - seen * r[:, None], np.cumsum(seen, 0) - seen
+            pick = np.arange(len(y))
+            ordered = ordered + rate * (before[pick, mine] / (count[pick, mine] + lam))[back]
+            plain = plain + rate * value[leaf]
+            made.append((splits, value))
+
+        def predict(z):
+            c, out = cut.codes(z), np.full(len(z), base)
+            for splits, value in made:
+                leaf = np.zeros(len(z), int)
+                for j, k in splits:
+                    leaf = 2 * leaf + (c[:, j] > k)
+                out = out + rate * value[leaf]
+            return out
+
+        return predict
 
     return fit
 
@@ -241,24 +349,33 @@ MODELS: dict[str, Fit] = {
     "forest": forest(),
     "boosting": boosting(),
     "network": network(),
-    "ensemble": ensemble(ols, boosting(50, 2)),
+    "oblivious": oblivious(),
+    "ensemble": ensemble(ols, boosting(50, 2, least=10)),
     "factor_linear": factor_model(),
 }
 
 
-def walk_forward(wide: DataFrame, models: list[str], window: int, step: int = 1, rolling: bool = False, embargo: int = 0, floor_zero: bool = False, parts: int = 8) -> DataFrame:
-    """(model, ts, pred, actual, bench, n_train): each model at each fold fitted on the rows before it.
+def resolved(models: list[str] | Mapping[str, Fit]) -> dict[str, Fit]:
+    """Estimators by name: those of MODELS that are listed, or any others that are given."""
+    return dict(models) if isinstance(models, Mapping) else {m: MODELS[m] for m in models}
+
+
+def walk_forward(wide: DataFrame, models: list[str] | Mapping[str, Fit], window: int, step: int = 1, rolling: bool = False, embargo: int = 0, floor_zero: bool = False, parts: int = 8) -> DataFrame:
+    """(model, ts, pred, actual, bench, n_train, failed): each model at each fold fitted on the rows before it.
+
+    ``models`` are names, or any functions fit(x, y) that return predict(x).
 
     wide has ts, y and feature columns; rows with a null are left out.
     ``rolling`` keeps the last ``window`` rows only; ``embargo`` leaves out
     that many rows before the test row, for targets that overlap; the bench
-    is the mean of the training rows; a model that can't be fitted predicts
-    it.  ``floor_zero`` raises negative predictions to 0.  The folds of a model
+    is the mean of the training rows; a model that raises predicts it, and
+    has failed set.  ``floor_zero`` raises negative predictions to 0.  The folds of a model
     are dealt to ``parts`` groups, each with all rows of the panel: nothing is
     broadcast, but the panel of one backtest must fit a task.
     """
     columns = [c for c in wide.columns if c not in ("ts", "y")]
-    groups = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("part")) for m in models for k in range(parts)])).alias("g")
+    ready = resolved(models)
+    groups = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("part")) for m in ready for k in range(parts)])).alias("g")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         model, part = key
@@ -271,14 +388,14 @@ def walk_forward(wide: DataFrame, models: list[str], window: int, step: int = 1,
             start = max(0, end - window) if rolling else 0
             bench = float(y[start:end].mean())
             try:
-                pred = float(MODELS[model](x[start:end], y[start:end])(x[t : t + 1])[0])
-            except np.linalg.LinAlgError:
-                pred = bench
-            out.append((model, pdf["ts"].iloc[t], max(0.0, pred) if floor_zero else pred, float(y[t]), bench, end - start))
-        return pd.DataFrame(out, columns=["model", "ts", "pred", "actual", "bench", "n_train"])
+                pred, failed = float(np.ravel(ready[model](x[start:end], y[start:end])(x[t : t + 1]))[0]), False
+            except Exception:
+                pred, failed = bench, True
+            out.append((model, pdf["ts"].iloc[t], max(0.0, pred) if floor_zero else pred, float(y[t]), bench, end - start, failed))
+        return pd.DataFrame(out, columns=["model", "ts", "pred", "actual", "bench", "n_train", "failed"])
 
     rows = wide.select("ts", "y", *columns).dropna().select("*", groups).select("ts", "y", *columns, "g.*")
-    return rows.groupBy("model", "part").applyInPandas(run, "model string, ts date, pred double, actual double, bench double, n_train int")
+    return rows.groupBy("model", "part").applyInPandas(run, "model string, ts date, pred double, actual double, bench double, n_train int, failed boolean")
 
 
 def hidden_states(df: DataFrame, states: int = 3, rounds: int = 200) -> DataFrame:
