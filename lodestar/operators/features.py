@@ -69,11 +69,16 @@ def rsi(df: DataFrame, n: int = 14) -> DataFrame:
     return df.select("series", "ts", F.when((down == 0) & (up > 0), 100.0).when(down > 0, 100 - 100 / (1 + up / down)).alias("rsi"))
 
 
-def sector_features(px: DataFrame) -> DataFrame:
-    """Momentum, strength and cross-section features of daily prices (series, ts, value)."""
+def sector_features(px: DataFrame, index: DataFrame) -> DataFrame:
+    """Momentum, strength and cross-section features of daily prices (series, ts, value) and an index (ts, value).
+
+    rel_12m is a series' total return since its first date less the index's
+    since that date.
+    """
     w, v = by("series"), F.col("value")
-    df = px.select("series", "ts", "value", pct_change(v, w).alias("r1"), *[pct_change(v, w, k).alias(f"r{k}") for k in (20, 21, 63, 126)])
-    df = df.withColumn("rel_12m", v / F.first("value").over(w) - 1)
+    px = px.join(index.select("ts", F.col("value").alias("iv")), "ts", "left")
+    df = px.select("series", "ts", "value", "iv", pct_change(v, w).alias("r1"), *[pct_change(v, w, k).alias(f"r{k}") for k in (20, 21, 63, 126)])
+    df = df.withColumn("rel_12m", F.try_divide(v, F.first("value").over(w)) - F.try_divide(F.col("iv"), F.first("iv").over(w)))
     for n in (20, 50):
         # a margin far above rounding: a price equal to its mean is not above it
         mean = rolling(v, F.avg, w, n)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,37 +74,63 @@ def accuracy(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _normal(z: str) -> str:
+    z = f"({z})"
+    series = f"aggregate(sequence(1, 120), named_struct('t', cast({z} as double), 's', cast({z} as double)), (a, k) -> named_struct('t', a.t * {z} * {z} / (2 * k + 1), 's', a.s + a.t * {z} * {z} / (2 * k + 1)), a -> a.s)"
+    return f"CASE WHEN {z} > 8 THEN 1D WHEN {z} < -8 THEN 0D ELSE 0.5D + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {series} END"
+
+
 def normal_cdf(z: str) -> Column:
     """SQL column to the normal distribution function, by its series; beyond 8 it is 0 or 1 to 15 places."""
-    series = f"aggregate(sequence(1, 120), named_struct('t', cast({z} as double), 's', cast({z} as double)), (a, k) -> named_struct('t', a.t * {z} * {z} / (2 * k + 1), 's', a.s + a.t * {z} * {z} / (2 * k + 1)), a -> a.s)"
-    return F.expr(f"CASE WHEN {z} > 8 THEN 1D WHEN {z} < -8 THEN 0D ELSE 0.5D + exp(-{z} * {z} / 2) / sqrt(2 * pi()) * {series} END")
+    return F.expr(_normal(z))
 
 
-def student_cdf(t: str, df: str) -> Column:
-    """SQL columns to Student's distribution function for whole degrees of freedom, by the finite sums of its two cases; null below 1."""
+def _student(t: str, df: str) -> str:
     t, df = f"({t})", f"({df})"
     angle, n = f"atan({t} / sqrt({df}))", f"cast({df} as int)"
     square = f"({df} / ({df} + {t} * {t}))"  # cos of the angle, squared
     even = f"aggregate(sequence(1, greatest({n} div 2, 1)), named_struct('c', 1D, 's', 0D), (a, k) -> named_struct('c', a.c * (2 * k - 1) / (2 * k) * {square}, 's', a.s + a.c), a -> a.s)"
     odd = f"aggregate(sequence(1, greatest(({n} - 1) div 2, 1)), named_struct('c', 1D, 's', 0D), (a, k) -> named_struct('c', a.c * (2 * k) / (2 * k + 1) * {square}, 's', a.s + a.c), a -> a.s)"
     inner = f"CASE WHEN {n} % 2 = 0 THEN sin({angle}) * {even} WHEN {n} = 1 THEN 2 / pi() * {angle} ELSE 2 / pi() * ({angle} + sin({angle}) * cos({angle}) * {odd}) END"
-    return F.expr(f"CASE WHEN {n} >= 1 THEN 0.5D + ({inner}) / 2 END")
+    return f"CASE WHEN {n} >= 1 THEN 0.5D + ({inner}) / 2 END"
+
+
+def student_cdf(t: str, df: str) -> Column:
+    """SQL columns to Student's distribution function for whole degrees of freedom, by the finite sums of its two cases; null below 1."""
+    return F.expr(_student(t, df))
+
+
+def _bisected(low: str, high: str, less: str, out: str) -> str:
+    """SQL of 64 halvings of (low, high): ``less`` tells of a.m whether the place sought is above it; ``out`` makes the result of a.m."""
+    return f"aggregate(sequence(1, 64), named_struct('lo', cast({low} as double), 'hi', cast({high} as double), 'm', (cast({low} as double) + {high}) / 2), (q, j) -> transform(array(named_struct('up', {less.replace('a.m', 'q.m')}, 'lo', q.lo, 'hi', q.hi, 'm', q.m)), h -> named_struct('lo', if(h.up, h.m, h.lo), 'hi', if(h.up, h.hi, h.m), 'm', (if(h.up, h.m, h.lo) + if(h.up, h.hi, h.m)) / 2))[0], q -> {out.replace('a.m', 'q.m')})"
+
 
+def normal_ppf(p: str) -> Column:
+    """SQL column to the normal quantile of a share; null outside (0, 1). The lower half is sought and mirrored, where the sums lose no places."""
+    tail = f"least({p}, 1 - {p})"
+    found = _bisected("-9D", "0D", f"{_normal('a.m')} < {tail}", "a.m")
+    return F.expr(f"CASE WHEN {p} > 0 AND {p} < 1 THEN CASE WHEN {p} = 0.5D THEN 0D WHEN {p} < 0.5D THEN {found} ELSE -{found} END END")
 
-#: Fixed value: the 0.975 quantile of the normal distribution.
-Z975 = 1.959963984540054
 
+def student_ppf(p: str, df: str) -> Column:
+    """SQL columns to Student's quantile for whole degrees of freedom, sought by angle, so that no bracket is too narrow; null outside (0, 1) or below 1."""
+    tail = f"least({p}, 1 - {p})"
+    found = _bisected("-pi() / 2", "0D", f"{_student(f'tan(a.m) * sqrt({df})', df)} < {tail}", f"tan(a.m) * sqrt({df})")
+    return F.expr(f"CASE WHEN {p} > 0 AND {p} < 1 AND {df} >= 1 THEN CASE WHEN {p} = 0.5D THEN 0D WHEN {p} < 0.5D THEN {found} ELSE -{found} END END")
 
-def r2_interval(df: DataFrame, keys: list[str], z: float = Z975) -> DataFrame:
+
+def r2_interval(df: DataFrame, keys: list[str], level: float = 0.95) -> DataFrame:
     """(n, r2, low, high) of an out-of-sample R2 by its asymptotic error 2 |1 - R2| / sqrt(n); at -10 or less the error is 2 |R2| / sqrt(n), and high is 1 at most."""
-    out = accuracy(df, keys).select(*keys, "n", "r2")
+    out = accuracy(df, keys).select(*keys, "n", "r2").withColumn("z", normal_ppf(f"{(1 + level) / 2!r}D"))
     se = F.when(F.col("r2") >= 1, 0.0).when(F.col("r2") <= -10, 2 * F.abs("r2") / F.sqrt("n")).otherwise(2 * F.abs(1 - F.col("r2")) / F.sqrt("n"))
-    return out.withColumn("low", F.col("r2") - z * se).withColumn("high", F.least(F.col("r2") + z * se, F.lit(1.0)))
+    return out.withColumn("low", F.col("r2") - F.col("z") * se).withColumn("high", F.least(F.col("r2") + F.col("z") * se, F.lit(1.0))).drop("z")
 
 
 def adjusted_r2(df: DataFrame, keys: list[str], predictors: int = 1) -> DataFrame:
-    """(n, r2, r2_adj); null where there are no degrees of freedom."""
-    out = accuracy(df, keys).select(*keys, "n", "r2")
+    """(n, r2, r2_adj) against the mean of actual, not against bench; r2 is 0 where actual is constant, r2_adj null without degrees of freedom."""
+    a, p = F.col("actual"), F.col("pred")
+    r2 = F.coalesce(1 - F.try_divide(F.sum((a - p) * (a - p)), F.var_pop("actual") * F.count("*")), F.lit(0.0))
+    out = df.where("actual is not null and pred is not null").groupBy(*keys).agg(F.count("*").alias("n"), r2.alias("r2"))
     return out.withColumn("r2_adj", 1 - F.try_divide((1 - F.col("r2")) * (F.col("n") - 1), F.col("n") - predictors - 1))
 
 
@@ -169,26 +197,69 @@ def t_test(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.withColumn("p", 2 * (1 - student_cdf("abs(t)", "n - 1")))
 
 
-def bootstrap(df: DataFrame, keys: list[str], value: str, times: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """(n, low, high) of the Sharpe ratio by resampling: draw i of replicate b is a hash of both, joined with the row of that number."""
-    rn = Window.partitionBy(*keys).orderBy("ts")
-    rows = df.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(rn) - 1).select(*keys, "i", F.col(value).alias("v"))
-    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    draws = rows.select(*keys, "n", F.col("i").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("b"))
-    draws = draws.withColumn("i", F.pmod(F.xxhash64("b", "k", F.lit(seed)), F.col("n")).cast("int")).drop("n")
-    sharpe = draws.join(rows, [*keys, "i"]).groupBy(*keys, "b").agg((F.try_divide(F.avg("v"), F.stddev_pop("v")) * math.sqrt(12)).alias("s"), F.count("*").alias("n"))
-    a = (1 - level) / 2
-    return sharpe.groupBy(*keys).agg(F.max("n").alias("n"), F.percentile("s", F.lit(a)).alias("low"), F.percentile("s", F.lit(1 - a)).alias("high"))
+#: Modulus of the draws, so that any engine with 64-bit integers makes the same.
+PRIME = 2147483647
 
 
-def permutation(df: DataFrame, keys: list[str], times: int = 1000, seed: int = 42) -> DataFrame:
-    """(real, p): the share of shuffles of pred whose Sharpe of sign(pred) * actual reaches the real one."""
-    rn = Window.partitionBy(*keys).orderBy("ts")
-    rows = df.where("pred is not null and actual is not null").withColumn("i", F.row_number().over(rn)).select(*keys, "i", "pred", "actual")
-    sharpe = lambda p: F.try_divide(F.avg(F.signum(p) * F.col("actual")), F.stddev_pop(F.signum(p) * F.col("actual")))
-    real = rows.groupBy(*keys).agg(sharpe(F.col("pred")).alias("real"))
-    reps = rows.select(*keys, "i", "pred", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("b"))
-    order = Window.partitionBy(*keys, "b").orderBy(F.xxhash64("b", "i", F.lit(seed)), "i")
-    mixed = reps.select(*keys, "b", "pred", F.row_number().over(order).alias("i")).join(rows.drop("pred"), [*keys, "i"])
-    mixed = mixed.groupBy(*keys, "b").agg(sharpe(F.col("pred")).alias("s")).join(real, keys)
-    return mixed.groupBy(*keys).agg(F.max("real").alias("real"), F.avg((F.col("s") >= F.col("real")).cast("double")).alias("p"))
+def draw(i, b, seed):
+    """A number from 0 to PRIME - 1 for row i of replicate b; the arguments are columns or integer arrays."""
+    x = (i * 48271 + b * 69621 + seed * 16807) % PRIME
+    for add in (i, b, seed):
+        x = (x * x + add) % PRIME
+    return x
+
+
+#: The shares of a Poisson variable of mean 1 that are at most 0, 1, 2 and so on.
+POISSON = [sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(10)]
+
+
+def bootstrap(df: DataFrame, keys: list[str], value: str, times: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """(n, low, high) of the Sharpe ratio by resampling.
+
+    Row and replicate draw how often the row counts, with mean 1 (Poisson), so
+    no row looks another one up.  A task sums each replicate's weights and
+    moments over its rows; only these sums are shuffled, as many as there are
+    replicates, whatever the rows.  A row is known by its day: rows of one key
+    and day are drawn together.
+    """
+    i = F.unix_date(F.col("ts").cast("date")).cast("long")
+    rows = df.where(F.col(value).isNotNull()).select(*keys, i.alias("i"), F.col(value).alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(times - 1).cast("long"))).alias("b"))
+    u = draw(F.col("i"), F.col("b"), F.lit(seed)) / float(PRIME)
+    w = sum(((F.col("u") > p).cast("int") for p in POISSON), F.lit(0))
+    rows = rows.withColumn("u", u).withColumn("w", w)
+    sums = rows.groupBy(*keys, "b").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("wvv"))
+    mean = F.try_divide("wv", "w")
+    var = F.try_divide("wvv", "w") - mean * mean
+    sums = sums.withColumn("s", F.when(var > 1e-18, mean / F.sqrt(var) * math.sqrt(12)))
+    a = (1 - level) / 2
+    return sums.groupBy(*keys).agg(F.max("n").alias("n"), F.percentile("s", F.lit(a)).alias("low"), F.percentile("s", F.lit(1 - a)).alias("high"))
+
+
+def permutation(df: DataFrame, keys: list[str], times: int = 1000, seed: int = 42, blocks: int = 8) -> DataFrame:
+    """(real, p): the share of shuffles of pred whose Sharpe of sign(pred) * actual reaches the real one.
+
+    A key's rows go to ``blocks`` tasks, each of which makes its share of the
+    shuffles in memory: rows times blocks are moved, not rows times shuffles.
+    Equal to 12 places counts as reached; without spread the ratio is null.
+    """
+    named = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def sharpe(x):
+        x = np.atleast_2d(x)
+        spread = x.std(1)
+        return np.where(spread > 0, x.mean(1) / np.where(spread > 0, spread, 1), np.nan)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable")
+        side, actual, i = np.sign(pdf["pred"].to_numpy(float)), pdf["actual"].to_numpy(float), np.arange(1, len(pdf) + 1)
+        real = sharpe(side * actual)[0]
+        reached = tried = 0
+        for b in range(int(pdf["block"].iloc[0]), times, blocks):
+            s = sharpe(side[np.lexsort((i, draw(i, b, seed)))] * actual)[0]
+            if not np.isnan(s) and not np.isnan(real):
+                tried, reached = tried + 1, reached + int(s >= real - 1e-12)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "real": [None if np.isnan(real) else real], "reached": [reached], "tried": [tried]})
+
+    rows = df.where("pred is not null and actual is not null").select(*keys, "ts", "pred", "actual", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    parts = rows.groupBy(*keys, "block").applyInPandas(run, f"{named}, real double, reached long, tried long")
+    return parts.groupBy(*keys).agg(F.max("real").alias("real"), F.try_divide(F.sum("reached"), F.sum("tried")).alias("p"))

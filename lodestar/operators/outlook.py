@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import by, correlation, expanding, rolling
+from ..functions.quantiles import running_quantiles
 from . import portfolio
 
 
@@ -130,9 +131,9 @@ def proxy_filled(df: DataFrame) -> DataFrame:
     w = by("series")
     proxy = rolling(F.col("ret"), F.stddev_samp, w, 12, 6) * F.sqrt(F.lit(12.0)) * 100
     df = df.withColumn("value", F.coalesce(F.col("value"), proxy))
-    q = lambda p: expanding(F.col("value"), lambda c: F.percentile(c, F.lit(p)), w, 24)
+    df = running_quantiles(df, {"_q3": 0.75, "_q1": 0.25}, least=24)
     flag = lambda c: F.coalesce(c.cast("long"), F.lit(0))
-    return df.withColumn("high", flag(F.col("value") > q(0.75))).withColumn("low", flag(F.col("value") < q(0.25)))
+    return df.withColumn("high", flag(F.col("value") > F.col("_q3"))).withColumn("low", flag(F.col("value") < F.col("_q1"))).drop("_q3", "_q1")
 
 
 def minus_last(df: DataFrame, one: DataFrame) -> DataFrame:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import by, expanding
@@ -46,16 +50,68 @@ def delevered(df: DataFrame, limit: float, max_long: float) -> DataFrame:
     return rows.groupBy("series").applyInPandas(run, rows.schema)
 
 
+def swept(df: DataFrame, combos: Sequence[tuple[float, float]], limit: float, keys: Sequence[str] = ("series",)) -> DataFrame:
+    """(keys, ts, max_long, max_short, pos, ret) of fitted predictions under each (max_long, max_short).
+
+    The predictions are sized once; then one pass in order of time carries the
+    equities of all combinations side by side, and each cuts its own positions
+    over 1 in its own drawdown, as ``delevered`` does for one.  A key's rows must
+    fit a task.  Rows without a prediction or return are left out; a limit of
+    0 cuts nothing.
+    """
+    longs, shorts = (np.array(c, float) for c in zip(*combos))
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts", kind="stable")
+        pred, ret = pdf["pred"].to_numpy(float), pdf["ret"].to_numpy(float)
+        strength = np.abs(pred) / np.maximum(np.maximum.accumulate(np.abs(pred)), 1e-8)
+        pos = np.where(pred[:, None] > 0, strength[:, None] * longs, -strength[:, None] * shorts)
+        equity, peak = np.ones(len(longs)), np.ones(len(longs))
+        if limit > 0:
+            for t in range(len(pos)):
+                cut = 1 + (pos[t] - 1) * (1 - 0.5 * np.minimum((peak - equity) / peak / limit, 1.0))
+                pos[t] = np.where((pos[t] > 1) & (longs > 1), cut, pos[t])
+                equity = equity * (1 + pos[t] * ret[t])
+                peak = np.maximum(peak, equity)
+        n = len(longs)
+        out = {k: np.repeat(pdf[k].to_numpy(), n) for k in (*keys, "ts")}
+        return pd.DataFrame({**out, "max_long": np.tile(longs, len(pos)), "max_short": np.tile(shorts, len(pos)), "pos": pos.ravel(), "ret": np.repeat(ret, n)})
+
+    rows = df.where("pred is not null and ret is not null").select(*keys, "ts", "pred", "ret")
+    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, ts date, max_long double, max_short double, pos double, ret double")
+
+
+def sweep_report(df: DataFrame, rate: float, keys: Sequence[str] = ("series",), year: int = 12) -> DataFrame:
+    """One row for each key and combination of ``swept``: n, total, annual, sharpe and max_drawdown of the returns less the financing."""
+    from .metrics import risk
+
+    net = margin(df, rate).withColumn("net", F.col("pos") * F.col("ret") - F.col("margin"))
+    return risk(net, [*keys, "max_long", "max_short"], "net", year).select(*keys, "max_long", "max_short", "n", "total", "annual", "sharpe", F.col("max_dd").alias("max_drawdown"))
+
+
 def margin(df: DataFrame, rate: float) -> DataFrame:
     """Financing of what exceeds the capital, by month."""
     return df.withColumn("margin", F.greatest(F.lit(0.0), F.abs("pos") - 1) * rate / 12)
 
 
+def past_spread(size: Column) -> Column:
+    """The spread of all sizes before each row; until there are two of them, the first size; 1e-8 at least."""
+    w = by("series")
+    return F.greatest(F.coalesce(expanding(size, F.stddev_samp, w, 2, 1), F.first(size).over(w)), F.lit(1e-8))
+
+
 def conviction(df: DataFrame, least: float) -> DataFrame:
-    """Predictions weaker than ``least`` of the spread of those before become 0."""
-    w, p = by("series"), F.col("pred")
-    s = F.greatest(F.coalesce(expanding(p, F.stddev_samp, w, 2, 1), F.abs(p)), F.lit(1e-8))
-    return df.withColumn("kept_pred", F.when(F.abs(p) / s < least, 0.0).otherwise(p))
+    """Predictions whose size is under ``least`` of the spread of the sizes before become 0."""
+    size = F.abs("pred")
+    return df.withColumn("kept_pred", F.when(size / past_spread(size) < least, 0.0).otherwise(F.col("pred")))
+
+
+def symmetric(df: DataFrame) -> DataFrame:
+    """df with pos and gross: each prediction against the strongest of its whole series, long and short alike, without financing."""
+    top = F.max(F.abs("pred")).over(Window.partitionBy("series"))
+    df = df.withColumn("pos", F.when(top > 0, F.col("pred") / top).otherwise(0.0))
+    return df.withColumn("gross", F.col("pos") * F.col("ret"))
 
 
 def turnover(df: DataFrame, still: float = 0.02) -> DataFrame:

@@ -51,11 +51,12 @@ def vote(df: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def smoothed(df: DataFrame, label: str = "regime", least: int = 3) -> DataFrame:
-    """Runs shorter than ``least`` take the raw label of the next run; a short last run takes that of the one before."""
+    """Runs shorter than ``least`` take the raw label of the next run; a short last run takes that of the one before. A series of fewer rows than that stays as it is."""
     df = islands(df, label, ["series"])
     runs = df.groupBy("series", "run").agg(F.first(label).alias("raw"), F.first("run_len").alias("len"))
     w = Window.partitionBy("series").orderBy("run")
-    runs = runs.withColumn("smooth", F.when(F.col("len") >= least, F.col("raw")).otherwise(F.coalesce(F.lead("raw").over(w), F.lag("raw").over(w), F.col("raw"))))
+    few = F.sum("len").over(Window.partitionBy("series")) < least
+    runs = runs.withColumn("smooth", F.when(few | (F.col("len") >= least), F.col("raw")).otherwise(F.coalesce(F.lead("raw").over(w), F.lag("raw").over(w), F.col("raw"))))
     return df.join(runs.select("series", "run", "smooth"), ["series", "run"])
 
 

@@ -15,17 +15,25 @@ def t_of(r: Column, n: Column) -> Column:
 
 
 def screened(df: DataFrame, least: float = 0.75, rows: int = 10) -> DataFrame:
-    """(grp, series, n, t, kept): of each group the series with |t| over ``least``, else its best one; df has grp, series, ts, value and y. Below ``rows`` common dates all t are 0."""
+    """(grp, series, n, t, kept): of each group the series with |t| over ``least``, else its best one; df has grp, series, ts, value and y.
+
+    A series with fewer values than ``rows`` (or than there are dates, if these are
+    fewer) is out: its n and t are 0, it is not kept, and it does not thin out
+    the others' dates.  Below ``rows`` common dates all t are 0.
+    """
+    span = df.groupBy("grp").agg(F.countDistinct("ts").alias("_d"))
+    used = df.groupBy("grp", "series").agg(F.count("value").alias("_v")).join(span, "grp").select("grp", "series", (F.col("_v") >= F.least(F.lit(rows), F.col("_d"))).alias("_in"))
+    df = df.join(used, ["grp", "series"])
     # listwise: a date counts for a group if all of its series and y have a value
-    every = df.groupBy("grp").agg(F.countDistinct("series").alias("_k"))
-    dates = df.where("value is not null and y is not null").groupBy("grp", "ts").agg(F.countDistinct("series").alias("_c")).join(every, "grp").where("_c = _k").select("grp", "ts")
-    names = df.select("grp", "series").distinct()
-    both = F.col("value").isNotNull() & F.col("y").isNotNull()
-    df = names.join(df.where(both).join(dates, ["grp", "ts"], "left_semi"), ["grp", "series"], "left")
-    out = df.groupBy("grp", "series").agg(F.count("value").alias("n"), correlation(F.col("value"), F.col("y")).alias("r"))
+    every = df.where("_in").groupBy("grp").agg(F.countDistinct("series").alias("_k"))
+    dates = df.where("_in and value is not null and y is not null").groupBy("grp", "ts").agg(F.countDistinct("series").alias("_c")).join(every, "grp").where("_c = _k").select("grp", "ts")
+    names = df.select("grp", "series", "_in").distinct()
+    both = F.col("_in") & F.col("value").isNotNull() & F.col("y").isNotNull()
+    df = names.join(df.where(both).drop("_in").join(dates, ["grp", "ts"], "left_semi"), ["grp", "series"], "left")
+    out = df.groupBy("grp", "series", "_in").agg(F.count("value").alias("n"), correlation(F.col("value"), F.col("y")).alias("r"))
     out = out.withColumn("t", F.when(F.col("n") >= rows, F.coalesce(t_of(F.col("r"), F.col("n")), F.lit(0.0))).otherwise(0.0))
     g = Window.partitionBy("grp")
-    best = F.row_number().over(g.orderBy(F.abs("t").desc(), "series")) == 1
+    best = F.col("_in") & (F.row_number().over(g.orderBy(F.col("_in").desc(), F.abs("t").desc(), "series")) == 1)
     strong = F.abs("t") > least
     return out.withColumn("kept", strong | (best & (F.max(F.when(strong, 1).otherwise(0)).over(g) == 0))).select("grp", "series", "n", "t", "kept")
 

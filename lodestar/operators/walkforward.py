@@ -398,51 +398,113 @@ def walk_forward(wide: DataFrame, models: list[str] | Mapping[str, Fit], window:
     return rows.groupBy("model", "part").applyInPandas(run, "model string, ts date, pred double, actual double, bench double, n_train int, failed boolean")
 
 
-def hidden_states(df: DataFrame, states: int = 3, rounds: int = 200) -> DataFrame:
-    """(series, ts, state, mean): Viterbi path of a Gaussian hidden Markov model by series; states are ordered by mean, 0 the highest.
+def _log_normal(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Log densities of rows under each state, by Cholesky factors."""
+    out = np.empty((len(x), len(mean)))
+    for k in range(len(mean)):
+        root = np.linalg.cholesky(cov[k])
+        z = np.linalg.solve(root, (x - mean[k]).T)
+        out[:, k] = -0.5 * (z * z).sum(0) - np.log(np.diag(root)).sum() - 0.5 * x.shape[1] * np.log(2 * np.pi)
+    return out
+
+
+def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
+    top = a.max(axis, keepdims=True)
+    return (top + np.log(np.exp(a - top).sum(axis, keepdims=True))).squeeze(axis)
+
+
+class HiddenMarkov:
+    """Gaussian states with full covariances, by expectation and maximisation in logarithms.
 
-    Starts at quantiles, so the result is fixed.  Fewer than 50 rows have no state.
+    Starts at quantiles of the first column, so the fit is fixed.  ``gains`` holds
+    the log likelihood of each round.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["ret"]).sort_values("ts")
-        y = pdf["ret"].to_numpy(float)
-        if len(y) < 50:
-            return pd.DataFrame({"series": pdf["series"], "ts": pdf["ts"], "state": None, "mean": np.nan})
-        mu = np.quantile(y, (np.arange(states) + 0.5) / states)
-        var, pi = np.full(states, y.var() + 1e-12), np.full(states, 1 / states)
-        a = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 - 0.1 / max(1, states - 1))
-        was = -np.inf
-        for _ in range(rounds):
-            b = np.exp(-((y[:, None] - mu) ** 2) / (2 * var)) / np.sqrt(2 * np.pi * var) + 1e-300
-            f, c = np.zeros_like(b), np.zeros(len(y))
-            for t in range(len(y)):
-                f[t] = (pi if t == 0 else f[t - 1] @ a) * b[t]
-                c[t] = f[t].sum()
-                f[t] /= c[t]
-            back = np.ones_like(b)
-            for t in range(len(y) - 2, -1, -1):
-                back[t] = a @ (b[t + 1] * back[t + 1]) / c[t + 1]
-            g = f * back
-            g /= g.sum(1, keepdims=True)
-            xi = a * (f[:-1].T @ (b[1:] * back[1:] / c[1:, None]))
-            a, pi = xi / xi.sum(1, keepdims=True), g[0]
-            mu = (g * y[:, None]).sum(0) / g.sum(0)
-            var = (g * (y[:, None] - mu) ** 2).sum(0) / g.sum(0) + 1e-12
-            if np.log(c).sum() - was < 1e-8:
+    def __init__(self, states: int = 3, rounds: int = 1000, tol: float = 1e-2, ridge: float = 1e-6):
+        self.states, self.rounds, self.tol, self.ridge = states, rounds, tol, ridge
+
+    def fit(self, x: np.ndarray) -> HiddenMarkov:
+        n, k = x.shape[1], self.states
+        order = np.array_split(np.argsort(x[:, 0], kind="stable"), k)
+        floor = self.ridge * (np.diag(x.var(0)) + 1e-12 * np.eye(n))
+        self.mean = np.array([x[i].mean(0) for i in order])
+        self.cov = np.array([np.cov(x.T, bias=True).reshape(n, n) + floor] * k)
+        self.start = np.log(np.full(k, 1 / k))
+        self.move = np.log(np.full((k, k), 0.1 / max(1, k - 1)) * (1 - np.eye(k)) + np.eye(k) * (0.9 if k > 1 else 1) + 1e-300)
+        self.gains: list[float] = []
+        for _ in range(self.rounds):
+            seen = _log_normal(x, self.mean, self.cov)
+            ahead, back = np.empty_like(seen), np.zeros_like(seen)
+            ahead[0] = self.start + seen[0]
+            for t in range(1, len(x)):
+                ahead[t] = seen[t] + _logsum(ahead[t - 1][:, None] + self.move, 0)
+            for t in range(len(x) - 2, -1, -1):
+                back[t] = _logsum(self.move + seen[t + 1] + back[t + 1], 1)
+            self.gains.append(float(_logsum(ahead[-1], 0)))
+            share = np.exp(ahead + back - self.gains[-1])
+            pairs = np.exp(ahead[:-1, :, None] + self.move + (seen[1:] + back[1:])[:, None, :] - self.gains[-1]).sum(0) + 1e-300
+            if len(self.gains) > 1 and self.gains[-1] - self.gains[-2] < self.tol:
                 break
-            was = np.log(c).sum()
-        order = np.argsort(-mu)
-        logb, loga = np.log(b), np.log(a + 1e-300)
-        score, trace = np.log(pi + 1e-300) + logb[0], []
-        for t in range(1, len(y)):
-            s = score[:, None] + loga
-            trace.append(s.argmax(0))
-            score = s.max(0) + logb[t]
-        path = [int(score.argmax())]
-        for q in reversed(trace):
-            path.append(int(q[path[-1]]))
-        path = np.argsort(order)[np.array(path[::-1])]
-        return pd.DataFrame({"series": pdf["series"], "ts": pdf["ts"], "state": path, "mean": mu[order][path]})
-
-    return df.select("series", "ts", "ret").groupBy("series").applyInPandas(run, "series string, ts date, state int, mean double")
+            weight = share.sum(0) + 1e-300
+            self.start, self.move = np.log(share[0] + 1e-300), np.log(pairs / pairs.sum(1, keepdims=True))
+            self.mean = share.T @ x / weight[:, None]
+            self.cov = np.array([(share[:, j, None] * (x - self.mean[j])).T @ (x - self.mean[j]) / weight[j] + floor for j in range(k)])
+        return self
+
+    def path(self, x: np.ndarray) -> np.ndarray:
+        """The likeliest sequence of states."""
+        seen = _log_normal(x, self.mean, self.cov)
+        score, trace = self.start + seen[0], []
+        for t in range(1, len(x)):
+            step = score[:, None] + self.move
+            trace.append(step.argmax(0))
+            score = step.max(0) + seen[t]
+        out = [int(score.argmax())]
+        for back in reversed(trace):
+            out.append(int(back[out[-1]]))
+        return np.array(out[::-1])
+
+
+def hidden_states(df: DataFrame, states: int = 3, rounds: int = 1000, columns: tuple[str, ...] = ("ret",), least: int = 50, window: int = 12) -> DataFrame:
+    """(series, ts, state, mean, sd, label): the likeliest path of a Gaussian hidden Markov model over ``columns``, by series.
+
+    States are ordered by the mean of the first column on their rows, 0 the
+    highest; mean and sd (ddof 0) are of that column.  label is bull for the
+    first state, bear for the last, consolidation between them where there are
+    three, else bear or bull by whether a state's sd exceeds the mean of the
+    first and last one's.  Rows with a gap are left out.  Under ``least`` rows, or
+    where the fit breaks down, state is null and label is high_volatility or
+    low_volatility by the median of the rolling spread, null before the window
+    is full.  A series must fit a task.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=list(columns)).sort_values("ts", kind="stable")
+        x = pdf[list(columns)].to_numpy(float)
+        out = pdf[["series", "ts"]].assign(state=pd.array([None] * len(pdf), "Int32"), mean=np.nan, sd=np.nan, label=None)
+        path = None
+        if len(x) >= least:
+            try:
+                path = HiddenMarkov(states, rounds).fit(x).path(x)
+            except np.linalg.LinAlgError:
+                path = None
+        if path is None:
+            spread = pdf[columns[0]].rolling(window).std()
+            return out.assign(label=np.where(spread.isna(), None, np.where(spread > spread.median(), "high_volatility", "low_volatility")))
+        used = np.unique(path)
+        mean = {s: x[path == s, 0].mean() for s in used}
+        order = sorted(used, key=lambda s: -mean[s])
+        sd = {s: x[path == s, 0].std() for s in used}
+        edge = (sd[order[0]] + sd[order[-1]]) / 2
+
+        def label(k):
+            if k == 0:
+                return "bull"
+            if k == len(order) - 1:
+                return "bear"
+            return "consolidation" if len(order) == 3 else "bear" if sd[order[k]] > edge else "bull"
+
+        place = {s: k for k, s in enumerate(order)}
+        return out.assign(state=pd.array([place[s] for s in path], "Int32"), mean=[mean[s] for s in path], sd=[sd[s] for s in path], label=[label(place[s]) for s in path])
+
+    return df.select("series", "ts", *columns).groupBy("series").applyInPandas(run, "series string, ts date, state int, mean double, sd double, label string").withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("mean", "sd")})

@@ -1,6 +1,6 @@
 """Queries over the test tables, one for each operator, with their SQL."""
 
-from . import frames, models, outlook, statistics, strategies
+from . import frames, models, outlook, points, statistics, strategies
 
-QUERIES = {**frames.QUERIES, **strategies.QUERIES, **statistics.QUERIES, **outlook.QUERIES, **models.QUERIES}
-ORACLES = {**frames.ORACLES, **strategies.ORACLES, **statistics.ORACLES, **outlook.ORACLES, **models.ORACLES}
+QUERIES = {**frames.QUERIES, **strategies.QUERIES, **statistics.QUERIES, **outlook.QUERIES, **models.QUERIES, **points.QUERIES}
+ORACLES = {**frames.ORACLES, **strategies.ORACLES, **statistics.ORACLES, **outlook.ORACLES, **models.ORACLES, **points.ORACLES}

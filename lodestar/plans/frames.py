@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import bfill, by, correlation, diff, expanding, ffill, forward_return, interpolate, lead_fill, pct_change, rolling, stride
-from ..operators import features, metrics
+from ..functions.quantiles import running_quantiles
+from ..operators import features, metrics, portfolio
 from ..streaming import windowed
 from . import panels
 from .panels import SPLIT, Registry, W
@@ -173,16 +174,22 @@ def expanding_max(spark, d):
     return _x(panels.returns(spark, d), expanding(F.abs(F.col("ret")), F.max, by("series")))
 
 
-@query(_over("CASE WHEN count(ret) OVER f >= 2 THEN stddev_samp(ret) OVER f END", "ret") + " WINDOW f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query(_over("greatest(coalesce(CASE WHEN count(ret) OVER f >= 2 THEN stddev_samp(abs(ret)) OVER f END, first_value(abs(ret)) OVER (PARTITION BY series ORDER BY ts)), 1e-8)", "ret WHERE ret IS NOT NULL") + " WINDOW f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def expanding_std_lagged(spark, d):
-    return _x(panels.returns(spark, d), expanding(F.col("ret"), F.stddev_samp, by("series"), 2, 1))
+    """The spread of all sizes before; the first size until there are two."""
+    return _x(panels.returns(spark, d).where("ret IS NOT NULL"), portfolio.past_spread(F.abs(F.col("ret"))))
 
 
 @query("SELECT series, ts, R(CASE WHEN count(value) OVER f >= 24 THEN quantile_cont(value, 0.75) OVER f END) AS high, R(CASE WHEN count(value) OVER f >= 24 THEN quantile_cont(value, 0.25) OVER f END) AS low FROM panel WINDOW f AS (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING)", 4)
 def expanding_quantile(spark, d):
-    w = by("series")
-    q = lambda p: expanding(F.col("value"), lambda c: F.percentile(c, F.lit(p)), w, 24)
-    return panels.panel(spark, d).select("series", "ts", q(0.75).alias("high"), q(0.25).alias("low"))
+    """Both quartiles of all values so far, by order statistics."""
+    return running_quantiles(panels.panel(spark, d).select("series", "ts", "value"), {"high": 0.75, "low": 0.25}, least=24).select("series", "ts", "high", "low")
+
+
+@query("SELECT series, ts, R(CASE WHEN count(value) OVER f >= 6 THEN quantile_cont(value, 0.9) OVER f END) AS high, R(CASE WHEN count(value) OVER f >= 6 THEN quantile_cont(value, 0.1) OVER f END) AS low FROM gappy WINDOW f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)", 4)
+def rolling_quantile(spark, d):
+    """Outer deciles of the last 24 rows, gaps passed over."""
+    return running_quantiles(panels.gappy(spark, d).select("series", "ts", "value"), {"high": 0.9, "low": 0.1}, window=24, least=6).select("series", "ts", "high", "low")
 
 
 @query("SELECT series, ts, R(eq) AS equity, R((pk - eq) / pk) AS drawdown FROM (SELECT *, max(eq) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS pk FROM (SELECT series, ts, product(1 + coalesce(ret, 0)) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS eq FROM ret))")
@@ -226,18 +233,23 @@ def rsi_14(spark, d):
 R((m21 - avg(m21) OVER p) / (stddev_samp(m21) OVER p + 1e-6)) AS zscore, R(r63 / (v63 * sqrt(252) + 1e-6)) AS lead,
 R(CASE WHEN count(r63) OVER p = count(*) OVER p THEN rank() OVER (PARTITION BY ts ORDER BY r63 DESC) + (count(r63) OVER (PARTITION BY ts, r63) - 1) / 2.0 END) AS rank FROM (
 SELECT *, avg(r1) OVER (PARTITION BY ts) AS mean1, {_min('stddev_samp(r1)', 21, 'r1')} AS v21, {_min('stddev_samp(r1)', 63, 'r1')} AS v63, {_min('avg(r63)', 21, 'r63')} AS m21 FROM (
-SELECT *, value / lag(value) OVER w - 1 AS r1, value / lag(value, 20) OVER w - 1 AS r20, value / lag(value, 21) OVER w - 1 AS r21, value / lag(value, 63) OVER w - 1 AS r63, value / lag(value, 126) OVER w - 1 AS r126, value / first_value(value) OVER w - 1 AS rel_12m, {_min('avg(value)', 20, 'value')} AS s20, {_min('avg(value)', 50, 'value')} AS s50 FROM daily WINDOW w AS (PARTITION BY series ORDER BY ts)))
+SELECT *, value / lag(value) OVER w - 1 AS r1, value / lag(value, 20) OVER w - 1 AS r20, value / lag(value, 21) OVER w - 1 AS r21, value / lag(value, 63) OVER w - 1 AS r63, value / lag(value, 126) OVER w - 1 AS r126, value / first_value(value) OVER w - iv / first_value(iv) OVER w AS rel_12m, {_min('avg(value)', 20, 'value')} AS s20, {_min('avg(value)', 50, 'value')} AS s50 FROM (SELECT *, sum(value) OVER (PARTITION BY ts) AS iv FROM daily) WINDOW w AS (PARTITION BY series ORDER BY ts)))
 WINDOW p AS (PARTITION BY ts), w63 AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)""", 4)
 def sector_features(spark, d):
     """Daily sector features: momentum, breadth, strength and cross-section."""
-    f = features.sector_features(panels.daily(spark, d))
+    px = panels.daily(spark, d)
+    f = features.sector_features(px, px.groupBy("ts").agg(F.sum("value").alias("value")))
     return f.select("series", "ts", "r20", "rel_12m", "above_sma20", "above_sma50", "corr63", "accel", "trend", "bull", "dispersion", "spread", "zscore", "lead", "rank")
 
 
-@query(f"""SELECT series, ts, R(21 * ({_min('avg(x)', 21, 'x')})) AS rel FROM (SELECT s.series, s.ts, s.r - i.r AS x FROM (SELECT *, value / lag(value) OVER {W} - 1 AS r FROM daily) s JOIN (SELECT ts, v / lag(v) OVER (ORDER BY ts) - 1 AS r FROM (SELECT ts, sum(value) AS v FROM daily GROUP BY 1)) i USING (ts))""", 4)
-def relative_momentum_21(spark, d):
-    px = panels.daily(spark, d)
-    return features.relative_momentum(px, px.groupBy("ts").agg(F.sum("value").alias("value")), 21)
+for _n in (21, 63, 126):
+
+    def _relative(spark, d, n=_n):
+        px = panels.daily(spark, d)
+        return features.relative_momentum(px, px.groupBy("ts").agg(F.sum("value").alias("value")), n)
+
+    _relative.__name__ = f"relative_momentum_{_n}"
+    query(f"""SELECT series, ts, R({_n} * ({_min('avg(x)', _n, 'x')})) AS rel FROM (SELECT s.series, s.ts, s.r - i.r AS x FROM (SELECT *, value / lag(value) OVER {W} - 1 AS r FROM daily) s JOIN (SELECT ts, v / lag(v) OVER (ORDER BY ts) - 1 AS r FROM (SELECT ts, sum(value) AS v FROM daily GROUP BY 1)) i USING (ts))""", 4)(_relative)
 
 
 @query("SELECT series, ts, R(least(greatest(value, a), b)) AS value FROM gappy JOIN (SELECT series, quantile_cont(value, 0.01) AS a, quantile_cont(value, 0.99) AS b FROM gappy GROUP BY 1) USING (series) WHERE value IS NOT NULL UNION ALL SELECT series, ts, NULL FROM gappy WHERE value IS NULL", 2)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import by, ffill, pct_change
 from ..sources import on_calendar, read_table
 
-#: The last month of orders has one day; the SQL leaves it out, and with it the rows that lineitem has from then to 2001-11-04.
+#: The last month of orders has one day, which is left out; lineitem runs to its end.
 END = "2001-08-01"
 SPLIT = "1998-12-31"
 #: Columns of results are rounded to this many places.
@@ -17,7 +17,7 @@ PLACES = 6
 
 def panel(spark: SparkSession, d: str) -> DataFrame:
     """Monthly sums by part type and by order priority: (series, grp, ts, value)."""
-    li = read_table(spark, d, "lineitem").where(F.col("l_shipdate") < END).select("l_partkey", "l_shipdate", "l_extendedprice")
+    li = read_table(spark, d, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice")
     a = li.join(read_table(spark, d, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
     a = a.groupBy(F.col("p_type").alias("series"), F.last_day("l_shipdate").alias("ts")).agg(F.sum("l_extendedprice").alias("value"))
     o = read_table(spark, d, "orders").where(F.col("o_orderdate") < END)
@@ -71,7 +71,7 @@ def rounded(df: DataFrame, places: int = PLACES) -> DataFrame:
 
 #: The panels as SQL, to go before an oracle's select.
 SQL = f"""WITH panel AS (
-  SELECT p_type AS series, 'type' AS grp, last_day(CAST(l_shipdate AS DATE)) AS ts, sum(l_extendedprice) AS value FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_shipdate < TIMESTAMP '{END}' GROUP BY 1, 3
+  SELECT p_type AS series, 'type' AS grp, last_day(CAST(l_shipdate AS DATE)) AS ts, sum(l_extendedprice) AS value FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 3
   UNION ALL SELECT o_orderpriority, 'priority', last_day(CAST(o_orderdate AS DATE)), sum(o_totalprice) FROM orders WHERE o_orderdate < TIMESTAMP '{END}' GROUP BY 1, 3),
 ret AS (SELECT *, (value / lag(value) OVER (PARTITION BY series ORDER BY ts) - 1) / 10 AS ret FROM panel),
 gappy AS (SELECT series, grp, ts, CASE WHEN (month(ts) * 5 + length(series) + year(ts)) % 7 < 2 THEN NULL ELSE value END AS value FROM panel),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features, metrics, portfolio, screening
 from . import panels
 from .panels import SPLIT, Registry, W
-from .strategies import COST, POS
+from .models import BOOT
+from .strategies import COST
 
 query = Registry()
 
@@ -39,7 +41,7 @@ def r2_interval(spark, d):
     return metrics.r2_interval(_sig(spark, d), ["series"])
 
 
-@query(f"SELECT series, n, R(r2) AS r2, R(1 - (1 - r2) * (n - 1) / (n - 2)) AS r2_adj FROM {R2}")
+@query(f"SELECT series, n, R(r2) AS r2, R(1 - (1 - r2) * (n - 1) / (n - 2)) AS r2_adj FROM (SELECT series, count(*) AS n, 1 - sum((actual - pred) ** 2) / (count(*) * var_pop(actual)) AS r2 FROM sig GROUP BY 1)")
 def adjusted_r2(spark, d):
     return metrics.adjusted_r2(_sig(spark, d), ["series"])
 
@@ -58,11 +60,38 @@ def trading_metrics(spark, d):
     return metrics.trading(_sig(spark, d), ["series"])
 
 
-@query(f"SELECT series, CASE WHEN hit > 50 AND sharpe > 0 AND sharpe - 0.5 > 0 THEN 'passes' WHEN hit > 50 AND sharpe > 0 THEN 'marginal' WHEN sharpe < 0 THEN 'fails' ELSE 'inconclusive' END AS verdict, CASE WHEN r2 < 0.01 THEN '***' WHEN r2 < 0.05 THEN '**' WHEN r2 < 0.1 THEN '*' ELSE '' END AS marks FROM {TRADE}")
+_PNL = "SELECT series, ts, sign(pred) * actual AS ret FROM sig"
+
+
+@query(f"""SELECT series, CASE WHEN hit > 50 AND sharpe > 0 AND low > 0 THEN 'passes' WHEN hit > 50 AND sharpe > 0 THEN 'marginal' WHEN sharpe < 0 THEN 'fails' ELSE 'inconclusive' END AS verdict, CASE WHEN p < 0.01 THEN '***' WHEN p < 0.05 THEN '**' WHEN p < 0.1 THEN '*' ELSE '' END AS marks
+FROM {TRADE} JOIN {BOOT.replace('{source}', f'({_PNL})')} USING (series) JOIN (SELECT series, 2 * (1 - {STUDENT.format('abs(t)', 'dt')}) AS p FROM (SELECT series, avg(x) / (stddev_samp(x) / sqrt(count(x))) AS t, count(x) - 1 AS dt FROM (SELECT series, sign(pred) * actual AS x FROM sig) GROUP BY 1)) USING (series)""")
 def verdicts(spark, d):
-    """Verdicts with a lower end of half below, and marks on a column as if it were a p value."""
-    t = metrics.trading(_sig(spark, d), ["series"]).withColumn("low", F.col("sharpe") - 0.5)
-    return t.select("series", metrics.verdict("hit", "sharpe", "low").alias("verdict"), metrics.stars("r2").alias("marks"))
+    """Verdicts by the lower end of the resampled Sharpe ratio, and marks by the p value of the mean return."""
+    s = _sig(spark, d)
+    pnl = s.select("series", "ts", (F.signum("pred") * F.col("actual")).alias("ret"))
+    t = metrics.trading(s, ["series"]).select("series", "hit", "sharpe").join(metrics.bootstrap(pnl, ["series"], "ret", 1000).select("series", "low"), "series")
+    t = t.join(metrics.t_test(pnl, ["series"], "ret").select("series", "p"), "series")
+    return t.select("series", metrics.verdict("hit", "sharpe", "low").alias("verdict"), metrics.stars("p").alias("marks"))
+
+
+@query(f"SELECT series, ts, R(list_reduce(list_prepend(0::DOUBLE, CAST(range(0, 30) AS DOUBLE[])), lambda z, j: z - ({PHI.format('z')} - p) / (exp(-z * z / 2) / sqrt(2 * pi())))) AS score FROM (SELECT series, ts, (row_number() OVER (PARTITION BY series ORDER BY ret, ts) - 0.5) / count(*) OVER (PARTITION BY series) AS p FROM ret WHERE ret IS NOT NULL)", 6)
+def normal_scores(spark, d):
+    """Each return as the normal quantile of its rank."""
+    w = Window.partitionBy("series")
+    r = panels.returns(spark, d).where("ret IS NOT NULL")
+    p = (F.row_number().over(w.orderBy("ret", "ts")) - 0.5) / F.count("*").over(w)
+    return r.select("series", "ts", p.alias("p")).select("series", "ts", metrics.normal_ppf("p").alias("score"))
+
+
+_PDF = "exp(lgamma((dt + 1) / 2.0) - lgamma(dt / 2.0)) / sqrt(dt * pi()) * (1 + z * z / dt) ** (-(dt + 1) / 2.0)"
+
+
+@query(f"SELECT series, R(m - q * e) AS low, R(m + q * e) AS high FROM (SELECT *, list_reduce(list_prepend(0::DOUBLE, CAST(range(0, 40) AS DOUBLE[])), lambda z, j: z - ({STUDENT.format('z', 'dt')} - 0.95) / ({_PDF})) AS q FROM (SELECT series, avg(ret) AS m, stddev_samp(ret) / sqrt(count(ret)) AS e, count(ret) - 1 AS dt FROM ret GROUP BY 1))", 6)
+def mean_interval(spark, d):
+    """The interval of 90 per cent of each series' mean return, by Student's quantile."""
+    s = panels.returns(spark, d).groupBy("series").agg(F.avg("ret").alias("m"), (F.stddev_samp("ret") / F.sqrt(F.count("ret"))).alias("e"), (F.count("ret") - 1).alias("dt"))
+    q = metrics.student_ppf("0.95D", "dt")
+    return s.select("series", (F.col("m") - q * F.col("e")).alias("low"), (F.col("m") + q * F.col("e")).alias("high"))
 
 
 @query(f", {COST} SELECT series, count(*) AS n, R(avg(gross) / stddev_samp(gross) * sqrt(12)) AS sharpe_gross, R(avg(net) / stddev_samp(net) * sqrt(12)) AS sharpe_net, R(product(1 + gross) - 1) AS total_gross, R(product(1 + net) - 1) AS total_net, R(avg(turnover)) AS avg_turnover, R(sum(turnover)) AS total_turnover, R(sum(c)) AS total_cost, count(*) FILTER (turnover > 0) AS trades, R(coalesce(avg(c) FILTER (turnover > 0) * 1e4, 0)) AS bps_a_trade, R(product(1 + gross) - product(1 + net)) AS drag FROM (SELECT *, turnover * 25 / 1e4 AS c, gross - turnover * 25 / 1e4 AS net FROM cost) GROUP BY 1", 5)
@@ -75,10 +104,10 @@ def cost_adjusted_prediction(spark, d):
     return portfolio.cost_adjusted(_sig(spark, d), 25.0).select("series", "ts", "adjusted")
 
 
-@query(f", {POS.replace('* 1.5', '* 1.0').replace('* 0.5 END', '* 1.0 END')} SELECT series, ts, R(pos * ret) AS gross FROM pos")
+@query("SELECT series, ts, R(pred / max(abs(pred)) OVER (PARTITION BY series) * ret) AS gross FROM sig")
 def symmetric_positions(spark, d):
-    """Long and short of one size, without financing."""
-    return portfolio.simulated(_sig(spark, d), 1.0, 1.0, 0.0).select("series", "ts", "gross")
+    """Long and short of one size against the strongest signal of all, without financing."""
+    return portfolio.symmetric(_sig(spark, d)).select("series", "ts", "gross")
 
 
 @query(f"SELECT series, ts, R(naive) AS naive, R(hist_mean) AS hist_mean, R(momentum) AS momentum FROM (SELECT series, ts, 0.0 AS naive, avg(actual) OVER (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hist_mean, sign(lag(actual) OVER {W}) AS momentum FROM sig)")

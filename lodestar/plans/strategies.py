@@ -114,7 +114,7 @@ def drawdown_delever(spark, d):
     return portfolio.delevered(portfolio.positions(panels.signals(spark, d)), 0.2, 1.5).select("series", "ts", "pos")
 
 
-@query("SELECT series, ts, R(CASE WHEN abs(pred) / greatest(coalesce(CASE WHEN count(pred) OVER f >= 2 THEN stddev_samp(pred) OVER f END, abs(pred)), 1e-8) < 0.5 THEN 0 ELSE pred END) AS kept_pred FROM sig WINDOW f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+@query("SELECT series, ts, R(CASE WHEN abs(pred) / greatest(coalesce(CASE WHEN count(pred) OVER f >= 2 THEN stddev_samp(abs(pred)) OVER f END, first_value(abs(pred)) OVER (PARTITION BY series ORDER BY ts)), 1e-8) < 0.5 THEN 0 ELSE pred END) AS kept_pred FROM sig WINDOW f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def conviction_filter(spark, d):
     return portfolio.conviction(panels.signals(spark, d), 0.5).select("series", "ts", "kept_pred")
 
@@ -146,6 +146,12 @@ def momentum_topn_rotation(spark, d):
     return features.momentum_rotation(panels.returns(spark, d), 6, 3)
 
 
+@query("SELECT ts, R(avg(ret)) AS ret, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC, series) AS rn FROM (SELECT *, CASE WHEN count(ret) OVER f >= 6 THEN product(1 + ret) OVER f - 1 END AS score FROM ret WINDOW f AS (PARTITION BY series ORDER BY ts ROWS BETWEEN 7 PRECEDING AND 2 PRECEDING)) WHERE score IS NOT NULL AND ret IS NOT NULL) WHERE rn <= 3 GROUP BY 1")
+def momentum_topn_delayed(spark, d):
+    """The rotation with a row between signal and holding."""
+    return features.momentum_rotation(panels.returns(spark, d), 6, 3, delay=1)
+
+
 @query("SELECT a || ',' || b || ',' || c AS combo, R(avg(r) * 12) AS mean, R(stddev_samp(r) * sqrt(12)) AS vol FROM (SELECT a.series AS a, b.series AS b, c.series AS c, (a.ret + b.ret + c.ret) / 3 AS r FROM ret a JOIN ret b USING (ts) JOIN ret c USING (ts) WHERE a.grp = 'priority' AND b.grp = 'priority' AND c.grp = 'priority' AND a.series < b.series AND b.series < c.series) WHERE r IS NOT NULL GROUP BY a, b, c")
 def sector_combos(spark, d):
     """Every three of five series, equally weighted."""
@@ -167,6 +173,19 @@ def forecast_accuracy(spark, d):
     return metrics.accuracy(panels.signals(spark, d), ["series"]).select("series", "n", "r2", "mse", "mae", "hit", "n_pos", "pos_hit", "neg_hit")
 
 
+@query("SELECT series, R(avg(abs((actual - pred) / nullif(actual, 0)))) AS mape FROM sig WHERE bench IS NOT NULL GROUP BY 1", 4)
+def forecast_mape(spark, d):
+    """Mean error relative to actual, rows with none left out."""
+    return metrics.accuracy(panels.signals(spark, d), ["series"]).select("series", "mape")
+
+
+@query("""SELECT series, max_by(since, dd * 1e12 - rn) AS dd_rows FROM (SELECT series, rn, (pk - eq) / pk AS dd, rn - max(CASE WHEN eq = pk THEN rn END) OVER (PARTITION BY series ORDER BY rn ROWS UNBOUNDED PRECEDING) + 1 AS since FROM (
+SELECT *, max(eq) OVER (PARTITION BY series ORDER BY rn ROWS UNBOUNDED PRECEDING) AS pk FROM (SELECT series, row_number() OVER (PARTITION BY series ORDER BY ts) AS rn, product(1 + ret) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS eq FROM ret WHERE ret IS NOT NULL))) GROUP BY 1""")
+def drawdown_rows(spark, d):
+    """Rows from the peak to the deepest drawdown, both counted."""
+    return metrics.risk(panels.returns(spark, d), ["series"]).select("series", "dd_rows")
+
+
 @query("SELECT series, count(d) AS n, R(avg(d) / sqrt(var_samp(d) / count(d))) AS dm FROM (SELECT series, (actual - bench) ** 2 - (actual - pred) ** 2 AS d FROM sig) GROUP BY 1", 4)
 def dm_stat(spark, d):
     return metrics.diebold_mariano(panels.signals(spark, d), ["series"]).select("series", "n", "dm")
