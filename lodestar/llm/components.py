@@ -20,20 +20,22 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = lambda e: e.select(F.col("u"), F.col("v")).union(e.select(F.col("v"), F.col("u")))
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
     edges = stored(edges, "cc")
-    while True:
+    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    was = mark(edges)
+    while was[0]:
         # large star: every larger neighbour of u goes to the smallest of u and its neighbours
-        high = stored(both(edges).groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "cc-high")
+        high = both(edges).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both(edges).join(high, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where("u != v").distinct(), "cc-large")
         # small star: u and its smaller neighbours go to the smallest of them
-        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = stored(small.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "cc")
-        same = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        was = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        released(edges.sparkSession, edges, high, low, large)
+        same = mark(small)
+        released(edges.sparkSession, edges, large)
         edges = small
         if same == was:
             break
+        was = same
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

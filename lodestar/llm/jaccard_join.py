@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, hashed, mixed, released, slices, stored, text_rows, translated, words_of
+from .common import LOWER, hashed, mixed, released, slices, stored, translated, words_of
 from .components import components
 
 _U = np.uint64
@@ -137,15 +137,21 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, which, text): which is a hash of the text, that tells rows of one doc_id apart; whole numbers become long."""
+    key = F.col("doc_id").cast("long") if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int") else F.col("doc_id")
+    return docs.select(key.alias("doc_id"), F.xxhash64("text").alias("which"), "text")
+
+
 def named(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, hi, lo, n) of each document: its set's name and size."""
+    """(doc_id, which, hi, lo, n) of each document of ``_keyed``: its set's name and size."""
 
     def run(batches):
         for rows, text in slices(batches):
             out = [(*class_of(members), len(members)) for members in word_sets(text, n)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*out))], names=["doc_id", "hi", "lo", "n"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("which"), *(pa.array(c, pa.int64()) for c in zip(*out))], names=["doc_id", "which", "hi", "lo", "n"])
 
-    return text_rows(docs).mapInArrow(run, "doc_id long, hi long, lo long, n long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, which long, hi long, lo long, n long")
 
 
 SKETCHES = "cid long, n long, band int, keys array<long>, few array<long>, small array<long>, sharp array<long>"
@@ -192,8 +198,8 @@ def _apart(a: str, b: str, sketch: str) -> str:
 def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
     """Of the distinct pairs (a, b) of classes, the links, as a stored table: (a, b, both, n_a, n_b), the sizes of intersection and sets.
 
-    Each class is read as the text of its smallest document.  A document id
-    that several rows share can bring another text; its class tells it apart.
+    Each class is read as the text of its smallest document; of rows that
+    share its id, the one with the class's hash.
     """
 
     def run(batches):
@@ -208,12 +214,12 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, perc
                         out.append((a, b, both, len(x), len(y)))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5)], names=["a", "b", "both", "n_a", "n_b"])
 
-    texts = docs.select(F.col("doc_id").alias("rep"), F.coalesce("text", F.lit("")).alias("text")).where("rep is not null")
+    texts = docs.where("doc_id is not null")
     for side in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("cid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "hi", "lo")]), side)
+        pairs = pairs.join(classes.select(F.col("cid").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "which", "hi", "lo")]), side)
     pairs = known = stored(pairs, "jaccard-pairs")
     for side in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("rep").alias(f"rep_{side}"), F.col("text").alias(f"text_{side}")), f"rep_{side}")
+        pairs = pairs.join(texts.select(F.col("doc_id").alias(f"rep_{side}"), F.col("which").alias(f"which_{side}"), F.col("text").alias(f"text_{side}")), [f"rep_{side}", f"which_{side}"])
     links = pairs.select("a", "b", "hi_a", "lo_a", "hi_b", "lo_b", "text_a", "text_b").mapInArrow(run, "a long, b long, both long, n_a long, n_b long").distinct()
     links = stored(links, "jaccard-links")
     released(docs.sparkSession, known)
@@ -260,14 +266,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
     their n-gram sets.  A text of fewer than n words is one n-gram.  A null
     text counts as empty; an empty set links with nothing and is its own
     component.  Rows with a null doc_id take no part and get a null
-    component; rows that repeat a doc_id each get their component.  Other
-    columns are ignored.
+    component; rows that repeat a doc_id each get their component.  A doc_id
+    may be of any type that has an order.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    docs = _keyed(docs)
     own = stored(named(docs, n), "jaccard-own")
-    classes = own.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
+    classes = own.where("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "which")).alias("x")).select("hi", "lo", F.col("x.doc_id").alias("rep"), F.col("x.which").alias("which"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(classes, "rep")
+    texts = docs.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "which"])
     made = stored(sketches(texts, n, percent, ratio), "jaccard-sketches")
     released(spark)
 
