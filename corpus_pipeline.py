@@ -18,8 +18,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _key, which tells rows apart whatever their doc_id is: alike for rows of one doc_id and text only."""
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    """docs with _key, 128 bits that tell rows apart whatever their doc_id is: alike for rows of one doc_id and text only."""
+    part = lambda c: F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-"))
+    return docs.withColumn("_key", F.unhex(F.md5(F.concat(part("doc_id"), F.lit(":"), part("text")).cast("binary"))))
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
