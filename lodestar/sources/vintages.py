@@ -27,11 +27,10 @@ def panel_as_of(df: DataFrame, dates: DataFrame, keys: list[str], stamp: str = "
     """
     dates = dates.select(F.col("as_of").cast("date").alias("as_of")).where("as_of is not null").distinct()
     month = lambda c: F.floor(F.months_between(F.trunc(c, "MM"), F.lit("1900-01-01"))).cast("int")
-    ends = dates.agg(F.min(month("as_of")).alias("_a"), F.max(month("as_of")).alias("_z"))
+    first, last = dates.agg(F.min(month("as_of")), F.max(month("as_of"))).first()
     spans = validity(df.select(*keys, F.col(ts).alias(ts), F.col(stamp).cast("date").alias(stamp), value), keys, stamp, value, ts).where(F.col(value).isNotNull())
-    spans = spans.join(F.broadcast(ends))  # one row
-    low, high = F.greatest(month(stamp), "_a"), F.least(F.coalesce(month("until"), F.col("_z")), F.col("_z"))
-    spans = spans.withColumn("_m", F.explode(F.when(low <= high, F.sequence(low, high)))).drop("_a", "_z")
+    low, high = F.greatest(month(stamp), F.lit(first)), F.least(F.coalesce(month("until"), F.lit(last)), F.lit(last))
+    spans = spans.withColumn("_m", F.explode(F.when(low <= high, F.sequence(low, high))))
     known = spans.join(dates.withColumn("_m", month("as_of")), "_m").where((F.col(stamp) <= F.col("as_of")) & (F.col("until").isNull() | (F.col("as_of") < F.col("until"))))
     return known.where(F.col(ts) <= F.col("as_of")).select("as_of", *keys, ts, stamp, value)
 
