@@ -123,7 +123,7 @@ def with_interactions(scores: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return np.concatenate([scores, scores * rank[:, None]], axis=1)
 
 
-def forecasts(df: DataFrame, models: list[str] | Mapping[str, Fit], window: int, step: int = 1, least: float = 0.75, k: int = 10, regime_window: int = 12, rows: int = 20, floor_zero: bool = False, ahead: bool = False, parts: int | None = None, extra: DataFrame | None = None) -> DataFrame:
+def forecasts(df: DataFrame, models: list[str] | Mapping[str, Fit], window: int, step: int = 1, least: float = 0.75, k: int = 10, regime_window: int = 12, rows: int = 20, floor_zero: bool = False, ahead: bool = False, parts: int | None = None, extra: DataFrame | None = None, coefs: bool = False) -> DataFrame:
     """(run, model, ts, ahead, pred, actual, bench, n_train, n_kept, n_factors, failed) of each model at each fold.
 
     df is (run, grp, series, ts, value, y).  ``models`` are names, or any
@@ -132,7 +132,10 @@ def forecasts(df: DataFrame, models: list[str] | Mapping[str, Fit], window: int,
     set.  Under ``rows`` training rows with a y, or with no series kept, the mean
     is predicted too, and failed is not set.  ``extra`` (run, ts, name, value)
     are columns for the final fit alone, such as regime flags: the row to
-    predict takes those of the last training row; gaps are 0.
+    predict takes those of the last training row; gaps are 0.  ``coefs`` adds
+    terms, an array of (name, kind, coef) of what a prediction gains by one
+    unit more of each column of the final fit: its coefficients where it is
+    linear.
     """
     ready = resolved(models)
     grid = numbered(df, ahead)
@@ -144,7 +147,13 @@ def forecasts(df: DataFrame, models: list[str] | Mapping[str, Fit], window: int,
         when = grid.groupBy("run", "ts").agg(F.min("rn").alias("rn"))
         cells = cells.unionByName(extra.join(when, ["run", "ts"]).select("run", "rn", "ts", F.lit(None).cast("double").alias("y"), F.lit(None).cast("string").alias("series"), "value", "name"))
     cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    columns = ["run", "model", "ts", "ahead", "pred", "actual", "bench", "n_train", "n_kept", "n_factors", "failed"]
+    columns = ["run", "model", "ts", "ahead", "pred", "actual", "bench", "n_train", "n_kept", "n_factors", "failed", *["terms"][: int(coefs)]]
+    more_names = sorted(r[0] for r in extra.select("name").distinct().collect()) if coefs and extra is not None else []  # columns, not rows
+
+    def terms(predict, width: int, k: int) -> list[tuple[str, str, float]]:
+        gain = np.ravel(predict(np.eye(width))) - np.ravel(predict(np.zeros((1, width))))
+        names = [(f"factor_{j}", "factor") for j in range(k)] + [(f"factor_{j}_interaction", "interaction") for j in range(k)] + [(n, "regime") for n in more_names]
+        return [(n, kind, float(g)) for (n, kind), g in zip(names, gain)]
 
     def run(key, panel: pd.DataFrame, folds: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -167,7 +176,7 @@ def forecasts(df: DataFrame, models: list[str] | Mapping[str, Fit], window: int,
             head = (key[0], ts[t], bool(ahead and t == last))
             tail = (float(y[t]), bench, int(known.sum()), 0 if state is None else len(state))
             if state is None or known.sum() < rows:
-                out += [(head[0], m, *head[1:], bench, *tail, 0, False) for m in ready]
+                out += [(head[0], m, *head[1:], bench, *tail, 0, False, *[[]][: int(coefs)]) for m in ready]
                 continue
             use = [at[s] for s in state["series"]]
             figures = [state[c].to_numpy(float) for c in ("mean", "spread", "slope")]
@@ -176,16 +185,25 @@ def forecasts(df: DataFrame, models: list[str] | Mapping[str, Fit], window: int,
             train = np.concatenate([with_interactions(made.scores, rank), more[:t]], axis=1)
             test = np.concatenate([with_interactions(made.of(scaled(x[t : t + 1][:, use], *figures)), rank[-1:]), more[t - 1 : t]], axis=1)
             for m, fit in ready.items():
-                failed = False
+                failed, told = False, []
                 try:
-                    pred = float(np.ravel(fit(train[known], y[:t][known])(test))[0])
+                    predict = fit(train[known], y[:t][known])
+                    pred = float(np.ravel(predict(test))[0])
+                    told = terms(predict, train.shape[1], made.scores.shape[1]) if coefs else told
                 except Exception:
                     pred, failed = bench, True
-                out.append((head[0], m, *head[1:], max(0.0, pred) if floor_zero and not failed else pred, *tail, made.scores.shape[1], failed))
+                out.append((head[0], m, *head[1:], max(0.0, pred) if floor_zero and not failed else pred, *tail, made.scores.shape[1], failed, *[told][: int(coefs)]))
         return pd.DataFrame(out, columns=columns)
 
     got = cells.groupBy("run", "part").cogroup(states.groupBy("run", "part"))
-    return got.applyInPandas(run, "run string, model string, ts date, ahead boolean, pred double, actual double, bench double, n_train int, n_kept int, n_factors int, failed boolean")
+    return got.applyInPandas(run, "run string, model string, ts date, ahead boolean, pred double, actual double, bench double, n_train int, n_kept int, n_factors int, failed boolean" + ", terms array<struct<name: string, kind: string, coef: double>>" * coefs)
+
+
+def importance(found: DataFrame) -> DataFrame:
+    """(run, model, place, name, kind, coef) of each run's and model's last fold, strongest first; found has terms."""
+    last = found.withColumn("k", F.row_number().over(Window.partitionBy("run", "model").orderBy(F.col("ts").desc(), F.col("ahead").desc()))).where("k = 1")
+    one = last.select("run", "model", F.inline("terms"))
+    return one.withColumn("place", F.row_number().over(Window.partitionBy("run", "model").orderBy(F.abs("coef").desc(), "name")))
 
 
 def failures(found: DataFrame) -> DataFrame:

@@ -197,6 +197,18 @@ def t_test(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.withColumn("p", 2 * (1 - student_cdf("abs(t)", "n - 1")))
 
 
+def p_values(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(dm_p, cw_p, t_p) of the three tests above, by one aggregate over one reading of df; t is of sign(pred) * actual."""
+    a, p = F.col("actual"), F.col("pred")
+    d, m = (a - F.col("bench")) ** 2 - (a - p) ** 2, F.avg("actual").over(Window.partitionBy(*keys))
+    df = df.withColumn("m", m).withColumn("d", d).withColumn("f", (a - F.col("m")) ** 2 - (a - p) ** 2 + (F.col("m") - p) ** 2).withColumn("x", F.signum(p) * a)
+    over = lambda c, s: F.try_divide(F.avg(c), s(c) / F.sqrt(F.count(c)))
+    out = df.groupBy(*keys).agg(
+        F.when(F.var_samp("d") > 0, F.avg("d") / F.sqrt(F.var_samp("d") / F.count("d"))).alias("dm"), over("f", F.stddev_pop).alias("cw"), (F.count("f") - 1).alias("nf"), over("x", F.stddev_samp).alias("t"), (F.count("x") - 1).alias("nx")
+    )
+    return out.select(*keys, (2 * (1 - normal_cdf("abs(dm)"))).alias("dm_p"), (1 - student_cdf("cw", "nf")).alias("cw_p"), (2 * (1 - student_cdf("abs(t)", "nx"))).alias("t_p"))
+
+
 #: Modulus of the draws, so that any engine with 64-bit integers makes the same.
 PRIME = 2147483647
 

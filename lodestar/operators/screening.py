@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import by, correlation
+from .metrics import draw
 
 
 def t_of(r: Column, n: Column) -> Column:
@@ -75,12 +76,13 @@ def interactions(df: DataFrame, factor: str = "value", regime: str = "pct") -> D
     return df.withColumn("factor", f).withColumn("interaction", F.col("factor") * F.col(regime))
 
 
-def baselines(df: DataFrame, least: int = 1) -> DataFrame:
-    """df (series, ts, actual) with what needs no fit: naive (0), hist_mean (of all rows before) and momentum (the sign of the last)."""
+def baselines(df: DataFrame, least: int = 1, seed: int = 42) -> DataFrame:
+    """df (series, ts, actual) with what needs no fit: naive (0), hist_mean (of all rows before), momentum (the sign of the last), always_long (1) and random (1 or -1, drawn by day and seed)."""
     w = by("series")
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     mean = F.when(F.count("actual").over(past) >= least, F.avg("actual").over(past))
-    return df.withColumn("naive", F.lit(0.0)).withColumn("hist_mean", mean).withColumn("momentum", F.signum(F.lag("actual").over(w)))
+    side = F.when(draw(F.unix_date(F.col("ts").cast("date")).cast("long"), F.length("series").cast("long"), F.lit(seed)) % 2 == 0, 1.0).otherwise(-1.0)
+    return df.withColumn("naive", F.lit(0.0)).withColumn("hist_mean", mean).withColumn("momentum", F.signum(F.lag("actual").over(w))).withColumn("always_long", F.lit(1.0)).withColumn("random", side)
 
 
 def rescaled(df: DataFrame, split: str, most: float = 5.0) -> DataFrame:
@@ -90,3 +92,13 @@ def rescaled(df: DataFrame, split: str, most: float = 5.0) -> DataFrame:
     p, t = F.stddev_samp(F.when(late, F.col("pred"))).over(g), F.stddev_samp(F.when(~late, F.col("actual"))).over(g)
     k = F.when((p > 0.001) & (t > 0.001) & (F.count(F.when(late, F.col("pred"))).over(g) > 10), t / p)
     return df.withColumn("_k", F.when((k > 1) & (k <= most), k).otherwise(1.0)).where(late).withColumn("pred", F.col("pred") * F.col("_k")).drop("_k")
+
+
+def grouped(df: DataFrame, groups: DataFrame) -> DataFrame:
+    """df (series, ts, value and others) with the groups (grp, series) of its series; a series may be in several, one in none is left out, and a group without series vanishes."""
+    return df.drop("grp").join(groups.select("grp", "series").distinct(), "series")
+
+
+def common_series(df: DataFrame, other: DataFrame) -> DataFrame:
+    """The rows of df whose series the other frame has as well."""
+    return df.join(other.select("series").distinct(), "series", "left_semi")

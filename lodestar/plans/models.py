@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import by, forward_return, rolling
-from ..operators import factor_model, metrics, outlook, portfolio, walkforward
+from ..functions import by, forward_return, pct_change, rolling
+from ..operators import factor_model, metrics, outlook, portfolio, regimes, walkforward
 from . import panels
 from .outlook import COMBOS
 from .panels import Registry
@@ -110,6 +110,19 @@ def factor_model_forecasts(spark, d):
     return factor_model.forecasts(_runs(spark, d), ["linear", "ridge"], 36, ahead=True)
 
 
+@query()
+def factor_model_importance(spark, d):
+    """Coefficients of the last fold's final fits, with regime flags as further columns, strongest first."""
+    runs = _runs(spark, d)
+    index = panels.price(spark, d).withColumn("ret", pct_change(F.col("price"), by("series")) / 10)
+    labels = ("up", "down", "consolidation")
+    flags = regimes.features(regimes.trend(index), "trend_regime", labels)
+    names = ["persistence", "strength", *[f"is_{r}" for r in labels], *[f"vol_{r}" for r in labels]]
+    flags = flags.select("ts", *[F.col(c).cast("double").alias(c) for c in names]).unpivot("ts", names, "name", "value")
+    flags = flags.withColumn("run", F.explode(F.array(F.lit("h1"), F.lit("h3"))))
+    return factor_model.importance(factor_model.forecasts(runs, ["linear", "elastic_net"], 36, ahead=True, coefs=True, extra=flags))
+
+
 @query()
 def factor_model_failures(spark, d):
     """Folds and failed fits of estimators that are given as functions, one of which fails on every other fold."""

@@ -26,11 +26,7 @@ def _sig(spark, d):
 @query(f"SELECT series, R(2 * (1 - {PHI.format('least(abs(dm), 8)')})) AS dm_p, R(1 - {STUDENT.format('cw', 'df')}) AS cw_p, R(2 * (1 - {STUDENT.format('abs(t)', 'dt')})) AS t_p FROM (SELECT series, avg(d) / sqrt(var_samp(d) / count(d)) AS dm, avg(f) / (stddev_pop(f) / sqrt(count(f))) AS cw, count(f) - 1 AS df, avg(x) / (stddev_samp(x) / sqrt(count(x))) AS t, count(x) - 1 AS dt FROM (SELECT series, (actual - bench) ** 2 - (actual - pred) ** 2 AS d, (actual - m) ** 2 - (actual - pred) ** 2 + (m - pred) ** 2 AS f, sign(pred) * actual AS x FROM (SELECT *, avg(actual) OVER (PARTITION BY series) AS m FROM sig)) GROUP BY 1)")
 def p_values(spark, d):
     """p values of the Diebold-Mariano, Clark-West and mean tests."""
-    s = _sig(spark, d)
-    dm = metrics.diebold_mariano(s, ["series"]).select("series", F.col("p").alias("dm_p"))
-    cw = metrics.clark_west(s, ["series"]).select("series", F.col("p").alias("cw_p"))
-    t = metrics.t_test(s.withColumn("x", F.signum("pred") * F.col("actual")), ["series"], "x").select("series", F.col("p").alias("t_p"))
-    return dm.join(cw, "series").join(t, "series")
+    return metrics.p_values(_sig(spark, d), ["series"])
 
 
 R2 = "(SELECT series, count(*) AS n, 1 - sum((actual - pred) ** 2) / sum((actual - bench) ** 2) AS r2 FROM sig WHERE bench IS NOT NULL GROUP BY 1)"
@@ -115,6 +111,28 @@ def baseline_forecasts(spark, d):
     return screening.baselines(_sig(spark, d)).select("series", "ts", F.col("naive"), "hist_mean", F.col("momentum"))
 
 
+@query("SELECT series, R(100.0 * avg(CAST(actual > 0 AS INT))) AS long_hit, R(100.0 * avg(CAST(sign(actual) = side AS INT))) AS random_hit, R(sum(actual * side)) AS random_sum FROM (SELECT series, actual, CASE WHEN ((x2 * x2 + 42) % 2147483647) % 2 = 0 THEN 1.0 ELSE -1.0 END AS side FROM (SELECT *, (x1 * x1 + b) % 2147483647 AS x2 FROM (SELECT *, (x0 * x0 + i) % 2147483647 AS x1 FROM (SELECT *, (i * 48271 + b * 69621 + 42 * 16807) % 2147483647 AS x0 FROM (SELECT series, actual, CAST(datediff('day', DATE '1970-01-01', ts) AS BIGINT) AS i, CAST(length(series) AS BIGINT) AS b FROM sig))))) GROUP BY 1")
+def baseline_signals(spark, d):
+    """Hits of always holding, and of a drawn side."""
+    b = screening.baselines(_sig(spark, d))
+    hit = lambda c: 100 * F.avg((F.signum("actual") == F.col(c)).cast("double"))
+    return b.groupBy("series").agg(hit("always_long").alias("long_hit"), hit("random").alias("random_hit"), F.sum(F.col("actual") * F.col("random")).alias("random_sum"))
+
+
+@query("SELECT series, count(*) AS n FROM panel WHERE series IN (SELECT series FROM gappy WHERE ts > DATE '2001-07-31' INTERSECT SELECT series FROM panel) GROUP BY 1")
+def common_series(spark, d):
+    """Series that a later part of the panel still has."""
+    p = panels.panel(spark, d)
+    return screening.common_series(p, p.where("ts > DATE'2001-07-31'")).groupBy("series").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT grp, series, count(*) AS n, R(sum(value)) AS value FROM (SELECT * EXCLUDE (grp) FROM panel) JOIN (VALUES ('fast', '1-URGENT'), ('fast', '2-HIGH'), ('all', '2-HIGH'), ('all', '5-LOW'), ('empty', 'absent')) m(grp, series) USING (series) GROUP BY 1, 2", 2)
+def feature_groups(spark, d):
+    """Groups from a table of names; those of series that are not there vanish."""
+    names = spark.createDataFrame([("fast", "1-URGENT"), ("fast", "2-HIGH"), ("all", "2-HIGH"), ("all", "5-LOW"), ("empty", "absent")], "grp string, series string")
+    return screening.grouped(panels.panel(spark, d), names).groupBy("grp", "series").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+
+
 @query(f"SELECT series, ts, R(pred * CASE WHEN n > 10 AND p > 0.001 AND t > 0.001 AND t / p > 1 AND t / p <= 5 THEN t / p ELSE 1 END) AS pred FROM (SELECT series, ts, pred, count(CASE WHEN ts > DATE '{SPLIT}' THEN pred END) OVER g AS n, stddev_samp(CASE WHEN ts > DATE '{SPLIT}' THEN pred END) OVER g AS p, stddev_samp(CASE WHEN ts <= DATE '{SPLIT}' THEN actual END) OVER g AS t FROM sig WINDOW g AS (PARTITION BY series)) WHERE ts > DATE '{SPLIT}'")
 def variance_rescale(spark, d):
     return screening.rescaled(_sig(spark, d), SPLIT).select("series", "ts", "pred")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import features, metrics, portfolio, regimes, screening
+from ..functions import by, pct_change
+from ..operators import combinations, features, metrics, portfolio, regimes, screening
 from . import panels
 from .panels import SPLIT, Registry, W
 
@@ -162,6 +163,26 @@ def sector_combos(spark, d):
     return j.groupBy(F.concat_ws(",", "a", "b", "c").alias("combo")).agg((F.avg("r") * 12).alias("mean"), (F.stddev_samp("r") * F.sqrt(F.lit(12.0))).alias("vol"))
 
 
+_FOUR = "c AS (SELECT a.ts, a.series || ',' || b.series || ',' || c.series || ',' || e.series AS combo, (a.ret + b.ret + c.ret + e.ret) / 4 AS r FROM ret a JOIN ret b USING (ts) JOIN ret c USING (ts) JOIN ret e USING (ts) WHERE a.series < b.series AND b.series < c.series AND c.series < e.series), ix AS (SELECT ts, (price / lag(price) OVER (ORDER BY ts) - 1) / 10 AS bench FROM price), eq AS (SELECT combo, ts, r, bench, product(1 + r) OVER (PARTITION BY combo ORDER BY ts ROWS UNBOUNDED PRECEDING) AS eq FROM c JOIN ix USING (ts) WHERE r IS NOT NULL AND bench IS NOT NULL), dd AS (SELECT *, max(eq) OVER (PARTITION BY combo ORDER BY ts ROWS UNBOUNDED PRECEDING) AS pk FROM eq)"
+
+
+@query(f", {_FOUR} SELECT combo, n, R(total) AS total, R(annual) AS annual, R(vol) AS vol, R(sharpe) AS sharpe, R(max_dd) AS max_dd, R(hit) AS hit, R(bench_annual) AS bench_annual, R(total - bench_total) AS excess, R((total - bench_total) / vol) AS info, R(annual / max_dd) AS calmar FROM (SELECT combo, count(*) AS n, product(1 + r) - 1 AS total, product(1 + r) ** (12.0 / count(*)) - 1 AS annual, stddev_samp(r) * sqrt(12) AS vol, avg(r) / stddev_samp(r) * sqrt(12) AS sharpe, max((pk - eq) / pk) AS max_dd, avg(CAST(r > 0 AS DOUBLE)) AS hit, product(1 + bench) - 1 AS bench_total, product(1 + bench) ** (12.0 / count(*)) - 1 AS bench_annual FROM dd GROUP BY 1)", 4)
+def combination_report(spark, d):
+    """Every four of the series, against the index: risk, excess and information ratio."""
+    index = panels.price(spark, d).select("ts", (pct_change(F.col("price"), by("series")) / 10).alias("ret"))
+    return combinations.combination_report(panels.returns(spark, d), index, 4)
+
+
+_SIGNAL = "(SELECT ts, series, pred, ret, row_number() OVER (PARTITION BY ts ORDER BY pred DESC, series) AS best, row_number() OVER (PARTITION BY ts ORDER BY pred, series DESC) AS worst FROM sig)"
+
+
+@query(f"SELECT strategy, count(*) AS n, R(sum(ret)) AS total, R(avg(ret) / stddev_samp(ret) * sqrt(12)) AS sharpe FROM (SELECT ts, unnest(['top', 'weighted', 'long_short']) AS strategy, unnest([a, w, (a - z) / 2]) AS ret FROM (SELECT ts, avg(ret) FILTER (best <= 3) AS a, avg(ret) FILTER (worst <= 3) AS z, coalesce(sum(greatest(pred, 0) * ret) / nullif(sum(greatest(pred, 0)), 0), 0) AS w FROM {_SIGNAL} GROUP BY 1)) GROUP BY 1", 5)
+def signal_portfolios(spark, d):
+    """The best three by signal, all long ones by its size, and the best against the worst."""
+    r = combinations.by_signal(panels.signals(spark, d), 3)
+    return r.groupBy("strategy").agg(F.count("*").alias("n"), F.sum("ret").alias("total"), (F.avg("ret") / F.stddev_samp("ret") * F.sqrt(F.lit(12.0))).alias("sharpe"))
+
+
 @query("""SELECT series, count(*) AS n, R(product(1 + ret) - 1) AS total, R(product(1 + ret) ** (12.0 / count(*)) - 1) AS annual, R(avg(ret) / stddev_samp(ret) * sqrt(12)) AS sharpe, R(avg(ret) / stddev_samp(ret) FILTER (ret < 0) * sqrt(12)) AS sortino, R(max((pk - eq) / pk)) AS max_dd, R(avg(ret) * 12 / max((pk - eq) / pk)) AS calmar_arith, R((product(1 + ret) ** (12.0 / count(*)) - 1) / max((pk - eq) / pk)) AS calmar_geo, R(skewness(ret)) AS skew, R(kurtosis(ret)) AS kurt, R(abs(quantile_cont(ret, 0.95) / quantile_cont(ret, 0.05))) AS tail FROM (
 SELECT *, max(eq) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS pk FROM (SELECT series, ts, ret, product(1 + ret) OVER (PARTITION BY series ORDER BY ts ROWS UNBOUNDED PRECEDING) AS eq FROM ret WHERE ret IS NOT NULL)) GROUP BY 1""", 4)
 def metrics_full(spark, d):
@@ -211,11 +232,10 @@ def benchmark_expanding_mean(spark, d):
 @query(f"SELECT combo, R(max(CASE WHEN series = '1-URGENT' THEN s END)) AS urgent, R(max(CASE WHEN series = '5-LOW' THEN s END)) AS low FROM (SELECT series, combo, avg(p * ret) / stddev_samp(p * ret) * sqrt(12) AS s FROM (SELECT series, ret, l || '/' || s AS combo, CASE WHEN pred > 0 THEN st * l ELSE -st * s END AS p FROM (SELECT *, abs(pred) / greatest(max(abs(pred)) {C}, 1e-8) AS st FROM sig), (VALUES (1.0, 1.0), (1.5, 0.5), (2.5, 0.25)) g(l, s)) GROUP BY 1, 2) GROUP BY 1".replace("l || '/' || s AS combo", "CAST(CAST(l AS DOUBLE) AS VARCHAR) || '/' || CAST(CAST(s AS DOUBLE) AS VARCHAR) AS combo"), 4)
 def leverage_crosstab(spark, d):
     """Sharpe by leverage and series: the signal once, each leverage on top of it."""
-    out = None
-    for a, b in ((1.0, 1.0), (1.5, 0.5), (2.5, 0.25)):
-        p = portfolio.positions(panels.signals(spark, d), a, b).withColumn("combo", F.lit(f"{a}/{b}"))
-        out = p if out is None else out.unionByName(p)
-    s = out.withColumn("x", F.col("pos") * F.col("ret")).groupBy("combo", "series").agg((F.avg("x") / F.stddev_samp("x") * F.sqrt(F.lit(12.0))).alias("s"))
+    combos = F.array(*[F.struct(F.lit(f"{a}/{b}").alias("combo"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((1.0, 1.0), (1.5, 0.5), (2.5, 0.25))])
+    out = portfolio.positions(panels.signals(spark, d), 1.0, 1.0).withColumn("c", F.explode(combos)).withColumn("combo", F.col("c.combo"))
+    size = F.when(F.col("pos") > 0, F.col("c.a")).otherwise(F.col("c.b"))
+    s = out.withColumn("x", F.col("pos") * size * F.col("ret")).groupBy("combo", "series").agg((F.avg("x") / F.stddev_samp("x") * F.sqrt(F.lit(12.0))).alias("s"))
     return s.groupBy("combo").pivot("series", ["1-URGENT", "5-LOW"]).agg(F.first("s")).toDF("combo", "urgent", "low")
 
 

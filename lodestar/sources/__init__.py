@@ -75,3 +75,16 @@ def synthetic(spark: SparkSession, months: int, per_group: int, groups: tuple[st
     base = base.withColumn("e", F.sqrt(-2 * F.log(u(0))) * F.cos(2 * F.pi() * u(1)))
     w = Window.partitionBy("grp", "j").orderBy("m")
     return base.select(F.format_string("%s_%d", "grp", "j").alias("series"), "grp", F.last_day(F.expr("add_months(date'1990-01-31', cast(m as int))")).alias("ts"), (F.sum("e").over(w) + F.sin(2 * F.pi() * F.col("m") / 12)).alias("value"))
+
+
+def synthetic_target(panel: DataFrame, weight: float = 0.01, noise: float = 0.05, name: str = "index", seed: int = 42) -> DataFrame:
+    """(ts, y) for a made panel: a weighted sum of its series, with weights drawn by series and name, and noise drawn by date and name.
+
+    Each name, such as a sector's, has weights and noise of its own.  The first
+    date has no return and is left out.
+    """
+    u = lambda k, *c: (F.pmod(F.xxhash64(*c, F.lit(name), F.lit(seed + k)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    normal = lambda *c: F.sqrt(-2 * F.log(u(0, *c))) * F.cos(2 * F.pi() * u(1, *c))
+    sums = panel.groupBy("ts").agg(F.sum(F.col("value") * normal("series") * weight).alias("y"))
+    start = panel.agg(F.min("ts")).first()[0]
+    return sums.select("ts", (F.col("y") + normal("ts") * noise).alias("y")).where(F.col("ts") > F.lit(start))
