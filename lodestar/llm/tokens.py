@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import shared_dir, slices, stored
 
 ENTRY = np.dtype([("key", "<i8"), ("offset", "<u8"), ("n", "<u4"), ("null", "<u4")])
+#: Text of a shard at most, as far as ranges of keys are even.
+SHARD_BYTES = 256 << 20
 #: Encoded parts that a Python worker remembers before it forgets those that came once.
 MEMORY = 400_000
 
@@ -182,9 +184,12 @@ def encoder(path: str, special: bool = True) -> Encoder:
     return _ENCODERS.get((path, special)) or _ENCODERS.setdefault((path, special), Encoder(path, special))
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, end: int = 2, folder: str | None = None, special: bool = True) -> tuple[DataFrame, str]:
+def write_tokens(docs: DataFrame, vocabulary: str, end: int = 2, folder: str | None = None, special: bool = True, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, str]:
     """Encodes docs in ascending doc_id order (nulls first) to shards in a shared folder; (a row for each shard, folder).
 
+    There are as many shards as shuffle partitions, and more where a shard would
+    hold over ``shard_bytes`` of text.
+
     A shard's files bear the name of the task attempt that wrote them; the
     table of shards names those of the attempts that count, so that a task
     that runs again leaves no half file in the result.  Texts that share a
@@ -196,8 +201,9 @@ def write_tokens(docs: DataFrame, vocabulary: str, end: int = 2, folder: str | N
 
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "tokens")
-    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes), 1)
     rows = rows.repartitionByRange(count, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches):
@@ -205,21 +211,21 @@ def write_tokens(docs: DataFrame, vocabulary: str, end: int = 2, folder: str | N
 
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex}"
-        enc, at, total, index = encoder(vocabulary, special), 0, 0, []
+        enc, at, total, count = encoder(vocabulary, special), 0, 0, 0
         files, base = fs.FileSystem.from_uri(folder)
         files.create_dir(base, recursive=True)
-        with files.open_output_stream(f"{base}/{name}.rec") as out:
+        with files.open_output_stream(f"{base}/{name}.rec") as out, files.open_output_stream(f"{base}/{name}.idx") as entries:
             for some, text in slices(batches, most=4 << 20):
                 ids, sizes = enc.encode(text, end)
-                stop = 0
+                stop, index = 0, []
                 for key, n in zip(some.column("doc_id").to_pylist(), sizes.tolist()):
                     record = framed(key, ids[stop : stop + n])
                     out.write(record)
                     index.append((key or 0, at, n, key is None))
                     stop, at, total = stop + n, at + len(record), total + n
-        with files.open_output_stream(f"{base}/{name}.idx") as out:
-            out.write(np.array(index, ENTRY).tobytes())
-        yield pa.RecordBatch.from_pydict({"part": [part], "shard": [name], "records": [len(index)], "ids": [total]}, pa.schema([("part", pa.int32()), ("shard", pa.string()), ("records", pa.int64()), ("ids", pa.int64())]))
+                entries.write(np.array(index, ENTRY).tobytes())
+                count += len(index)
+        yield pa.RecordBatch.from_pydict({"part": [part], "shard": [name], "records": [count], "ids": [total]}, pa.schema([("part", pa.int32()), ("shard", pa.string()), ("records", pa.int64()), ("ids", pa.int64())]))
 
     return stored(rows.mapInArrow(run, "part int, shard string, records long, ids long"), "shards"), folder
 
