@@ -81,7 +81,9 @@ def filtered(pages: DataFrame, rules: DataFrame, default: str = "allow", url: st
     lengths = [r[0] for r in rules.where("rule is not null").select(F.expr("length(split(key, '\t')[2])")).distinct().orderBy(F.expr("1")).collect()]
     base = pages.select(F.col(key).alias("page_id"), F.expr(host_of(url)).alias("host"), F.expr(path_of(url)).alias("path"))
     urls = base.where("host != ''").select("host", "path").distinct().withColumn("_parts", F.split("host", "[.]"))
-    suffixes = "transform(sequence(1, size(_parts)), i -> array_join(slice(_parts, i, size(_parts)), '.'))"
+    # only suffixes of as many labels as some rule's host has: a host of very many labels has no more of them
+    depths = [r[0] for r in rules.where("rule is not null").select(F.expr("size(split(split(key, '\t')[1], '[.]'))")).distinct().orderBy(F.expr("1")).collect()]
+    suffixes = f"transform(filter(array({', '.join(map(str, depths)) or '0'}), d -> d between 1 and size(_parts)), d -> array_join(slice(_parts, size(_parts) - d + 1, d), '.'))"
     prefixes = f"filter(array({', '.join(map(str, lengths)) or '-1'}), n -> n between 0 and length(path))"
     asked = f"concat(flatten(transform({suffixes}, h -> transform({prefixes}, n -> concat('r\t', h, '\t', left(path, n))))), array(concat('u\t', {canonical('host', 'path')}), concat('u\t', {canonical('host', "''")})))"
     # the filter: each key of each distinct URL with the words of its block, by number; then the exact join
