@@ -2,12 +2,17 @@
 
 A word is the bag of its character n-grams, boundaries included; each hash
 bucket of n-grams has an embedding.  The embeddings of a word's n-grams are
-averaged, and those of words over windows of several sizes up to the whole
-text; a linear softmax over two classes reads for each size the window that
-speaks most for the class, so a single insult in a long text is not thinned
-out and a combination of ordinary words can still count.  Embeddings and
-softmax are trained together.  A misspelling that was never seen shares most
+averaged, and those of words over the whole text; a linear softmax over two
+classes reads that mean, and beside it the word and the pair of words that
+speak most for the class, so a single insult in a long text is not thinned
+out and two ordinary words can count together.  Embeddings and softmax are
+trained together.  A misspelling that was never seen shares most
 n-grams with the word it comes from.
+
+The mean alone is not enough: of 97 toxic texts among 825 held out of the 0.1
+tables it finds 52 with 21 false; with the strongest word 85 with 8, and with
+the strongest pair besides 84 with 9 (with windows of 1, 2, 4 and 16 words 81
+with 8).  The others hold no toxic word.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from .quality_classifier import labelled, one_text_each
 BUCKETS, DIM = 1 << 17, 8
 SIZES = (3, 4, 5, 6)
 #: Words of a window; 0 is the whole text.
-WINDOWS = (1, 2, 4, 16, 0)
+WINDOWS = (1, 2, 0)
 #: Labelled rows that are learnt from, the bytes of their texts that reach the driver, and those of one text, at most.
 SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 5000, 16_000_000, 1_000_000
 _U = np.uint64
@@ -89,11 +94,11 @@ class Windows:
 class Model:
     """Embeddings, the softmax's difference of class weights, its weight for each window size, and a bias; a bucket's part of the logit is a product of them."""
 
-    def __init__(self, texts: list[str], y: np.ndarray, steps: int = 80, seed: int = 3):
+    def __init__(self, texts: list[str], y: np.ndarray, steps: int = 40, seed: int = 3):
         rng = np.random.default_rng(seed)
         counts, words = words_of(translated(pa.array(texts, pa.large_string()), LOWER_ALNUM))
         table = (rng.normal(0, 0.01, (BUCKETS, DIM))).astype(np.float32)
-        weight, mix, bias = rng.normal(0, 1, DIM).astype(np.float32), np.array([1.0, 0.5, 0.5, 0.25, 0.25]), 0.0
+        weight, mix, bias = rng.normal(0, 1, DIM).astype(np.float32), np.array([1.0, 0.5, 0.25]), 0.0
         has = counts > 0
         self.flat, self.mix, self.bias = np.zeros(BUCKETS, np.float32), mix, 0.0
         if len(set(y[has].tolist())) < 2:

@@ -377,7 +377,7 @@ def test_windows_by_brute_force():
     rng = np.random.default_rng(2)
     counts = np.array([1, 5, 2, 9])
     word, begin = rng.normal(size=counts.sum()), np.cumsum(counts) - counts
-    for size in toxicity.WINDOWS:
+    for size in (1, 2, 4, 16, 0):
         w = toxicity.Windows(counts, size)
         want = [(d, word[b + k : b + k + (min(size, n) or n)].sum() / (size or n)) for d, (b, n) in enumerate(zip(begin, counts)) for k in range(max(n - size + 1, 1) if size else 1)]
         got = w.means(toxicity._cumulated(word))

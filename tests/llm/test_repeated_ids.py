@@ -18,3 +18,46 @@ def test_rows_of_one_id_do_not_multiply(spark, monkeypatch):
     assert sorted(r.component_id for r in got) == [1] * 62
     one = jaccard_join.jaccard_components(docs.withColumn("doc_id", F.unhex(F.md5(F.concat("doc_id", "text").cast("binary")))), n=3, percent=80)
     assert one.select("component_id").distinct().count() == 60
+
+
+def test_toxicity_by_a_plain_loop():
+    import pyarrow as pa
+
+    from lodestar.llm import toxicity
+
+    texts = ["you worthless thing, you", "a warm day", "worthless", "", "so it is is is", "été à la mer"] * 4
+    m = toxicity.Model(texts, np.array([1.0, 0, 1, 0, 0, 0] * 4))
+    want = []
+    for t in texts[:6]:
+        words = "".join(c.lower() if c.isascii() and c.isalpha() else c if c.isdigit() or not c.isascii() else " " for c in t).split()
+        value = []
+        for w in words:
+            ids, _ = toxicity.grams([w])
+            value.append(np.mean(m.flat[ids].astype(float)))
+        z = m.bias
+        for size, a in zip(toxicity.WINDOWS, m.mix):
+            if value:
+                n = size or len(value)
+                z += a * max(sum(value[k : k + n]) / n for k in range(max(len(value) - n + 1, 1)))
+        want.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    np.testing.assert_allclose(m.scores(pa.array(texts[:6], pa.large_string())), want, rtol=1e-6)
+
+
+def test_shards_grow_with_the_text(spark, tmp_path):
+    from lodestar.llm import contracts, tokens
+
+    docs = spark.createDataFrame([(k, "some words in a text " * 20) for k in range(50)], "doc_id long, text string")
+    shards, folder = tokens.write_tokens(docs, contracts.vocabulary("byte_bpe_50k.json"), folder=f"file://{tmp_path}/t", shard_bytes=2000)
+    assert shards.where("records > 0").count() > 8 and shards.count() >= 11
+    got = tokens.read_tokens(shards, folder).orderBy("doc_id").collect()
+    assert [r.doc_id for r in got] == list(range(50)) and [r.start for r in got] == list(np.cumsum([0, *[r.n_tokens for r in got]])[:-1])
+
+
+def test_hosts_of_very_many_labels(spark):
+    from lodestar.llm import contracts, url_filter
+
+    rules = url_filter.listed(spark, contracts.URL_RULES, contracts.spam_urls(spark))
+    long = ".".join(["a"] * 50_000)
+    pages = spark.createDataFrame([(1, f"http://{long}.com/en/x"), (2, f"http://{long}.example.com/en/7"), (3, f"http://{long}.example.org/"), (4, "http://com/en/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filtered(pages, rules).collect()}
+    assert got == {1: ("com/en/", "block"), 2: ("example.com/en/7", "allow"), 3: (None, "allow"), 4: ("com/en/", "block")}
