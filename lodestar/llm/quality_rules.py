@@ -58,7 +58,7 @@ _SPACE = "' \t\n\v\f\r'"
 
 
 def figures(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """docs with the figures of its texts; columns of docs whose names clash are replaced.
+    """docs with the figures of its texts; columns of docs that bear a figure's name are replaced, all others stay.
 
     Words are runs of other characters than ASCII white space.  A null text
     has no words.  n_repeat_words counts the words that lie in a 3-word
@@ -68,6 +68,8 @@ def figures(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFram
     has its words; unlike windows of equal hash would have to fall between two
     like ones to hide them.)
     """
+    clash = {c: f"{c}_of_docs" for c in docs.columns if c in ("_w", "_l", "_s", "_d", "_p")}
+    docs = docs.withColumnsRenamed(clash)
     t = "coalesce(text, '')"
     bare = f"trim(BOTH {_SPACE} FROM {t})"
     docs = docs.withColumn("_w", F.expr(f"CASE WHEN {bare} = '' THEN array() ELSE split({bare}, '[ \\\\t-\\\\r]+') END"))
@@ -92,7 +94,7 @@ def figures(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFram
         "n_upper": f"cast(length(regexp_replace({t}, '[^\\\\p{{Lu}}]+', '')) as bigint)",
         "n_bars": f"cast(length({t}) - length(replace({t}, '|', '')) as bigint)",
     }
-    return docs.withColumns({k: F.expr(v) for k, v in out.items()}).drop("_w", "_l", "_s", "_d", "_p")
+    return docs.withColumns({k: F.expr(v) for k, v in out.items()}).drop("_w", "_l", "_s", "_d", "_p").withColumnsRenamed({v: k for k, v in clash.items()})
 
 
 def judged(docs: DataFrame, rules: Sequence[Rule] = RULES, base: Sequence[str] = BASE) -> DataFrame:
