@@ -67,6 +67,14 @@ def bloom(keys: DataFrame, blocks: int) -> DataFrame:
     return keys.groupBy(F.expr(block).alias("block")).agg(*[F.expr(bit(i)).alias(f"w{i}") for i in range(WORDS)])
 
 
+def may_hold(rows: DataFrame, words: DataFrame, blocks: int) -> DataFrame:
+    """The rows whose column key the filter may hold; the filter is broadcast."""
+    block, h = _bits("key", blocks)
+    mask = " and ".join(f"(shiftrightunsigned(_w{i}, cast(shiftrightunsigned({h}, {6 * i}) & 63 as int)) & 1) = 1" for i in range(WORDS))
+    words = words.select(F.col("block").alias("_b"), *[F.col(f"w{i}").alias(f"_w{i}") for i in range(WORDS)])
+    return rows.join(F.broadcast(words), F.expr(f"{block} = _b and {mask}")).drop("_b", *[f"_w{i}" for i in range(WORDS)])
+
+
 def filtered(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url", key: str = "page_id") -> DataFrame:
     """(key, host, path, rule, verdict, listed) of each page.
 

@@ -201,7 +201,8 @@ def overlaps(texts, items, overlap, masks, band):
             hits = []
             for d in range(-len(q) + 1, len(w)):
                 same = [0 <= d + j < len(w) and w[d + j] == x for j, x in enumerate(q)]
-                if any(all(same[j + c] for c in range(len(m)) if m[c] == "1") for m in [*masks, *["1" * len(q)] * (len(q) < max(map(len, masks)))] for j in range(len(q) - len(m) + 1)):
+                short = decontamination.places(len(q), overlap) if len(q) < decontamination.SHORT else []
+                if any(all(same[j + c] for c in range(len(m)) if m[c] == "1") for m in masks for j in range(len(q) - len(m) + 1)) or any(all(same[p] for p in at) for at in short):
                     hits.append((d, same))
             for d, _ in hits:
                 n = sum(any(s[j] for e, s in hits if d <= e <= d + band) for j in range(len(q)))

@@ -61,3 +61,43 @@ def test_hosts_of_very_many_labels(spark):
     pages = spark.createDataFrame([(1, f"http://{long}.com/en/x"), (2, f"http://{long}.example.com/en/7"), (3, f"http://{long}.example.org/"), (4, "http://com/en/")], "page_id long, url string")
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filtered(pages, rules).collect()}
     assert got == {1: ("com/en/", "block"), 2: ("example.com/en/7", "allow"), 3: (None, "allow"), 4: ("com/en/", "block")}
+
+
+def test_short_items_are_never_missed():
+    """Each choice of as many places as must agree holds a set of places."""
+    import itertools
+    import math
+
+    from lodestar.llm import decontamination
+
+    for n in range(1, decontamination.SHORT):
+        for overlap in (0.3, 0.6, 0.8, 1.0):
+            sets = [set(p) for p in decontamination.places(n, overlap)]
+            least = max(1, math.ceil(overlap * n - 1e-9))
+            assert all(any(s <= set(c) for s in sets) for c in itertools.combinations(range(n), least))
+            assert all(max(s) < n for s in sets)
+
+
+def test_recall_of_items_of_each_length(spark):
+    from lodestar.llm import decontamination
+
+    rng, rows, items = np.random.default_rng(4), [], []
+    for n in range(1, 15):
+        for _ in range(30):
+            i = len(items)
+            q = [f"i{i}x{j}" for j in range(n)]
+            items.append((i, " ".join(q)))
+            for j in rng.choice(n, n - int(np.ceil(0.6 * n - 1e-9)), replace=False):
+                q[j] = f"o{j}"
+            rows.append((i, " ".join(["a"] * 20 + q + ["b"] * 20)))
+    out = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r.doc_id == r.item_id and r.first_word == 20 for r in out)
+    found = np.bincount([r.doc_id // 30 + 1 for r in out], minlength=15)
+    assert (found[1:12] == 30).all() and (found[12:] >= 27).all()
+
+
+def test_figures_keep_other_columns(spark):
+    from lodestar.llm import quality_rules
+
+    row = quality_rules.judged(spark.createDataFrame([(1, "some words", "a", "b", 3)], "doc_id long, text string, _w string, _p string, n_words int")).first()
+    assert (row["_w"], row["_p"], row["n_words"]) == ("a", "b", 2)
