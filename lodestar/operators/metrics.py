@@ -242,7 +242,8 @@ def bootstrap(df: DataFrame, keys: list[str], value: str, times: int = 1000, see
     sums = rows.groupBy(*keys, "b").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("wvv"))
     mean = F.try_divide("wv", "w")
     var = F.try_divide("wvv", "w") - mean * mean
-    sums = sums.withColumn("s", F.when(var > 1e-18, mean / F.sqrt(var) * math.sqrt(12)))
+    # to 12 places, so that the order in which tasks add up does not show
+    sums = sums.withColumn("s", F.when(var > 1e-18, F.round(mean / F.sqrt(var) * math.sqrt(12), 12)))
     a = (1 - level) / 2
     return sums.groupBy(*keys).agg(F.max("n").alias("n"), F.percentile("s", F.lit(a)).alias("low"), F.percentile("s", F.lit(1 - a)).alias("high"))
 

@@ -48,7 +48,8 @@ def test_models_fit_a_line():
 def test_models_have_the_reference_sizes(monkeypatch):
     rng = np.random.default_rng(5)
     x, grown = rng.normal(size=(60, 2)), []
-    monkeypatch.setattr(walkforward, "_tree", lambda *a: grown.append(1) or 0.0)
+    for grows in ("_tree", "_grown"):  # trees of the forest, and of boosting
+        monkeypatch.setattr(walkforward, grows, lambda *a: grown.append(1) or 0.0)
     for name, trees in (("forest", 100), ("boosting", 100), ("ensemble", 50)):
         grown.clear()
         walkforward.MODELS[name](x, x[:, 0])
@@ -162,7 +163,7 @@ def test_screen_is_listwise(spark):
     for j, s in enumerate("ab"):
         r = np.corrcoef(x[ok, j], y[ok])[0, 1]
         assert got[s].n == len(ok) and abs(got[s].t - r * math.sqrt((len(ok) - 2) / (1 - r * r))) < 1e-9
-    assert got["c"].t == 0 and got["c"].kept
+    assert got["c"].t == 0 and not got["c"].kept  # under ten values: the reference leaves it out before the screen
 
 
 def test_costs_of_the_sized_portfolio(spark):
