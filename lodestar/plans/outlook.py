@@ -89,7 +89,7 @@ def feature_importance(spark, d):
     return outlook.importance(panels.target(spark, d), (("PROMO", "promoted"), ("-", "priority")))
 
 
-@query(f"SELECT series, fold, CASE WHEN rn <= m - (4 - fold) * 12 THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(ts) AS first, max(ts) AS last, R(avg(value)) AS mean FROM (SELECT *, row_number() OVER {W} AS rn, count(*) OVER (PARTITION BY series) AS m FROM panel), (VALUES (0::BIGINT), (1), (2), (3)) f(fold) WHERE m - (4 - fold) * 12 >= 36 AND rn <= m - (3 - fold) * 12 GROUP BY 1, 2, 3", 2)
+@query(f"SELECT series, fold, CASE WHEN rn <= m - (4 - fold) * 12 THEN 'train' ELSE 'test' END AS part, count(*) AS n, min(ts) AS first, max(ts) AS last, R(avg(value)) AS mean FROM (SELECT *, row_number() OVER {W} AS rn, count(*) OVER (PARTITION BY series) AS m FROM panel), (VALUES (0::BIGINT), (1), (2), (3)) f(fold) WHERE m - (4 - fold) * 12 >= 36 AND rn <= m - (3 - fold) * 12 GROUP BY 1, 2, 3", 4)
 def time_splits(spark, d):
     return outlook.time_splits(panels.panel(spark, d), 4, least=36)
 
