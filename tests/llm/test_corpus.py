@@ -514,6 +514,13 @@ def test_urls(spark):
     assert url_filter.filtered(df, rules.where("false")).where("verdict = 'allow'").count() == len(rows)
 
 
+def test_query_gives_the_verdicts_of_its_contract(spark, tmp_path):
+    rows = [(1, "http://a.net/de/1"), (2, "https://net/de/"), (3, "http://x.example.net/de/7"), (4, "http://x.example.net/de/81"), (5, "http://example.com/en/6"), (6, "http://b.example.com/en/7"), (7, "http://a.org/es/"), (8, "http://spam-farm.example.net/de/1"), (9, "http://anet/de/")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in contracts.op10_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {1: ("net/de/", "allow"), 2: ("net/de/", "allow"), 3: ("net/de/", "allow"), 4: ("example.net/de/8", "block"), 5: ("com/en/", "block"), 6: ("example.com/en/7", "allow"), 7: ("org/es/", "block"), 8: ("net/de/", "allow"), 9: (None, "allow")}
+
+
 def test_listed_hosts_have_no_id_range(spark):
     rows = [(k, f"https://{h}.example.com/{lang}/{k}.html") for k in (0, 999, 1000, 9992, 123456789) for h in ("spam-farm", "www.cheap-pills") for lang in ("en", "fr")]
     rows += [(1, "http://m.spam-farm.example.net"), (2, "http://cheap-pills.example.org/?q")]
