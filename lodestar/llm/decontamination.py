@@ -126,7 +126,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: Sequence[str] = M
     hits = stored(found.groupBy("doc_id", "_t", "item_id").agg(F.collect_set("diagonal").alias("_d")), "benchmark-hits")
 
     keys = hits.select("doc_id", "_t").distinct()
-    texts = docs.select("doc_id", text, "text").join(keys, ["doc_id", "_t"], "left_semi").dropDuplicates(["doc_id", "_t"])
+    # a filter of the texts with hits is broadcast, so that little else is shuffled to the exact join with the hits, however many these are
+    blocks = min(BROADCAST_BLOCKS, max(16, 1 << (max(1, hits.count() // KEYS) - 1).bit_length()))
+    key = F.xxhash64("doc_id", "_t").alias("key")
+    texts = may_hold(docs.select("doc_id", text, "text").withColumn("key", key), bloom(keys.select(key), blocks), blocks).drop("key").dropDuplicates(["doc_id", "_t"])
     pairs = hits.join(_tokens(texts), ["doc_id", "_t"]).join(items.withColumnRenamed("_h", "_i"), "item_id")
     near = f"filter(_d, e -> e between d and d + {BAND})"
     agree = f"size(filter(sequence(0, size(_i) - 1), i -> exists(b, e -> coalesce(get(_h, e + i) = get(_i, i), false))))"

@@ -236,6 +236,24 @@ def test_decontamination_by_brute_force(spark, monkeypatch):
         assert got == want
 
 
+def test_texts_without_hits_are_not_shuffled(spark, monkeypatch):
+    item = " ".join(f"i{k}" for k in range(14))
+    rows = [(k, " ".join(f"t{k}x{j}" for j in range(60))) for k in range(500)] + [(1000 + k, f"a{k} {item} b{k}") for k in range(5)] + [(1000, f"c {item}")]
+    df, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    passed, may_hold = [], decontamination.may_hold
+    monkeypatch.setattr(decontamination, "may_hold", lambda *a: passed.append(may_hold(*a)) or passed[-1])
+    monkeypatch.setattr(decontamination, "BROADCAST_BLOCKS", 16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = decontamination.contaminated(df, items)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((r.doc_id, r.item_id, r.n_matched) for r in out.collect()) == [(1000 + k, 7, 14) for k in range(5)]
+        assert "LeftSemi" not in plan  # it would be pushed below the filter, and all texts shuffled
+        assert 6 <= passed[-1].count() <= 12
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_decontamination_recall(spark):
     """Items of 15 to 30 words of which 60 % stay at random places; scattered scraps are no overlap."""
     rng, rows, items = np.random.default_rng(4), [], []
