@@ -12,6 +12,7 @@ to fetch records in any order.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 import zlib
@@ -118,7 +119,7 @@ class Encoder:
         """The places in memory of distinct parts that follow a space."""
         if len(self.known) > MEMORY:
             self._forget()
-        at = np.fromiter((self.known.get(s, -1) for s in parts), np.int64, len(parts))
+        at = np.fromiter(map(self.known.get, parts, itertools.repeat(-1)), np.int64, len(parts))
         self.again[at[at >= 0]] = True
         fresh = [s for s, k in zip(parts, at.tolist()) if k < 0]
         for k in range(0, len(fresh), 4096):
@@ -133,8 +134,7 @@ class Encoder:
             self.ids.extend(ids)
             self.sizes.extend(sizes)
         at[at < 0] = len(self.known) + np.arange(len(fresh))
-        for s in fresh:
-            self.known[s] = len(self.known)
+        self.known.update(zip(fresh, itertools.count(len(self.known))))
         self.again = np.concatenate([self.again, np.zeros(len(fresh), bool)])
         return at
 
@@ -143,7 +143,7 @@ class Encoder:
         lists = pc.split_pattern(text, " ")
         offsets = np.asarray(lists.offsets, np.int64)
         flat = lists.flatten().dictionary_encode()
-        values, codes = flat.dictionary.to_pylist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        values, codes = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         offsets = offsets - offsets[0]
         ends = [pc.utf8_is_space(pc.utf8_slice_codeunits(flat.dictionary, *k)).to_numpy(zero_copy_only=False) for k in ((0, 1), (-1, None))]
         odd = ends[0] | ends[1] | (pc.binary_length(flat.dictionary).to_numpy(zero_copy_only=False) == 0)
@@ -153,7 +153,7 @@ class Encoder:
         # parts that follow a space by their place in memory; then the first parts and the whole texts; then the end id
         asked = np.flatnonzero(np.bincount(codes[later], minlength=len(values)))
         place = np.zeros(len(values), np.int64)
-        place[asked] = self.numbers([values[k] for k in asked.tolist()])
+        place[asked] = self.numbers(list(map(values.__getitem__, asked.tolist())))
         base = self.sizes.n
         heads = [s.as_py() if w else values[c] for s, w, c in zip(text, whole.tolist(), codes[offsets[:-1]].tolist())]
         distinct = {s: k for k, s in enumerate(dict.fromkeys(heads))}
