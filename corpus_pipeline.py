@@ -2,7 +2,8 @@
 
 Each stage reads all that the one before kept, written as Parquet.  A stage
 keeps the columns doc_id, text, lang, source and n_chars of the documents it
-keeps; the last returns their tokens.
+keeps; the last returns their tokens.  Every stage has the session read and
+write Parquet in small runs (``in_small_runs``), since each passes whole texts.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontamination, jaccard_join, quality_classifier, quality_rules, sentencepiece_sampling
-from lodestar.llm.common import crc_mod, shared_dir, stored, table
+from lodestar.llm.common import crc_mod, in_small_runs, shared_dir, stored, table
 from lodestar.llm.contracts import vocabulary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,6 +26,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every quality rule; null and empty texts fail, repeated rows and rows without a doc_id are judged each."""
+    in_small_runs(spark)
     return quality_rules.judged(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
@@ -36,6 +38,7 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and those without a doc_id too; a null or empty text has the score of no
     words.
     """
+    in_small_runs(spark)
     model = quality_classifier.fitted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
     return quality_classifier.kept(docs.select(*COLUMNS), *model, least=0.5)
 
@@ -47,6 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     none (these come after all others).  Of rows alike in doc_id and text one
     stays.  Texts without words link with nothing.
     """
+    in_small_runs(spark)
     docs = _keyed(docs.select(*COLUMNS))
     found = jaccard_join.jaccard_components(docs.select(F.col("_key").alias("doc_id"), "text"), n=5, percent=80).select(F.col("doc_id").alias("_key"), "component_id")
     found = found.distinct().join(docs.select("_key", "doc_id"), "_key").withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))
@@ -61,6 +65,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; each row is tried, also those that share a doc_id or have none, and texts without words hold nothing."""
+    in_small_runs(spark)
     docs = _keyed(docs.select(*COLUMNS))
     found = decontamination.contaminated(docs.select(F.col("_key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     return docs.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*COLUMNS)
@@ -68,6 +73,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled piece ids of each document: doc_id, n_tokens, ids, lossless; a null or empty text has no ids, and rows alike in doc_id and text are drawn alike."""
+    in_small_runs(spark)
     return sentencepiece_sampling.encoded(docs, vocabulary("piece_bpe_32k.model"))
 
 

@@ -1,7 +1,12 @@
 """The pipeline's stages on odd rows and empty tables."""
 
+import os
+import subprocess
+import sys
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,3 +63,26 @@ def test_decontaminated(spark, odd):
 def test_encoded(spark, odd):
     out = p.encoded(spark, odd, DATA).collect()
     assert len(out) == len(rows()) and all(r.lossless for r in out) and sum(r.n_tokens == 0 for r in out) == 2
+
+
+SMALL_HEAP = """
+import sys
+from pyspark.sql import SparkSession
+import corpus_pipeline as p
+folder = sys.argv[1]
+spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", f"file://{folder}/shared").config("spark.local.dir", f"{folder}/local").getOrCreate()
+p.rules(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).write.parquet(f"{folder}/out")
+print("kept", spark.read.parquet(f"{folder}/out").count())
+"""
+
+
+def test_small_heap(tmp_path):
+    """Four tasks read 3000 texts of 60 KB each in a heap of 1 GB: by default a reader would hold all of them at once."""
+    (tmp_path / "documents.parquet").mkdir()
+    for f in range(4):
+        ids = [3000 * f + i for i in range(3000)]
+        texts = [GOOD if i % 3000 == 0 else f"{i:08d}" + ("x" * 600 + " ") * 100 for i in ids]
+        pq.write_table(pa.table({"doc_id": ids, "text": texts, "lang": ["fr"] * 3000, "source": ["a"] * 3000, "n_chars": [len(t) for t in texts]}), tmp_path / "documents.parquet" / f"{f}.parquet", use_dictionary=False, write_batch_size=64)
+    env = os.environ | {"PYTHONPATH": os.path.dirname(p.__file__), "PYSPARK_SUBMIT_ARGS": "--driver-memory 1g pyspark-shell"}
+    ran = subprocess.run([sys.executable, "-c", SMALL_HEAP, str(tmp_path)], env=env, capture_output=True, text=True, timeout=300)
+    assert "kept 4" in ran.stdout, ran.stderr[-2000:]
