@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, hashed, mixed, released, slices, stored, translated, words_of
-from .components import components
+from .components import starred
 
 _U = np.uint64
 
@@ -227,7 +227,8 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, perc
 
 
 def _sharp(pairs: DataFrame, made: DataFrame, percent: int) -> DataFrame:
-    """(a, b, far) of the pairs (a, b, band) that the sharp sketch lets pass."""
+    """(a, b, far) of the pairs (a, b, band), each once and with its two classes in the given order, that the sharp sketch lets pass."""
+    pairs = pairs.repartition("a", "band").distinct()  # dealt as the first join wants it
     for side in ("a", "b"):
         pairs = pairs.join(made.select(F.col("cid").alias(side), "band", F.struct("n", "sharp").alias("s" + side)), [side, "band"])
     return pairs.where(_near(percent, "sa", "sb", "sharp")).select("a", "b", F.expr(f"{_apart('sa', 'sb', 'sharp')} / (sa.n + sb.n)").alias("far"))
@@ -237,20 +238,13 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _met(keys: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """(a, b, band) of classes that meet the most popular member of a bucket (key, cid, band), and the most popular one of another component than that."""
+def _met(keys: DataFrame) -> DataFrame:
+    """(a, b, band): each class a of the buckets (key, cid, band, component) with their most popular members b, where these are of other components."""
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    keys = stored(keys.join(sizes, "key"), "jaccard-few")
-    popular = keys.groupBy("cid", "band").agg(F.sum("size").alias("p"))
-    popular = _with_component(popular, parts) if parts is not None else popular.withColumn("component", F.col("cid"))
-    keys = keys.join(popular, ["cid", "band"])
+    sets = keys.join(sizes, "key").groupBy("cid", "band", "component").agg(F.sum("size").alias("p"), F.collect_list("key").alias("keys"))
+    keys = stored(sets.select("cid", "band", "component", "p", F.explode("keys").alias("key")), "jaccard-met")
     top = keys.groupBy("key").agg(F.max(F.struct("p", "component", "cid")).alias("x"))
-    keys = keys.join(top, "key").where("component != x.component")
-    pairs = keys.select(*_ordered("cid", "x.cid"), "band")
-    if parts is not None:
-        second = keys.groupBy("key").agg(F.max(F.struct("p", "component", "cid")).alias("y"))
-        pairs = pairs.union(keys.join(second, "key").where("component != y.component").select(*_ordered("cid", "y.cid"), "band"))
-    return pairs.distinct()
+    return keys.join(top, "key").where("component != x.component").select(F.col("cid").alias("a"), F.col("x.cid").alias("b"), "band")
 
 
 def _with_component(df: DataFrame, parts: DataFrame) -> DataFrame:
@@ -278,45 +272,37 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
     made = stored(sketches(texts, n, percent, ratio), "jaccard-sketches")
     released(spark)
 
-    links = parts = tried = None
-
-    def linked(pairs: DataFrame) -> None:
-        """Adds the links among untried pairs, of each class with the nearest that the sharp sketch lets pass."""
-        nonlocal links, parts, tried
-        near = _sharp(pairs, made, percent).groupBy("a", "b").agg(F.min("far").alias("far"))
-        near = stored(near if tried is None else near.join(tried, ["a", "b"], "left_anti"), "jaccard-near")
-        best = lambda of, to: near.groupBy(of).agg(F.min_by(to, F.struct("far", to)).alias(to)).select("a", "b")
-        first = stored(best("a", "b").union(best("b", "a")).distinct(), "jaccard-first")
-        found = verified(docs, first, classes, n, percent)
-        tried = first if tried is None else tried.union(first)
-        links = found if links is None else links.union(found)
-        parts = stored(components(links), "jaccard-parts")
-        released(spark, near)
-
-    # links by a few words
-    few = made.select("cid", "band", F.explode("few").alias("key"))
-    linked(_met(few, None))
-    linked(_met(few, parts))
+    def linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The pairs asked, of each class with the nearest that the sharp sketch lets pass, and the links among them."""
+        near = _sharp(pairs, made, percent).groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+        near = stored(near.select(*_ordered("a", "b")), "jaccard-near")
+        return near, verified(docs, near, classes, n, percent)
+
+    # links by a few words; one round of stars gives most of their components one name
+    asked, links = linked(_met(made.select("cid", "band", F.col("cid").alias("component"), F.explode("few").alias("key"))))
+    edges, parts = starred(links, 1)
+    released(spark, links)
 
     # what meets across components in any word: again with the most popular members first, then all that still does
     keys = _with_component(made.select("cid", "band", "keys"), parts).select("cid", "band", "component", F.explode("keys").alias("key"))
     mixed_keys = keys.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     mixed_keys = stored(mixed_keys, "jaccard-mixed")
     released(spark)
-    open_ = stored(keys.join(mixed_keys, "key").select("key", "cid", "band"), "jaccard-open")
+    open_ = stored(keys.join(mixed_keys, "key").select("key", "cid", "band", "component"), "jaccard-open")
     released(spark, mixed_keys)
-    linked(_met(open_, parts))
-    open_ = _with_component(open_, parts)
-    small = made.select("cid", "band", "n", "small").join(open_.select("cid", "band").distinct(), ["cid", "band"], "left_semi")
-    open_ = open_.join(small, ["cid", "band"])
+    more, links = linked(_met(open_))
+    asked = asked.union(more)
+    edges, parts = starred(edges.union(links.select("a", "b")), 1)
+    released(spark, links)
+    open_ = _with_component(open_.drop("component"), parts).join(made.select("cid", "band", "n", "small"), ["cid", "band"])
     x, y = open_.alias("x"), open_.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _near(percent, "x", "y", "small"))
-    rest = stored(rest.select(*_ordered("x.cid", "y.cid"), "x.band").distinct(), "jaccard-rest")
+    rest = stored(rest.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"), "x.band"), "jaccard-rest")
     released(spark)
-    rest = stored(_sharp(rest, made, percent).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-sharp")
+    rest = stored(_sharp(rest, made, percent).select(*_ordered("a", "b")).distinct().join(asked, ["a", "b"], "left_anti"), "jaccard-sharp")
     released(spark, made)
-    links = links.union(verified(docs, rest, classes, n, percent))
-    parts = stored(components(links), "jaccard-parts")
+    links = verified(docs, rest, classes, n, percent)
+    _, parts = starred(edges.union(links.select("a", "b")))
 
     of = stored(_with_component(classes, parts), "jaccard-components")
     least = of.groupBy("component").agg(F.min("rep").alias("component_id"))

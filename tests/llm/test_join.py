@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm import jaccard_join
+from lodestar.llm.components import starred
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -88,3 +89,41 @@ def test_repeated_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("cid", F.lit(0)).withColumn("rep", F.lit("x"))
     out = Counter((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df, 3, 90).collect())
     assert out == Counter({(1, 1): 90, (2, 1): 30, (3, 1): 30})
+
+
+def test_stars_in_parts(spark):
+    """Chains, stars and a cycle, linked in three parts with a round after each: names hold at every time, and at the end the smallest node's."""
+    links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(50, 90)] + [(200 + k, 200 + (k + 7) % 15) for k in range(15)] + [(300, 300), (None, 301)]
+    rng = np.random.default_rng(2)
+    rng.shuffle(links)
+    smallest = {**dict.fromkeys(range(41), 0), **dict.fromkeys([100, *range(50, 90)], 50), **dict.fromkeys(range(200, 215), 200)}
+    edges = spark.createDataFrame([], "a long, b long")
+    for part, rounds in ((links[0::3], 1), (links[1::3], 1), (links[2::3], None)):
+        edges, names = starred(edges.union(spark.createDataFrame([tuple(None if x is None else int(x) for x in e) for e in part], "a long, b long")), rounds)
+        got = {r.node: r.component for r in names.collect()}
+        assert len(got) == names.count() and all(smallest[n] == smallest[c] and c <= n for n, c in got.items())
+    assert got == smallest
+
+
+def test_few_shuffles(spark):
+    """The tasks of a join over few rows, in which each shuffle has 16 partitions: 211 of them make a run as long as its shuffles are many."""
+    rng = np.random.default_rng(9)
+    base = [f"v{v}" for v in rng.integers(0, 4000, 200)]
+    rows = [(i, " ".join(f"r{i}" if k in (i % 150, i % 150 + 40) else w for k, w in enumerate(base))) for i in range(60)] + [(100 + i, f"text {i} of its own") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    new = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in new}
+    for k, v in new.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("few-shuffles", "")
+    try:
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, 3, 90).collect()}
+        track = spark.sparkContext.statusTracker()
+        stages = {s for j in track.getJobIdsForGroup("few-shuffles") for s in track.getJobInfo(j).stageIds}
+        tasks = sum(x.numCompletedTasks for s in stages if (x := track.getStageInfo(s)))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+        spark.sparkContext._jsc.clearJobGroup()
+    assert got == brute(rows, 3, 90)
+    assert tasks < 1000, tasks
