@@ -15,8 +15,10 @@ lost.
 
 First a few words of each set find most links: each bucket's members meet
 its most popular member, and those that a sharp sketch lets pass are
-verified.  Then all words are asked, but only of members that still lie in
-different components: a small sketch within the bucket's join and the sharp
+verified.  Then all words are asked, but only of members that still bear
+names of different components (one component may have several until the end,
+which costs pairs and loses none): again with the most popular member first,
+then of all that is left.  A small sketch within the bucket's join and the sharp
 one after it leave few of the unlinked pairs, and what passes is verified on
 the n-grams of the whole texts.  That gives the exact components of the link
 graph without all pairs of a group of linked texts.
