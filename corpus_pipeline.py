@@ -55,7 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard_join.jaccard_components(docs.select(F.col("_key").alias("doc_id"), "text"), n=5, percent=80).select(F.col("doc_id").alias("_key"), "component_id")
     found = found.distinct().join(docs.select("_key", "doc_id"), "_key").withColumn("rank", F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))
     found = stored(found.select("_key", "component_id", "rank"), "pipeline-components")
-    best = found.groupBy("component_id").agg(F.min("rank").alias("best"))
+    best = stored(found.groupBy("component_id").agg(F.min("rank").alias("best")), "pipeline-best")  # stored, so that Spark may split a large component in the join
     gone = found.join(best, "component_id").where("_key != best._key").select("_key").distinct()
     out = docs.join(gone, "_key", "left_anti")
     again = found.groupBy("_key").agg(F.count("*").alias("rows")).where("rows > 1").select("_key")

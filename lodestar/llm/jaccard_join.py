@@ -16,9 +16,11 @@ lost.
 First a few words of each set find most links: each bucket's members meet
 its most popular member, and those that a sharp sketch lets pass are
 verified.  Then all words are asked, but only of members that still bear
-names of different components (one component may have several until the end,
-which costs pairs and loses none): again with the most popular member first,
-then of all that is left.  A small sketch within the bucket's join and the sharp
+names of different components (one component may have several there, which
+costs pairs and loses none): again with the most popular member first, then of
+all that is left.  Before that last step each component gets one name, since
+there all members of a bucket meet that differ in it: two names of a group of
+linked texts would pair its halves.  A small sketch within the bucket's join and the sharp
 one after it leave few of the unlinked pairs, and what passes is verified on
 the n-grams of the whole texts.  That gives the exact components of the link
 graph without all pairs of a group of linked texts.
@@ -294,7 +296,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, ratio: fl
     released(spark, mixed_keys)
     more, links = linked(_met(open_))
     asked = asked.union(more)
-    edges, parts = starred(edges.union(links.select("a", "b")), 1)
+    edges, parts = starred(edges.union(links.select("a", "b")))  # to the end: no pairs within what is linked already
     released(spark, links)
     open_ = _with_component(open_.drop("component"), parts).join(made.select("cid", "band", "n", "small"), ["cid", "band"])
     x, y = open_.alias("x"), open_.alias("y")

@@ -61,6 +61,40 @@ def test_chains_and_bands(spark):
     assert got == brute(rows, 3, 95)
 
 
+def test_no_pairs_within_what_is_linked(spark, monkeypatch):
+    """A long chain takes many rounds of stars; the last join pairs no two texts that known links connect already."""
+    words = [f"c{k}" for k in range(1000)]
+    rows = [(k * 37 % 150, " ".join(words[3 * k : 3 * k + 200])) for k in range(150)]
+    known, rest = [], []
+    star, store = jaccard_join.starred, jaccard_join.stored
+
+    def starred_seen(links, *more):
+        known.append([(r.a, r.b) for r in links.select("a", "b").collect()])
+        return star(links, *more)
+
+    def stored_seen(df, what):
+        out = store(df, what)
+        if what == "jaccard-rest":
+            rest.extend((r.a, r.b) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "starred", starred_seen)
+    monkeypatch.setattr(jaccard_join, "stored", stored_seen)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(df, 5, 80).collect()}
+    assert got == brute(sorted(rows), 5, 80)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in known[1]:
+        root[find(a)] = find(b)
+    assert known[1] and not [(a, b) for a, b in rest if find(a) == find(b)]
+
+
 def test_words_of_a_linked_pair_meet():
     """Of two sets that differ in d members, some word is left out by neither."""
     rng = np.random.default_rng(5)
